@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination
+from prismloom.llm import bpe, decontamination, pii
 
-_MODULES = (decontamination, bpe)
+_MODULES = (decontamination, bpe, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
