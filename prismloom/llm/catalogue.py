@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination, pii
+from prismloom.llm import bpe, decontamination, pii, sharding
 
-_MODULES = (decontamination, bpe, pii)
+_MODULES = (decontamination, bpe, pii, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
