@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination, pii, sharding
+from prismloom.llm import bpe, decontamination, pii, sharding, warc
 
-_MODULES = (decontamination, bpe, pii, sharding)
+_MODULES = (decontamination, bpe, pii, sharding, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
