@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination, pii, sharding, warc
+from prismloom.llm import bpe, decontamination, linededup, pii, sharding, warc
 
-_MODULES = (decontamination, bpe, pii, sharding, warc)
+_MODULES = (decontamination, bpe, linededup, sharding, warc, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
