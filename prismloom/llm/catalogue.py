@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination, linededup, ngramjoin, pii, sharding, warc
+from prismloom.llm import bpe, decontamination, langid, linededup, ngramjoin, pii, sharding, warc
 
-_MODULES = (decontamination, bpe, linededup, sharding, warc, pii, ngramjoin)
+_MODULES = (decontamination, bpe, linededup, sharding, warc, pii, ngramjoin, langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
