@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, decontamination, embednear, langid, linededup, ngramjoin, pii, sharding, warc
+from prismloom.llm import bpe, decontamination, embednear, htmlmain, langid, linededup, ngramjoin, pii, sharding, warc
 
-_MODULES = (decontamination, bpe, linededup, sharding, warc, pii, ngramjoin, langid, embednear)
+_MODULES = (decontamination, bpe, htmlmain, linededup, sharding, warc, pii, ngramjoin, langid, embednear)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
