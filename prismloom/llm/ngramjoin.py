@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismloom.llm.components import components
+from prismloom.llm.links import LINKS, SCHEMA, linked
 from prismloom.llm.storage import table, written
 from prismloom.llm.words import mix, shingles, slices, words_of
 
@@ -29,8 +30,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
 #: Hashes compared between two looks at the posterior, and the probability under which a pair is dropped.
 STEP, TOLERANCE = 25, 1e-6
-#: Classes of a block; a task compares two blocks at a time.
-BLOCK = 128
+#: Classes of a block, and bytes of their texts; a task compares two blocks at a time. A bucket of n classes takes
+#: n * n / BLOCK rows, so blocks are as large as a task's memory bears.
+BLOCK, BLOCK_BYTES = 640, 24 << 20
 _HASHES = BANDS * BAND_ROWS
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -114,7 +116,7 @@ def jaccard(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def signed(docs: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
-    """(row, id, text key, class, bands, values) of each document, written once.
+    """(row, id, text key, bytes, class, bands, values) of each document, written once.
 
     The class is a 128-bit sum over the set of shingles; a text without words has none.
     """
@@ -125,7 +127,7 @@ def signed(docs: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
             for piece in slices(batch, "text"):
                 keys, bands, values = [], [], []
                 known: dict[bytes, tuple] = {}
-                for grams in shingle_sets(piece.column(3), shingle):
+                for grams in shingle_sets(piece.column(4), shingle):
                     if not len(grams):
                         keys.append(None), bands.append(None), values.append(None)
                         continue
@@ -137,24 +139,24 @@ def signed(docs: DataFrame, id: str, text: str, shingle: int) -> DataFrame:
                             run = mix(run * base + mins[j::BAND_ROWS][:BANDS].astype(np.uint64) + np.uint64(1))
                         known[key] = run.view(np.int64).tobytes(), mix(mins.astype(np.uint64)).astype(np.uint8).tobytes()
                     keys.append(key), bands.append(known[key][0]), values.append(known[key][1])
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["row", "id", "body", "class", "bands", "mins"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:4], pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["row", "id", "body", "bytes", "class", "bands", "mins"])
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("body"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(run, f"row bigint, id {kind}, body binary, class binary, bands binary, mins binary"), "signed")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("body"), F.octet_length(text).cast("bigint").alias("bytes"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(run, f"row bigint, id {kind}, body binary, bytes bigint, class binary, bands binary, mins binary"), "signed")
 
 
-def _groups(classes: DataFrame, block: int) -> DataFrame:
+def _groups(classes: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """Blocks of the classes that meet in a band's bucket, in pairs: arrays of at most two blocks' classes.
 
     Buckets with the same classes as an earlier band's are left out: all their pairs met there.
     """
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.hex(F.substring(F.col("bands"), i * 8 + 1, 8)))).alias("band", "key")
-    met = classes.select("class", at).select("class", "band", F.conv("key", 16, -10).cast("bigint").alias("key"))
-    buckets = met.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("n > 1")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
-    inside = written(met.join(buckets, ["band", "key"]), "met")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = classes.select("class", "bytes", at).select("class", "bytes", "band", F.conv("key", 16, -10).cast("bigint").alias("key"))
+    buckets = met.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("n > 1")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "total")).alias("b")).select("b.band", "b.key", "b.total", "n")
+    inside = written(met.drop("bytes").join(buckets, ["band", "key"]), "met")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.least(F.col("n"), F.ceil(F.col("total") / block_bytes))).cast("int")
     inside = inside.withColumn("own", F.pmod(F.xxhash64("class", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = inside.join(classes.select("class", "n_docs", "bands", "mins"), "class")
     pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
@@ -208,28 +210,15 @@ def _verify(found: DataFrame, texts: DataFrame, shingle: int, threshold: float)
                 if not len(left):
                     continue
                 own = members.values
-                n_docs = np.asarray(own.field("n_docs"))
-                n = np.bincount(left, n_docs[right], len(own)) + np.bincount(right, n_docs[left], len(own))
-                keys = own.field("class").to_pylist()
-                rank = np.empty(len(own), dtype=np.int64)
-                rank[sorted(range(len(own)), key=keys.__getitem__)] = np.arange(len(own))
-                least = rank.copy()
-                while True:
-                    was = least.copy()
-                    np.minimum.at(least, left, was[right])
-                    np.minimum.at(least, right, was[left])
-                    if (least == was).all():
-                        break
-                by_rank = np.argsort(rank)
-                out += [{"class": keys[u], "n": int(n[u]), "hangs_on": keys[by_rank[least[u]]]} for u in np.flatnonzero(n).tolist()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("class", pa.binary()), ("n", pa.int64()), ("hangs_on", pa.binary())]))
+                out += linked(own.field("class").to_pylist(), np.asarray(own.field("n_docs")), left, right)
+            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
     needed = found.select("group", F.explode("members").alias("m")).select("group", "m.pos", "m.class")
     gathered = needed.join(texts, "class").groupBy("group").agg(F.collect_list(F.struct("pos", "text")).alias("texts"))
-    return found.join(gathered, "group").select("members", "left", "right", "texts").mapInArrow(run, "class binary, n bigint, hangs_on binary")
+    return found.join(gathered, "group").select("members", "left", "right", "texts").mapInArrow(run, LINKS).withColumnRenamed("node", "class")
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, body, n_links, class_id, kept), a row a document.
 
     ``n_links`` counts the other documents at the threshold or above, copies included. ``class_id`` is the
@@ -241,8 +230,8 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     rows = signed(docs, id, text, shingle)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
     whole = rows.where(F.col("class").isNotNull())
-    classes = written(whole.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(place).alias("first"), F.min("body").alias("body"), F.any_value("bands").alias("bands"), F.any_value("mins").alias("mins")), "classes")
-    found = written(_prune(_groups(classes, block), threshold, tolerance), "pairs")
+    classes = written(whole.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(place).alias("first"), F.min("body").alias("body"), F.max("bytes").alias("bytes"), F.any_value("bands").alias("bands"), F.any_value("mins").alias("mins")), "classes")
+    found = written(_prune(_groups(classes, block, block_bytes), threshold, tolerance), "pairs")
     wanted = found.select(F.explode("members.class").alias("class")).distinct().join(classes.select("class", "body"), "class")
     bodies = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("body"), F.col(text).alias("text")).where("text IS NOT NULL")
     # Copies of a text meet in partial aggregates before the shuffle.
