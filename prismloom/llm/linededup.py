@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.llm.storage import table, written
+from prismloom.llm.storage import row_key, table, written
 from prismloom.llm.words import mix, slices
 
 #: Independent choices of boundaries, lines of a chunk at least and at most, words of a removed chunk at least.
@@ -117,7 +117,8 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
 
     Of equal chunks the first stays, by id, then place; a null id comes last. Rows with the same id and
     text are one document and stay alike. Null texts stay null, and empty texts, single lines and
-    chunks of fewer words than ``least_words`` stay as they are. Other columns are kept; ``n_lines`` and ``n_removed`` must
+    chunks of fewer words than ``least_words`` stay as they are; so do chunks whose 64-bit hash stands for
+    different bytes. Other columns are kept; ``n_lines`` and ``n_removed`` must
     be new names. An empty table gives no rows.
     """
     if {"n_lines", "n_removed"} & set(docs.columns):
@@ -126,32 +127,44 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     own = {n: f"_{i}" for i, n in enumerate(names)}
     docs = docs.select(*(F.col(f"`{n}`").alias(o) for n, o in own.items()))
     # The bytes of id and text, rather than where the row stands, so a task that runs again finds the same keys.
-    key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(own[id]).cast("string"), F.lit("\x01")), F.col(own[text])).cast("binary")))
-    docs = docs.withColumn("key", key)
-    body = docs.select("key", F.col(own[text]).alias("text"), F.col(own[id]).alias("id"))
-    chunks = written(body.select("key", "text").mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), "key binary, start int, end int, hash bigint"), "chunks")
+    keyed = docs.withColumn("key", row_key(F.col(own[id]), F.col(own[text])))
+    chunks = written(keyed.select("key", F.col(own[text]).alias("text")).mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), "key binary, start int, end int, hash bigint"), "chunks")
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    suspects = written(chunks.join(repeated, "hash").dropDuplicates(["key", "start", "end"]).groupBy("key").agg(F.collect_list(F.struct("start", "end", "hash")).alias("spans")), "suspects")
-    texts = body.where(F.col("text").isNotNull()).join(suspects.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    cut = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-    read = texts.join(suspects, "key").select("key", "id", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash"), cut(s).alias("bytes")))).alias("c")).select("key", "id", "c.*")
+    # A set, as rows with the same id and text have the same key and chunks.
+    suspects = written(chunks.join(repeated, "hash").groupBy("key").agg(F.collect_set(F.struct("start", "end", "hash")).alias("suspects")), "suspects")
+    kinds = [docs.schema[o].dataType.simpleString() for o in own.values()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_id, at_text = names.index(id), names.index(text)
+        for batch in batches:
+            for piece in slices(batch, own[text]):
+                rows, spans = [], []
+                for i, (t, found) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
+                    own_spans = found if t is not None and found else []
+                    rows += [i] * len(own_spans)
+                    spans += [(s["hash"], t[s["start"] : s["end"]], s["start"]) for s in own_spans]
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.string()), pa.array([s[2] for s in spans], pa.int32()), piece.column(at_id).take(rows), piece.column(len(names)).take(rows)], ["hash", "bytes", "start", "id", "key"])
+
+    # Both visits to the texts use all columns, so Spark makes one exchange for both.
+    visited = keyed.join(suspects, "key", "left").select(*own.values(), "key", "suspects").mapInArrow(read, f"hash bigint, bytes string, start int, id {kinds[names.index(id)]}, key binary")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
-    compared = written(read.select("hash", "bytes", place.alias("place"), "end"), "compared")
-    first = compared.groupBy("hash", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = compared.join(first, ["hash", "bytes"]).where(F.col("place") != F.col("first"))
-    spans = again.groupBy(F.col("place.key").alias("key")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "end")).alias("spans"))
+    # All bytes of a hash are the same if the least and the greatest are.
+    first = visited.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.min(place).alias("first")).where("lo = hi").select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
+    again = suspects.select("key", F.explode("suspects").alias("s")).select("key", "s.start", "s.end", "s.hash").join(first, "hash").where((F.col("key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
+    spans = again.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                done = [(None, 0, 0) if t is None else _without(t, [(s["start"], s["end"]) for s in spans or []]) for t, spans in zip(piece.column(at).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)]
+                done = [(None, 0, 0) if t is None else _without(t, [(s["start"], s["end"]) for s in spans or []]) for t, spans in zip(piece.column(at).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)]
                 columns = list(piece.columns[: len(names)])
                 columns[at] = pa.array([d[0] for d in done], columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], [*own.values(), "n_lines", "n_removed"])
 
-    schema = ", ".join([*(f"`{o}` {docs.schema[o].dataType.simpleString()}" for o in own.values()), "n_lines bigint, n_removed bigint"])
-    out = docs.join(spans, "key", "left").select(*own.values(), "spans").mapInArrow(remove, schema)
+    schema = ", ".join([*(f"`{o}` {k}" for o, k in zip(own.values(), kinds, strict=True)), "n_lines bigint, n_removed bigint"])
+    out = keyed.join(spans, "key", "left").select(*own.values(), "key", "spans").mapInArrow(remove, schema)
     return out.select(*(F.col(o).alias(n) for n, o in own.items()), "n_lines", "n_removed")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,9 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key(id: Column, text: Column) -> Column:
+    """128 bits for id and text; rows alike in both have the same key. Nulls are told from empty values."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\x00", part(id), part(text)).cast("binary")))
