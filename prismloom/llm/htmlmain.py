@@ -28,7 +28,7 @@ from prismloom.llm.words import slices
 #: Labelled pages that the model is trained on, rounds of descent, step, and the weight of the ridge.
 PAGES, ROUNDS, RATE, RIDGE = 600, 150, 0.1, 2e-4
 #: In a labelled page, the character that marks text as main text; it is taken out before training.
-MARK = ""
+MARK = "\ue000"
 
 #: Words that speak of notices, adverts, comments, forms and footers in any place.
 CUES = re.compile(
@@ -256,7 +256,7 @@ class _Drawn:
                 body.insert(int(self.rng.integers(len(body) + 1)), self.other(kind))
         if self.rng.random() < 0.1:
             body.append(self.other("comments"))
-        main = self.within("main", "".join(body))
+        main = self.within("main", "".join(body)) if self.rng.random() < 0.94 else "".join(body)
         if self.rng.random() < 0.3:
             main = self.pick(('<div class="wrapper">{}</div>', '<div id="page">{}</div>', "<main>{}</main>", '<div class="container row">{}</div>', "<div>{}</div>")).format(main)
         before = [self.other(k) for k in ("notice", "header", "menu", "advert", "sidebar") if self.rng.random() < 0.5]

@@ -17,12 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismloom.llm.components import components
 from prismloom.llm.links import LINKS, SCHEMA, linked
-from prismloom.llm.storage import table, written
+from prismloom.llm.storage import row_key, table, written
 from prismloom.llm.words import mix, shingles, slices, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -247,6 +247,24 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id), "body", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), (alone | (F.col("least.row") == F.col("row"))).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    Documents without words are all kept; of rows alike in id and text one stays.
+    """
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    at_id, at_text = own[docs.columns.index(id)], own[docs.columns.index(text)]
+    rows = docs.toDF(*own)
+    found = near_duplicates(rows.select(F.col(at_id).alias("id"), F.col(at_text).alias("text")), id="id", **how)
+    body = lambda c: F.unhex(F.md5(c.cast("binary")))
+    kept = found.where("kept").select(row_key(F.col("id"), F.hex("body")).alias("key"))
+    keyed = rows.withColumn("key", row_key(F.col(at_id), F.hex(body(F.col(at_text)))))
+    # The window needs no exchange of its own: the join has brought rows of a key together.
+    numbered = keyed.join(kept, "key", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    wordless = ~F.coalesce(F.col(at_text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    return numbered.where((F.col("n") == 1) | wordless).select(*own).toDF(*docs.columns)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("body")
 
