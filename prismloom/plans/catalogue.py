@@ -1,15 +1,160 @@
-"""The queries of the hyperspectral operators and the SQL that they are held against."""
+"""The queries of the hyperspectral operators and the SQL that they are held against.
+
+All run over every pixel of the embeddings raster. Queries named ``..._rgb`` take its false-colour image
+where SQL can follow; those without take principal components, with the operators' own parameters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismloom.operators.base import Extractor
+from prismloom.operators.moment import GeometricMomentExtractor, LegendreMomentExtractor, ZernikeMomentExtractor
+from prismloom.operators.morphology import MPExtractor
+from prismloom.operators.reduction import ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, by_image, differences, gram, moments
+from prismloom.operators.spectral import NDVIExtractor, NDWIExtractor, SAVIExtractor
+from prismloom.operators.texture import GaborExtractor, GLCMExtractor, LBPExtractor
+from prismloom.operators.wavelet import DWT1DExtractor, DWT2DExtractor, DWT3DExtractor
+from prismloom.plans import oracle
+from prismloom.plans.space import FeatureSpace
+from prismloom.sources.cube import BANDS, Cube, embeddings_cube
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(value: Column, digits: int = 6) -> Column:
+    """Rounded, with -0.0 as 0.0."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
+def long(features: DataFrame, digits: int = 6) -> DataFrame:
+    """(row, col, k, value): a row for each feature."""
+    return features.select("row", "col", F.posexplode("features").alias("k", "value")).select("row", "col", "k", rounded(F.col("value"), digits).alias("value"))
+
+
+def _of(extractor: Extractor, rgb: bool = False, digits: int = 6) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cube = embeddings_cube(spark, sf_dir)
+        return long(extractor.extract(cube.pseudo_rgb() if rgb else cube).data, digits)
+
+    return query
+
+
+def _index(extractor: Extractor) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return extractor.extract(embeddings_cube(spark, sf_dir)).data.select("row", "col", rounded(F.col("features")[0]).alias("value"))
+
+    return query
+
+
+def _cube(use: Callable[[Cube], DataFrame]) -> Query:
+    return lambda spark, sf_dir: use(embeddings_cube(spark, sf_dir))
+
+
+def _spectra(cube: Cube) -> DataFrame:
+    return long(cube.pixels.withColumnRenamed("spectrum", "features").withColumn("features", F.col("features").cast("array<double>")))
+
+
+def _masked(cube: Cube) -> DataFrame:
+    """Pixels on odd columns are taken as invalid; NaN shows as null."""
+    marked = Cube(cube.pixels.withColumn("valid", F.col("col") % 2 == 0), cube.wavelengths).masked()
+    return _spectra(marked).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _matrix(matrices: DataFrame, scale: float) -> DataFrame:
+    """(i, j, value) of the covariance of each image."""
+    found = by_image(matrices, "cov array<array<double>>", lambda gram: {"cov": moments(gram)[2] * scale})
+    rows = found.select(F.posexplode("cov").alias("i", "line"))
+    return rows.select("i", F.posexplode("line").alias("j", "value")).select("i", "j", rounded(F.col("value"), 8).alias("value"))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan in which two extractors share principal components."""
+    cube = embeddings_cube(spark, sf_dir)
+    space = FeatureSpace.from_list([NDVIExtractor(), PCAExtractor(n_components=3), LBPExtractor(n_components=3), LegendreMomentExtractor(max_order=2, window_sizes=(3,))])
+    found = space.extract(cube).table()
+    return found.select("extractor", "row", "col", F.posexplode("features").alias("k", "value")).withColumn("value", rounded(F.col("value"), 4))
+
+
+#: Parameters of the queries that SQL follows.
+ORDER, SIZES, RADII = 6, (3, 9, 15), (1, 2)
+
+
+def queries() -> dict[str, Query]:
+    moments_rgb = {"bands": (0, 1, 2), "max_order": ORDER, "window_sizes": SIZES}
+    return {
+        "ndvi": _index(NDVIExtractor()),
+        "ndwi": _index(NDWIExtractor()),
+        "savi": _index(SAVIExtractor()),
+        "hsi_describe": _cube(lambda c: c.describe().select("height", "width", "bands", "wavelength_min", "wavelength_max", "valid_pixels", "total_pixels")),
+        "hsi_crop": _cube(lambda c: _spectra(c.crop(slice(2, -3), slice(None, None, 2)))),
+        "hsi_crop_center": _cube(lambda c: _spectra(c.crop_center(10))),
+        "hsi_pseudo_rgb": _cube(lambda c: _spectra(c.pseudo_rgb())),
+        "hsi_stretched": _cube(lambda c: _spectra(c.pseudo_rgb().stretched())),
+        "hsi_masked": _cube(_masked),
+        "hsi_band": _cube(lambda c: c.band(10).select("row", "col", rounded(F.col("value")).alias("value"))),
+        "hsi_pixel": _cube(lambda c: c.pixel(3, 4).select(F.posexplode("spectrum").alias("k", "v")).select("k", rounded(F.col("v").cast("double")).alias("value"))),
+        "band_cov": _cube(lambda c: _matrix(gram(c.pixels, "spectrum", c.n_bands), 1.0)),
+        "noise_cov": _cube(lambda c: _matrix(gram(differences(c), "spectrum", c.n_bands), 0.5)),
+        "pca": _of(PCAExtractor()),
+        "pca_whitened": _of(PCAExtractor(whiten=True)),
+        "mnf": _of(MNFExtractor()),
+        "ica": _of(ICAExtractor(n_components=3), digits=3),
+        "pp": _of(PPExtractor(n_projections=3), digits=3),
+        "dwt1d": _of(DWT1DExtractor()),
+        "dwt2d": _of(DWT2DExtractor()),
+        "dwt3d": _of(DWT3DExtractor()),
+        "glcm": _of(GLCMExtractor(), digits=5),
+        "glcm_rgb": _of(GLCMExtractor(equalize=False, spectral_reduction=None), rgb=True, digits=5),
+        "lbp": _of(LBPExtractor()),
+        "lbp_rgb": _of(LBPExtractor(radius=1, n_points=4, method="default", spectral_mode="bands", band_indices=(0, 1, 2)), rgb=True),
+        "gabor_rgb": _of(GaborExtractor(), rgb=True),
+        "gabor_opponent_rgb": _of(GaborExtractor(use_opponent=True), rgb=True),
+        "mp": _of(MPExtractor()),
+        "mp_reconstruction": _of(MPExtractor(n_components=1, radii=(2, 4), shapes=("disk",), use_reconstruction=True)),
+        "mp_rgb": _of(MPExtractor(bands=(0, 1, 2), radii=RADII, shapes=("square",)), rgb=True),
+        "geometric_moment": _of(GeometricMomentExtractor()),
+        "geometric_moment_rgb": _of(GeometricMomentExtractor(**moments_rgb), rgb=True),
+        "legendre_moment_rgb": _of(LegendreMomentExtractor(**moments_rgb), rgb=True),
+        "zernike_moment_rgb": _of(ZernikeMomentExtractor(**moments_rgb), rgb=True),
+        "feature_space": _plan,
+    }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _hsi(where: str = "true", row: str = "row", col: str = "col", bands: str = f"range(0, {BANDS})", value: str = "CAST(s[b + 1] AS DOUBLE)") -> str:
+    return f"""WITH {oracle.PIXELS}, p AS (SELECT *, unnest({bands}) AS b, unnest(range(0, len({bands}))) AS k FROM px)
+SELECT CAST({row} AS INTEGER) AS row, CAST({col} AS INTEGER) AS col, CAST(k AS INTEGER) AS k, {oracle.rounded(value)} AS value FROM p, dims WHERE {where}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    red, nir, green = oracle.band(27), oracle.band(47), oracle.band(17)
+    middle = "((h - 10) // 2)", "((w - 10) // 2)"
+    return {
+        "ndvi": oracle.index(f"({nir} - {red}) / ({nir} + {red} + 1e-6)"),
+        "ndwi": oracle.index(f"({green} - {nir}) / ({green} + {nir} + 1e-6)"),
+        "savi": oracle.index(f"({nir} - {red}) * 1.5 / ({nir} + {red} + 0.5)"),
+        "hsi_describe": f"WITH {oracle.PIXELS} SELECT h AS height, w AS width, {BANDS} AS bands, 400.0::DOUBLE AS wavelength_min, 1000.0::DOUBLE AS wavelength_max, count(*) AS valid_pixels, count(*) AS total_pixels FROM px, dims GROUP BY h, w",
+        "hsi_crop": _hsi("row >= 2 AND row < h - 3 AND col % 2 = 0", "row - 2", "col // 2"),
+        "hsi_crop_center": _hsi(f"row >= {middle[0]} AND row < {middle[0]} + 10 AND col >= {middle[1]} AND col < {middle[1]} + 10", f"row - {middle[0]}", f"col - {middle[1]}"),
+        "hsi_pseudo_rgb": _hsi(bands=str(list(oracle.RGB))),
+        "hsi_stretched": f"""WITH {oracle.CELLS}, e AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM cells)
+SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(greatest(v, lo), hi) - lo) / (hi - lo + 1e-9) AS FLOAT) AS DOUBLE)")} AS value FROM cells, e""",
+        "hsi_masked": _hsi(value="CASE WHEN col % 2 = 0 THEN CAST(s[b + 1] AS DOUBLE) END"),
+        "hsi_band": oracle.index(oracle.band(10)),
+        "hsi_pixel": f"WITH {oracle.PIXELS}, p AS (SELECT unnest(range(0, {BANDS})) AS k, unnest(s) AS v FROM px WHERE row = 3 AND col = 4) SELECT CAST(k AS INTEGER) AS k, {oracle.rounded('CAST(v AS DOUBLE)')} AS value FROM p",
+        "band_cov": oracle.covariance(),
+        "noise_cov": oracle.noise_covariance(),
+        "dwt1d": oracle.dwt1d(),
+        "dwt2d": oracle.dwt2d(),
+        "dwt3d": oracle.dwt3d(),
+        "glcm_rgb": oracle.glcm(),
+        "lbp_rgb": oracle.lbp(),
+        "gabor_rgb": oracle.gabor(),
+        "mp_rgb": oracle.morphology(RADII),
+        "geometric_moment_rgb": oracle.geometric(ORDER, SIZES),
+        "legendre_moment_rgb": oracle.legendre(ORDER, SIZES),
+        "zernike_moment_rgb": oracle.zernike(ORDER, SIZES),
+    }
