@@ -176,11 +176,10 @@ def _compare(blocks: DataFrame, indexes: dict[int, Index], threshold: float, eps
                 maybe = may_reach(index, codes[a], factors[a], units[b], threshold, epsilon)
                 if pair["kind"]:
                     # Two that are guests in each other's homes meet in both cells; the lower one counts them.
-                    guests = rows.field("guest")
-                    for other in np.unique(home[b]).tolist():
-                        if other < cell:
-                            back = np.array([other in guests[i].values.to_pylist() for i in a.tolist()])
-                            maybe[np.ix_(back, home[b] == other)] = False
+                    guests = rows.field("guest").take(pa.array(a))
+                    visits = np.zeros((len(a), len(index.centroids)), dtype=bool)
+                    visits[np.repeat(np.arange(len(a)), np.asarray(guests.value_lengths())), np.asarray(guests.flatten())] = True
+                    maybe &= ~(visits[:, home[b]] & (home[b] < cell))
                 elif pair["i"] == pair["j"]:
                     maybe &= np.tri(len(a), dtype=bool).T & ~np.eye(len(a), dtype=bool)
                 left, right = np.nonzero(maybe)
