@@ -40,7 +40,7 @@ def test_cube(cube, array):
     assert (d["height"], d["width"], d["bands"], d["valid_pixels"], d["total_pixels"]) == (5, 6, 8, 29, 30)
     assert np.isnan(as_array(cube.masked())[0, 1]).all() and not np.isnan(as_array(cube.masked())[1, 1]).any()
     np.testing.assert_allclose(cube.pixel(2, 3).first()["spectrum"], array[2, 3])
-    np.testing.assert_allclose(as_array(cube.pseudo_rgb()), array[:, :, [4, 2, 1]])
+    np.testing.assert_allclose(as_array(cube.pseudo_rgb()), array[:, :, [3, 2, 1]])
     stretched = as_array(cube.stretched())
     assert stretched.min() >= 0 and stretched.max() <= 1
     for bad in (lambda: cube.band(8), lambda: cube.pixel(9, 0), lambda: cube.pixel(-1, 0)):
