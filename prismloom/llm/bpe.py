@@ -14,6 +14,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from prismloom.llm.words import slices
 
 #: The split of text into words that byte-level BPE files of this kind imply.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose encodings a Python worker remembers between batches; beyond, it forgets all.
-REMEMBERED = 400_000
+#: Words whose encodings, and pairs of tokens whose verdicts, a Python worker remembers between batches; beyond, it forgets all.
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,14 +51,20 @@ class Vocabulary:
         self.bytes = dict(map(reversed, self.ids.items()))
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (rank, self.ids[as_bytes(a + b)]) for rank, (a, b) in enumerate(pairs)}
+        #: Of a merged token its parts and rank; what is no merge's result is its own parts, before all ranks.
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        for (left, right), (rank, token) in self.merges.items():
+            self.parts.setdefault(token, (left, right, rank))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        #: Every end of a token, and the token that it is, or -1 if it is none.
+        self.endings = {t[i:]: -1 for t in self.ids for i in range(1, len(t))} | self.ids
         self.words = regex.compile(WORD_PATTERN)
         by_length = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.apart: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}  # ids as four bytes each
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain BPE: merge the pair of least rank, leftmost first, until none is left."""
@@ -69,17 +76,37 @@ class Vocabulary:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
+    def is_whole(self, token: int) -> bool:
+        """Whether the token's bytes encode to itself."""
+        if token not in self.whole:
+            self.whole[token] = self.merged([self.ids[bytes([x])] for x in self.bytes[token]]) == [token]
+        return self.whole[token]
+
     def stay_apart(self, a: int, b: int) -> bool:
-        """Whether the bytes of a and b together encode to just these two tokens."""
-        if (a, b) not in self.apart:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            self.apart[a, b] = self.merged([self.ids[bytes([x])] for x in self.bytes[a] + self.bytes[b]]) == [a, b]
-        return self.apart[a, b]
+        """Whether the bytes of a and b together encode to just these two tokens.
+
+        The merges that make them are undone, the latest first. Something would have merged across the
+        border if the tokens at the border, at some time, were a pair of an earlier rank than what made the
+        next of them.
+        """
+        merges, parts = self.merges, self.parts
+        bound = 1 << 60
+        while True:
+            pair = merges.get((a, b))
+            if pair is not None and pair[0] < bound:
+                return False
+            of_a, of_b = parts.get(a), parts.get(b)
+            if of_a is None and of_b is None:
+                return True
+            # At equal ranks (equal tokens) the left one was made first, so the right one is undone first.
+            if of_b is None or of_a is not None and of_a[2] > of_b[2]:
+                a, bound = of_a[1], of_a[2]
+            else:
+                b, bound = of_b[0], of_b[2] + 1
 
     def learn(self, words: set[str]) -> None:
         """Encode words, all together."""
-        ids, apart, longest = self.ids, self.apart, self.longest
+        endings, apart = self.endings.get, self.apart
         before = b""
         last: list[int] = []  # of each prefix on the path, the last token and its length
         size: list[int] = []
@@ -90,14 +117,23 @@ class Vocabulary:
                 depth += 1
             del last[depth:], size[depth:]
             for end in range(depth + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is None:
-                        continue
+                found, start = [], end - 1
+                while start >= 0 and (token := endings(word[start:end])) is not None:
+                    if token >= 0:
+                        found.append((start, token))
+                    start -= 1
+                for start, token in reversed(found):
                     if start:
-                        fits = apart.get((last[start - 1], token))
-                        if not (self.stay_apart(last[start - 1], token) if fits is None else fits):
+                        pair = last[start - 1] << 20 | token
+                        fits = apart.get(pair)
+                        if fits is None:
+                            if len(apart) > REMEMBERED_PAIRS:
+                                apart.clear()
+                            fits = apart[pair] = self.is_whole(token) and self.stay_apart(last[start - 1], token)
+                        if not fits:
                             continue
+                    elif not self.is_whole(token):
+                        continue
                     last.append(token)
                     size.append(end - start)
                     break
@@ -107,19 +143,20 @@ class Vocabulary:
             while end:
                 out.append(last[end - 1])
                 end -= size[end - 1]
-            self.known[text] = tuple(reversed(out))
+            self.known[text] = pack(f"<{len(out)}I", *reversed(out))
             before = word
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each text end."""
         pieces = [[p for p in self.split.split(t) if p] if self.split else [t] for t in texts]
-        words = [[(p,) if p in self.special else self.words.findall(p) for p in parts] for parts in pieces]
+        words = [list(chain.from_iterable((p,) if p in self.special else self.words.findall(p) for p in parts)) for parts in pieces]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known |= {t: (i,) for t, i in self.special.items()}
-        new = set(chain.from_iterable(chain.from_iterable(words))) - self.known.keys()
-        self.learn(new)
+        self.known |= {t: pack("<I", i) for t, i in self.special.items()}
+        self.learn(set(chain.from_iterable(words)) - self.known.keys())
         get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, chain.from_iterable(w)))) for w in words]
+        joined = [b"".join(map(get, w)) for w in words]
+        return np.frombuffer(b"".join(joined), dtype="<i4"), np.cumsum([0, *(len(j) // 4 for j in joined)])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -149,9 +186,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
         own = vocabulary(path)
         for batch in batches:
             for piece in slices(batch, text):
-                ids = own.encode([t or "" for t in piece.column(at).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+                flat, ends = own.encode([t or "" for t in piece.column(at).to_pylist()])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*piece.columns, column], [*piece.schema.names, into])
 
