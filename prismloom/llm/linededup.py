@@ -142,10 +142,11 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
                 for i, (t, found) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
                     own_spans = found if t is not None and found else []
                     rows += [i] * len(own_spans)
-                    spans += [(s["hash"], t[s["start"] : s["end"]], s["start"]) for s in own_spans]
+                    spans += [(s["hash"], " ".join(t[s["start"] : s["end"]].split()), s["start"]) for s in own_spans]
                 rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.string()), pa.array([s[2] for s in spans], pa.int32()), piece.column(at_id).take(rows), piece.column(len(names)).take(rows)], ["hash", "bytes", "start", "id", "key"])
 
+    # Lines count without the white space between them, so bytes are compared with single spaces for it.
     # Both visits to the texts use all columns, so Spark makes one exchange for both.
     visited = keyed.join(suspects, "key", "left").select(*own.values(), "key", "suspects").mapInArrow(read, f"hash bigint, bytes string, start int, id {kinds[names.index(id)]}, key binary")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
