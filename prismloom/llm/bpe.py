@@ -11,6 +11,7 @@ walked once.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from prismloom.llm.storage import table
 from prismloom.llm.words import slices
 
-#: The split of text into words that byte-level BPE files of this kind imply.
+#: The split of text into words that byte-level BPE files of this kind imply,
+#: for texts of ASCII alone (the same, in terms that match faster) and for all.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings, and pairs of tokens whose verdicts, a Python worker remembers between batches; beyond, it forgets all.
-REMEMBERED, REMEMBERED_PAIRS = 400_000, 400_000
+REMEMBERED, REMEMBERED_PAIRS = 600_000, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,13 +60,13 @@ class Vocabulary:
             self.parts.setdefault(token, (left, right, rank))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        #: Every end of a token, and the token that it is, or -1 if it is none.
-        self.endings = {t[i:]: -1 for t in self.ids for i in range(1, len(t))} | self.ids
-        self.words = regex.compile(WORD_PATTERN)
+        #: Every end of a token, and the token that it is, or -1 if it is none or its bytes don't encode to itself.
+        whole = {t: i for t, i in self.ids.items() if self.merged([self.ids[bytes([x])] for x in t]) == [i]}
+        self.endings = {t[i:]: -1 for t in whole for i in range(1, len(t))} | whole
+        self.words, self.ascii_words = regex.compile(WORD_PATTERN), re.compile(ASCII_PATTERN)
         by_length = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.apart: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}  # ids as four bytes each
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -76,12 +79,6 @@ class Vocabulary:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
-    def is_whole(self, token: int) -> bool:
-        """Whether the token's bytes encode to itself."""
-        if token not in self.whole:
-            self.whole[token] = self.merged([self.ids[bytes([x])] for x in self.bytes[token]]) == [token]
-        return self.whole[token]
-
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode to just these two tokens.
 
@@ -106,7 +103,7 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Encode words, all together."""
-        endings, apart = self.endings.get, self.apart
+        endings, apart = self.endings, self.apart
         before = b""
         last: list[int] = []  # of each prefix on the path, the last token and its length
         size: list[int] = []
@@ -117,23 +114,22 @@ class Vocabulary:
                 depth += 1
             del last[depth:], size[depth:]
             for end in range(depth + 1, n + 1):
-                found, start = [], end - 1
-                while start >= 0 and (token := endings(word[start:end])) is not None:
-                    if token >= 0:
-                        found.append((start, token))
-                    start -= 1
-                for start, token in reversed(found):
+                first = end - 1
+                while first >= 0 and word[first:end] in endings:
+                    first -= 1
+                for start in range(first + 1, end):
+                    token = endings[word[start:end]]
+                    if token < 0:
+                        continue
                     if start:
                         pair = last[start - 1] << 20 | token
                         fits = apart.get(pair)
                         if fits is None:
                             if len(apart) > REMEMBERED_PAIRS:
                                 apart.clear()
-                            fits = apart[pair] = self.is_whole(token) and self.stay_apart(last[start - 1], token)
+                            fits = apart[pair] = self.stay_apart(last[start - 1], token)
                         if not fits:
                             continue
-                    elif not self.is_whole(token):
-                        continue
                     last.append(token)
                     size.append(end - start)
                     break
@@ -149,7 +145,7 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where those of each text end."""
         pieces = [[p for p in self.split.split(t) if p] if self.split else [t] for t in texts]
-        words = [list(chain.from_iterable((p,) if p in self.special else self.words.findall(p) for p in parts)) for parts in pieces]
+        words = [list(chain.from_iterable((p,) if p in self.special else (self.ascii_words if p.isascii() else self.words).findall(p) for p in parts)) for parts in pieces]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known |= {t: pack("<I", i) for t, i in self.special.items()}
