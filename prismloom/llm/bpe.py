@@ -13,12 +13,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings, and pairs of tokens whose verdicts, a Python worker remembers between batches; beyond, it forgets all.
 REMEMBERED, REMEMBERED_PAIRS = 600_000, 400_000
+#: Words that it keeps when a task has ended.
+KEPT = 150_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,15 +63,28 @@ class Vocabulary:
             self.parts.setdefault(token, (left, right, rank))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        #: Every end of a token, and the token that it is, or -1 if it is none or its bytes don't encode to itself.
-        whole = {t: i for t, i in self.ids.items() if self.merged([self.ids[bytes([x])] for x in t]) == [i]}
-        self.endings = {t[i:]: -1 for t in whole for i in range(1, len(t))} | whole
+        #: The bytes of all tokens, one after the other, and where an id's begin and how many they are.
+        self.table = np.frombuffer(b"".join(self.bytes.values()), dtype=np.uint8)
+        self.sizes, self.starts = np.zeros((2, max(self.bytes) + 1), dtype=np.int64)
+        self.sizes[list(self.bytes)] = [len(t) for t in self.bytes.values()]
+        self.starts[list(self.bytes)] = np.cumsum([0, *map(len, self.bytes.values())])[:-1]
         self.words, self.ascii_words = regex.compile(WORD_PATTERN), re.compile(ASCII_PATTERN)
         by_length = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}  # ids as four bytes each
 
+    @cached_property
+    def endings(self) -> dict[bytes, int]:
+        """Every end of a token, and the token that it is, or -1 if it is none or its bytes don't encode to itself."""
+        whole = {t: i for t, i in self.ids.items() if self.merged([self.ids[bytes([x])] for x in t]) == [i]}
+        return {t[i:]: -1 for t in whole for i in range(1, len(t))} | whole
+
+    def rest(self) -> None:
+        """Forgets what a large task has learnt, so an idle worker holds little."""
+        if len(self.known) > KEPT:
+            self.known, self.apart = {}, {}
+
     def merged(self, ids: list[int]) -> list[int]:
         """Plain BPE: merge the pair of least rank, leftmost first, until none is left."""
         ids = list(ids)
@@ -154,8 +170,13 @@ class Vocabulary:
         joined = [b"".join(map(get, w)) for w in words]
         return np.frombuffer(b"".join(joined), dtype="<i4"), np.cumsum([0, *(len(j) // 4 for j in joined)])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of sequences of ids, given one after the other."""
+        sizes = self.sizes[ids]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.table[np.repeat(self.starts[ids] - at[:-1], sizes) + np.arange(at[-1])].tobytes()
+        bounds = at[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -185,6 +206,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
                 flat, ends = own.encode([t or "" for t in piece.column(at).to_pylist()])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*piece.columns, column], [*piece.schema.names, into])
+        own.rest()
 
     return df.mapInArrow(run, _with_column(df, into, "array<int>"))
 
@@ -198,10 +220,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                piece = batch.slice(lo, 500)
-                texts = [own.decode(x or []) for x in (v.values.to_pylist() if v.is_valid else None for v in piece.column(at))]
+            sizes = np.asarray(pa.compute.list_value_length(batch.column(at)).fill_null(0))
+            total, lo = np.cumsum(sizes), 0
+            while lo < len(batch):
+                # Slices of about half a million ids, a row each at least.
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, side="right")))
+                piece = batch.slice(lo, hi - lo)
+                texts = own.decode(np.asarray(piece.column(at).flatten(), dtype=np.int64), np.cumsum([0, *sizes[lo:hi]]))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, into])
+                lo = hi
 
     return df.mapInArrow(run, _with_column(df, into, "string"))
 
