@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.llm.storage import table
+from prismloom.llm.storage import small_batches, table
 from prismloom.llm.words import slices
 
 #: The split of text into words that byte-level BPE files of this kind imply,
@@ -197,6 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
     """
     if into in df.columns:
         raise ValueError(f"column {into} is there already")
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +216,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     """Adds the text that each array of ids stands for; null ids stand for the empty text."""
     if into in df.columns:
         raise ValueError(f"column {into} is there already")
+    small_batches(df.sparkSession)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

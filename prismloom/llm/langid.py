@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.llm.storage import table
+from prismloom.llm.storage import small_batches, table
 from prismloom.llm.words import slices
 
 #: Documents of a language in the training sample at most, segments taken of each, languages at most.
@@ -225,6 +225,7 @@ def identify(docs: DataFrame, net: Network | None, *, text: str = "text") -> Dat
     """
     if {"lang_pred", "score"} & set(docs.columns):
         raise ValueError("columns lang_pred or score are there already")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousands of weights
     own = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
