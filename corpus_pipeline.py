@@ -53,7 +53,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_equal): token ids, and whether they decode to the text."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("decoded_equal"))
 

@@ -77,15 +77,18 @@ def test_bpe_equals_the_library(spark):
     library = tokenizers.Tokenizer.from_file(PATH)
     library.no_truncation(), library.no_padding()
     docs = documents(spark, texts)
-    rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
+    rows, at_once = bpe.decode(bpe.encode(docs, PATH), PATH).collect(), bpe.round_trip(docs, PATH)
+    assert len(rows) == len(texts) and at_once.count() == len(texts) and at_once.columns == [*docs.columns, "ids", "decoded"]
+    for r in rows + at_once.collect():
         want = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == want
         assert r["decoded"] == library.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+    assert bpe.round_trip(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(docs, PATH, into="lang")
+    with pytest.raises(ValueError):
+        bpe.round_trip(docs, PATH, ids="lang")
 
 
 def test_pairs_of_tokens():
