@@ -86,9 +86,9 @@ def least_agreeing(threshold: float, tolerance: float) -> list[tuple[int, int]]:
 def surviving_pairs(bands: np.ndarray, values: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the given ones that this band is the first to bring together and that pruning leaves."""
     # Only pairs of one bucket come here, so all share this band's value.
-    if band:
-        first = ~(bands[left, :band] == bands[right, :band]).any(axis=1)
-        left, right = left[first], right[first]
+    for j in range(band):
+        new = bands[left, j] != bands[right, j]
+        left, right = left[new], right[new]
     agree, at = np.zeros(len(left), dtype=np.int32), 0
     for n, m in least_agreeing(threshold, tolerance):
         agree += (values[left, at:n] == values[right, at:n]).sum(axis=1, dtype=np.int32)
