@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Texts are handled in slices of about so many bytes, which bounds the memory of a task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
