@@ -1,17 +1,19 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by all runs of lines that just pass 50 words.
 
 A line ends at a line feed or after a sentence. A rolling hash over the hashes of two neighbouring lines
 says where chunks end, so boundaries depend on nearby content only, and a passage is cut alike in whatever
-document and place it stands. Several layers, each with boundaries of its own, cover what one layer's
-chunks would miss at the ends of a passage. Chunks whose hash occurs again anywhere are compared byte by
-byte; of equal ones the first stays, and the lines of the others are removed.
+document and place it stands. Several layers, each with boundaries of its own, find most repeated passages,
+short ones too. So that none of over 50 words is missed, whatever stands around it, the shortest run of
+over 50 words from each line on, and the shortest up to each line, are chunks as well: those inside a
+passage cover it to its last line. A chunk can occur again only if all its pairs of neighbouring lines do,
+so chunks are made where pairs do. Lines are compared byte by byte and chunks line by line; of equal ones
+the first stays, and the lines of the others are removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,13 @@ from prismloom.llm.words import mix, slices
 
 #: Independent choices of boundaries, lines of a chunk at least and at most, words of a removed chunk at least.
 LAYERS, LEAST_LINES, MOST_LINES, LEAST_WORDS = 3, 2, 32, 12
-_END = re.compile(r"[.!?]\s+|\n\s*")
+#: A repeated run of lines with more words than this is always found.
+RUN_WORDS = 50
+_END = re.compile(r"[.!?\u061F\u06D4\u0964]\s+|[\u3002\uFF01\uFF1F\uFF61]\s*|\n\s*")
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
+#: Chunks in an Arrow batch at most.
+CHUNK_ROWS = 20_000
 
 
 def line_ends(text: str) -> list[int]:
@@ -56,69 +62,127 @@ def chunk_spans(hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.nd
     return lo[same], np.minimum(hi, lo + MOST_LINES)[same]
 
 
-def document_chunks(texts: list[str], layers: int = LAYERS, least_words: int = LEAST_WORDS) -> list[list[tuple[int, int, int]]]:
-    """For each text, (start, end, hash) of the chunks of all layers, each once, in code points."""
-    ends = [line_ends(t) for t in texts]
-    first = np.cumsum([0, *map(len, ends)])
-    starts = [[0, *e[:-1]] if e else [] for e in ends]
-    lines = [t[a:b].rstrip() for t, lo, hi in zip(texts, starts, ends, strict=True) for a, b in zip(lo, hi, strict=True)]
-    own = np.fromiter(map(xxhash.xxh64_intdigest, lines), dtype=np.uint64, count=len(lines))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(own * _series(_BASE, len(lines))[:-1])])
-    words = np.concatenate([[0], np.cumsum(np.fromiter((x.count(" ") + 1 for x in lines), dtype=np.int64, count=len(lines)))])
-    start = np.fromiter(chain.from_iterable(starts), dtype=np.int64, count=len(lines))
-    end = start + np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+def run_spans(words: np.ndarray, first: np.ndarray, most: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """From each line on, and up to each line, the fewest lines of its document that have over ``most`` words."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    lines = np.arange(len(words))
+    doc = np.searchsorted(first, lines, side="right") - 1
+    hi = np.searchsorted(total, total[:-1] + most + 1)
+    lo = np.searchsorted(total, total[1:] - most - 1, side="right") - 1
+    on, upto = hi <= first[doc + 1], lo >= first[doc]
+    return np.concatenate([lines[on], lo[upto]]), np.concatenate([hi[on], lines[upto] + 1])
+
+
+def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of all texts: hashes, numbers of words, and the first line of each text and the number of lines.
+
+    White space counts as single spaces, and not at all at the ends of a line.
+    """
+    hashes, words, first = [], [], [0]
+    for text in texts:
+        at = 0
+        for end in line_ends(text):
+            parts = text[at:end].split()
+            hashes.append(xxhash.xxh64_intdigest(" ".join(parts)))
+            words.append(len(parts))
+            at = end
+        first.append(len(hashes))
+    return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(first, dtype=np.int64)
+
+
+def line_chunks(own: np.ndarray, words: np.ndarray, first: np.ndarray, layers: int = LAYERS, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last and hash of the chunks of all layers and of all runs, each once, in order."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    run = np.concatenate([[np.uint64(0)], np.cumsum(own * _series(_BASE, len(own))[:-1])])
     spans = [chunk_spans(own, first, seed) for seed in range(layers)]
-    code = np.unique(np.concatenate([lo * (MOST_LINES + 1) + hi - lo for lo, hi in spans]))
-    lo = code // (MOST_LINES + 1)
-    hi = lo + code % (MOST_LINES + 1)
-    enough = words[hi] - words[lo] >= least_words
-    lo, hi = lo[enough], hi[enough]
-    grams = mix((run[hi] - run[lo]) * _series(_BACK, len(lines))[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
-    found = list(zip(start[lo].tolist(), end[hi - 1].tolist(), grams.tolist(), strict=True))
+    lo, hi = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # Runs cover whatever chunks of over RUN_WORDS words do.
+    enough = (total[hi] - total[lo] >= least_words) & (total[hi] - total[lo] <= RUN_WORDS)
+    runs = run_spans(words, first)
+    found = np.unique(np.stack([np.concatenate([lo[enough], runs[0]]), np.concatenate([hi[enough], runs[1]])], axis=1), axis=0)
+    lo, hi = found[:, 0], found[:, 1]
+    return lo, hi, mix((run[hi] - run[lo]) * _series(_BACK, len(own))[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
+
+
+def document_chunks(texts: list[str], layers: int = LAYERS, least_words: int = LEAST_WORDS) -> list[list[tuple[int, int, int]]]:
+    """For each text, (first line, line after the last, hash) of its chunks."""
+    own, words, first = line_hashes(texts)
+    lo, hi, grams = line_chunks(own, words, first, layers, least_words)
     at = np.searchsorted(lo, first)
-    return [found[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [list(zip((lo[a:b] - f).tolist(), (hi[a:b] - f).tolist(), grams[a:b].tolist(), strict=True)) for a, b, f in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist(), strict=False)]
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(key, text) to a row for each chunk: (key, start, end, hash)."""
+def line_grams(own: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's pairs of neighbouring lines, then of its lines of over RUN_WORDS words; the first of each text."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    long = np.flatnonzero(words > RUN_WORDS)
+    grams = np.concatenate([mix(own[pair] * np.uint64(_BASE) + own[pair + 1]), own[long]])
+    docs = np.concatenate([doc[pair], doc[long]])
+    return grams[np.argsort(docs, kind="stable")], np.searchsorted(np.sort(docs), np.arange(len(first)))
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, text) to (key, id, hashes, words, grams)."""
     for batch in batches:
         for piece in slices(batch, "text"):
-            found = document_chunks([t or "" for t in piece.column(1).to_pylist()], layers, least_words)
-            keys = piece.column(0).take(pa.array(np.repeat(np.arange(len(piece)), [len(x) for x in found])))
-            flat = np.array(list(chain.from_iterable(found)), dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2])], ["key", "start", "end", "hash"])
+            own, words, first = line_hashes([t or "" for t in piece.column(2).to_pylist()])
+            grams, first_gram = line_grams(own, words, first)
+            lists = lambda x, f: pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(x))
+            yield pa.RecordBatch.from_arrays([*piece.columns[:2], lists(own.view(np.int64), first), lists(words.astype(np.int32), first), lists(grams.view(np.int64), first_gram)], ["key", "id", "hashes", "words", "grams"])
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """(key, id, hashes, words, repeated) to a row for each chunk of repeated grams: (key, id, start, end, hash, lines)."""
+    flat = lambda x: np.asarray(x.flatten()).astype(np.int64)
+    for batch in batches:
+        first = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2).value_lengths()))]).astype(np.int64)
+        own, words = flat(batch.column(2)), flat(batch.column(3))
+        pairs, alone = np.zeros(len(own) + 1, dtype=np.int64), np.zeros(len(own), dtype=bool)
+        doc, at = np.repeat(np.arange(len(batch)), np.asarray(batch.column(4).value_lengths())), flat(batch.column(4))
+        is_pair = at < np.diff(first)[doc] - 1
+        pairs[(first[doc] + at)[is_pair] + 1] = 1
+        long = np.flatnonzero(words > RUN_WORDS)
+        alone[long[(np.searchsorted(long, first[doc]) + at - np.diff(first)[doc] + 1)[~is_pair]]] = True
+        pairs = np.cumsum(pairs)
+        lo, hi, grams = line_chunks(own.view(np.uint64), words, first, layers, least_words)
+        held = np.where(hi - lo == 1, alone[lo], pairs[hi - 1] - pairs[lo] == hi - lo - 1)
+        lo, hi, grams = lo[held], hi[held], grams[held]
+        for a in range(0, len(lo), CHUNK_ROWS):
+            l, h = lo[a : a + CHUNK_ROWS], hi[a : a + CHUNK_ROWS]
+            doc = np.searchsorted(first, l, side="right") - 1
+            bounds = np.concatenate([[0], np.cumsum(h - l)])
+            lines = own[np.repeat(l - bounds[:-1], h - l) + np.arange(bounds[-1])]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((l - first[doc]).astype(np.int32)), pa.array((h - first[doc]).astype(np.int32)), pa.array(grams[a : a + CHUNK_ROWS]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(lines))], ["key", "id", "start", "end", "hash", "lines"])
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without spans of whole lines and the white space after them; lines in all, lines removed."""
-    ends, kept, gone, i = line_ends(text), [], 0, 0
+    """The text without spans of lines and the white space after them; lines in all, lines removed."""
+    ends, kept, gone, last = line_ends(text), [], 0, False
     if not spans:
         return text, len(ends), 0
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    for a, after in zip([0, *ends], ends, strict=False):
-        b = a + len(text[a:after].rstrip())
-        while i < len(merged) and merged[i][1] <= a:
-            i += 1
-        if i < len(merged) and merged[i][0] <= a and b <= merged[i][1] and b > a:
+    drop = np.zeros(len(ends), dtype=bool)
+    for a, b in spans:
+        drop[a:b] = True
+    for a, after, out in zip([0, *ends], ends, drop.tolist(), strict=False):
+        last = out and bool(text[a:after].strip())
+        if last:
             gone += 1
         else:
             kept.append(text[a:after])
     out = "".join(kept)
-    return (out.rstrip() if gone and len(out) < len(text) and merged[-1][1] >= len(text.rstrip()) else out), len(ends), gone
+    return (out.rstrip() if last else out), len(ends), gone
 
 
 def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", layers: int = LAYERS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with repeated chunks removed from their text, and n_lines and n_removed (in lines).
 
     Of equal chunks the first stays, by id, then place; a null id comes last. Rows with the same id and
-    text are one document and stay alike. Null texts stay null, and empty texts, single lines and
-    chunks of fewer words than ``least_words`` stay as they are; so do chunks whose 64-bit hash stands for
-    different bytes. Other columns are kept; ``n_lines`` and ``n_removed`` must
+    text are one document and stay alike. No repeated run of whole lines with over RUN_WORDS words, which
+    white space separates, is missed; shorter ones of two lines or more and ``least_words`` words may be. Null
+    texts stay null, and empty texts, shorter single lines and chunks of fewer words stay as they are; so do
+    chunks whose 64-bit hash, or a line's, stands for different bytes. Other columns are kept; ``n_lines`` and ``n_removed`` must
     be new names. An empty table gives no rows.
     """
     if {"n_lines", "n_removed"} & set(docs.columns):
@@ -128,32 +192,42 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     docs = docs.select(*(F.col(f"`{n}`").alias(o) for n, o in own.items()))
     # The bytes of id and text, rather than where the row stands, so a task that runs again finds the same keys.
     keyed = docs.withColumn("key", row_key(F.col(own[id]), F.col(own[text])))
-    chunks = written(keyed.select("key", F.col(own[text]).alias("text")).mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), "key binary, start int, end int, hash bigint"), "chunks")
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    # A set, as rows with the same id and text have the same key and chunks.
-    suspects = written(chunks.join(repeated, "hash").groupBy("key").agg(F.collect_set(F.struct("start", "end", "hash")).alias("suspects")), "suspects")
     kinds = [docs.schema[o].dataType.simpleString() for o in own.values()]
+    kind = kinds[names.index(id)]
+    lines = written(keyed.select("key", F.col(own[id]).alias("id"), F.col(own[text]).alias("text")).mapInArrow(_line_rows, f"key binary, id {kind}, hashes array<bigint>, words array<int>, grams array<bigint>"), "lines")
+    repeated = lines.select(F.explode("grams").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # A set, as rows with the same id and text have the same key and grams.
+    places = written(lines.select("key", F.posexplode("grams").alias("at", "hash")).join(repeated, "hash").groupBy("key").agg(F.collect_set("at").alias("repeated")), "places")
+    chunks = written(lines.join(places, "key").select("key", "id", "hashes", "words", "repeated").mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), f"key binary, id {kind}, start int, end int, hash bigint, lines array<bigint>"), "chunks")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_id, at_text = names.index(id), names.index(text)
+        at_text = names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                rows, spans = [], []
-                for i, (t, found) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
-                    own_spans = found if t is not None and found else []
-                    rows += [i] * len(own_spans)
-                    spans += [(s["hash"], " ".join(t[s["start"] : s["end"]].split()), s["start"]) for s in own_spans]
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.string()), pa.array([s[2] for s in spans], pa.int32()), piece.column(at_id).take(rows), piece.column(len(names)).take(rows)], ["hash", "bytes", "start", "id", "key"])
+                found = set()
+                for t, again in zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True):
+                    if not again:
+                        continue
+                    ends = line_ends(t)
+                    some = {x for i in again if i < len(ends) - 1 for x in (i, i + 1)}
+                    every = max(again) >= len(ends) - 1  # a line of over RUN_WORDS words
+                    for i in range(len(ends)) if every else some:
+                        parts = t[ends[i - 1] if i else 0 : ends[i]].split()
+                        if i in some or len(parts) > RUN_WORDS:
+                            found.add(" ".join(parts))
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(found), pa.string())], ["hash", "bytes"])
 
     # Lines count without the white space between them, so bytes are compared with single spaces for it.
     # Both visits to the texts use all columns, so Spark makes one exchange for both.
-    visited = keyed.join(suspects, "key", "left").select(*own.values(), "key", "suspects").mapInArrow(read, f"hash bigint, bytes string, start int, id {kinds[names.index(id)]}, key binary")
+    visited = keyed.join(places, "key", "left").select(*own.values(), "key", "repeated").mapInArrow(read, "hash bigint, bytes string")
+    # All bytes of a hash are the same if the least and the greatest are. One row, with next to no hashes.
+    clashes = visited.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").agg(F.collect_list("hash").alias("clashes"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
-    # All bytes of a hash are the same if the least and the greatest are.
-    first = visited.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.min(place).alias("first")).where("lo = hi").select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
-    again = suspects.select("key", F.explode("suspects").alias("s")).select("key", "s.start", "s.end", "s.hash").join(first, "hash").where((F.col("key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
-    spans = again.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    first = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("lines").alias("lo"), F.max("lines").alias("hi"), F.min(place).alias("first")).where("n > 1 AND lo = hi")
+    first = first.crossJoin(F.broadcast(clashes)).where(~F.arrays_overlap("lo", "clashes")).select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
+    again = chunks.select("key", "start", "end", "hash").join(first, "hash").where((F.col("key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
+    spans = again.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)

@@ -127,6 +127,26 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(clash).select("key", "hash").count() == len(texts)
 
 
+def test_no_long_passage_stays(spark):
+    """Passages of one line to six with over 50 words, amid other lines, are removed to the last line."""
+    rng = np.random.default_rng(21)
+    new = lambda n: " ".join(f"n{rng.integers(1 << 40)}" for _ in range(n))
+    texts, passages = [], []
+    for lines in (1, 2, 3, 4, 5, 6):
+        for end in (". ", "\n", "\u3002"):
+            for sizes in ([51 // lines + 1] * lines, [60, *[3] * (lines - 1)], [*[3] * (lines - 1), 60]):
+                for space in (" ", "  "):
+                    passage = "".join(new(n) + end for n in sizes)
+                    around = ["".join(new(int(rng.integers(1, 30))) + end for _ in range(3)) for _ in range(4)]
+                    texts += [around[0] + passage + around[1], around[2] + passage.replace(" ", space) + around[3], space + passage]
+                    passages.append((passage, around[2] + around[3]))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    for i, (passage, rest) in enumerate(passages):
+        assert got[3 * i]["text"] == texts[3 * i]
+        assert words(got[3 * i + 1]["text"]) == words(rest), passage
+        assert not words(got[3 * i + 2]["text"])
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(2)
     passage = " ".join(sentences(rng, 30))
