@@ -115,14 +115,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, keys: list[str], text: s
     ``n_hit`` counts words inside any occurrence of a window, ``items`` are the ids (as sorted strings)
     of the items with a window in the document, and a document is contaminated if a twentieth of its
     words or more are hit. Null and empty texts have no words and hold nothing; items without words, or
-    with a null id, have no windows; repeated documents each give a row, and items with the same text
+    with a null id, have no windows; rows with the same id are one item; repeated documents each give a row, and items with the same text
     are all reported. Other columns, whatever their names, are ignored; an empty benchmark or an empty
     table of documents gives zero counts or no rows.
     """
     spark = docs.sparkSession
     own = [f"key_{i}" for i in range(len(keys))]
     docs = docs.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col(text).alias("body")).withColumn("uid", F.monotonically_increasing_id())
-    windows = cut(item_windows(items.select(F.col(item).alias("item"), F.col(text).alias("body")), "body", window, shingle))
+    windows = item_windows(items.select(F.col(item).alias("item"), F.col(text).alias("body")), "body", window, shingle)
+    # Rows of an item may repeat a text or have different ones: a window counts once, and has a number of its own.
+    windows = cut(windows.dropDuplicates(["item", "words"]).withColumn("win", F.monotonically_increasing_id()))
     summary = windows.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n"), F.collect_set("k").alias("sizes")).first()
     sizes, blocks = sorted(summary["sizes"]), max(1, -(-summary["n"] // max_index))
     carried, hits = [*own, "uid"], []

@@ -71,6 +71,19 @@ def test_decontamination(spark, max_index):
     assert decontamination.decontaminate(docs.limit(0), bench, keys=["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("max_index", [2_000_000, 40])
+def test_repeated_benchmark_rows(spark, max_index):
+    rng = np.random.default_rng(6)
+    a, b, c = (phrase(rng, 20, p) for p in "abc")
+    items = [(1, a), (1, a), (2, b), (2, c), (3, a), (4, "short item"), (4, "short item"), (4, f"{c} {c}")]
+    texts = [a, b, c, f"{phrase(rng, 100)} {b[:200]} {c}", "a short item", f"{c} {c}", phrase(rng, 50)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r for r in decontamination.decontaminate(documents(spark, texts), bench, keys=["doc_id"], max_index=max_index).collect()}
+    for i, (n, hit, found, bad) in enumerate(brute_contamination(texts, items)):
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) == (n, hit, found, bad), i
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     texts = [*some_texts(), "<|endoftext|>x<|endoftext|>", "it's we'll\r\n\r\n  9 99", "a" * 3000, "\x00\x7f", "🙂 emoji 🙂🙂", "a\x1c\x1cb \x85\x85c", "x\t\ty\x0b z\x0c", "\u3000\u2028a", "²½ Ⅷ"]
