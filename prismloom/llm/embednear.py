@@ -26,15 +26,20 @@ from prismloom.llm.storage import table, written
 THRESHOLD = 0.9
 #: Classes in a cell on average, centroids at most, and classes that centroids are fitted on at most.
 CELL, MOST_CELLS, SAMPLE = 400, 4096, 20_000
-#: Distance from the border of its cell up to which a vector is a guest beyond it. A pair at the threshold
-#: is at most 0.45 apart, of which 0.056 on average falls on one direction in 64 dimensions, so that the nearer of two
-#: lies further off than this once in some thousands of pairs.
-MARGIN = 0.1
 #: Standard deviations of the estimate that its bound allows for.
 EPSILON = 4.0
 BLOCK = 256
 
 
+def margin_of(threshold: float) -> float:
+    """Distance from the border of its cell up to which a vector is a guest beyond it.
+
+    Two unit vectors at the threshold are at most sqrt(2 - 2 * threshold) apart, so the nearer one to a border
+    between them lies within half of that, whatever the dimension; a little is added for rounding.
+    """
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-6)
+
+
 @dataclass
 class Index:
     """Centroids (unit vectors) and the rotation, for vectors of one dimension."""
@@ -191,14 +196,16 @@ def _compare(blocks: DataFrame, indexes: dict[int, Index], threshold: float, eps
     return blocks.mapInArrow(run, LINKS)
 
 
-def near_embeddings(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, margin: float = MARGIN, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
+def near_embeddings(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, cell: int = CELL, margin: float | None = None, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept), a row a vector.
 
-    Links are pairs found with cosine at the threshold or above, in double precision; none below it.
+    Links are pairs found with cosine at the threshold or above, in double precision; none below it. Unless a
+    smaller ``margin`` is given, no pair is missed at a border of cells.
     Vectors that are null, zero or hold null or non-finite components, and vectors of different
     dimensions, don't link. ``component_id`` is the least id that links reach; a null id comes after all others. Repeated rows link like other equal
     vectors, and ``kept`` holds for rows whose id is the component's. Other columns are left out; an empty table gives no rows.
     """
+    margin = margin_of(threshold) if margin is None else margin
     rows = keyed(vectors, id, embedding)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"))
     classes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("n_rows"), F.min(place).alias("first"), F.any_value("unit").alias("unit")), "classes")

@@ -98,6 +98,23 @@ def test_embeddings(spark, cell, block):
     assert embednear.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_no_pair_is_lost_at_borders(spark):
+    """Vectors of few effective dimensions, whose differences point across borders of cells."""
+    rng = np.random.default_rng(12)
+    plane = np.linalg.qr(rng.standard_normal((64, 5)))[0]
+    base = rng.standard_normal((500, 5))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.standard_normal((500, 5))
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    near = 0.905 * base + np.sqrt(1 - 0.905**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    units = np.concatenate([base, near]) @ plane.T
+    df = spark.createDataFrame([(i, list(map(float, u))) for i, u in enumerate(units)], "vec_id bigint, embedding array<double>")
+    close = units @ units.T >= 0.9
+    # Estimates are left no bound, so that only borders could lose a pair.
+    got = {r["vec_id"]: r["n_links"] for r in embednear.near_embeddings(df, cell=40, epsilon=1e6).collect()}
+    assert [got[i] for i in range(len(units))] == (close.sum(axis=1) - 1).tolist()
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     size = 64
