@@ -5,13 +5,16 @@ says where chunks end, so boundaries depend on nearby content only, and a passag
 document and place it stands. Several layers, each with boundaries of its own, find most repeated passages,
 short ones too. So that none of over 50 words is missed, whatever stands around it, the shortest run of
 over 50 words from each line on, and the shortest up to each line, are chunks as well: those inside a
-passage cover it to its last line. A chunk can occur again only if all its pairs of neighbouring lines do,
-so chunks are made where pairs do. Lines are compared byte by byte and chunks line by line; of equal ones
-the first stays, and the lines of the others are removed.
+passage cover it to its last line. A whole text is a chunk too, so of equal texts only the first is looked at.
+
+A chunk can occur again only if all its pairs of neighbouring lines do, so chunks are made where pairs do. Those
+whose hash occurs again are read from the texts, and chunks are the same if their bytes are: they are told
+apart by hash and by a SHA-256 digest of the bytes. Of equal ones the first stays, and the lines of the others are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,15 +27,13 @@ from pyspark.sql import functions as F
 from prismloom.llm.storage import row_key, table, written
 from prismloom.llm.words import mix, slices
 
-#: Independent choices of boundaries, lines of a chunk at least and at most, words of a removed chunk at least.
-LAYERS, LEAST_LINES, MOST_LINES, LEAST_WORDS = 3, 2, 32, 12
+#: Independent choices of boundaries, lines of a chunk at least, words of a removed chunk at least.
+LAYERS, LEAST_LINES, LEAST_WORDS = 3, 2, 12
 #: A repeated run of lines with more words than this is always found.
 RUN_WORDS = 50
 _END = re.compile(r"[.!?\u061F\u06D4\u0964]\s+|[\u3002\uFF01\uFF1F\uFF61]\s*|\n\s*")
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
-#: Chunks in an Arrow batch at most.
-CHUNK_ROWS = 20_000
 
 
 def line_ends(text: str) -> list[int]:
@@ -59,7 +60,7 @@ def chunk_spans(hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.nd
     at = np.searchsorted(bounds, bounds + LEAST_LINES)
     lo, hi = bounds[at < len(bounds)], bounds[at[at < len(bounds)]]
     same = hi <= first[np.searchsorted(first, lo, side="right").clip(max=len(first) - 1)]
-    return lo[same], np.minimum(hi, lo + MOST_LINES)[same]
+    return lo[same], hi[same]
 
 
 def run_spans(words: np.ndarray, first: np.ndarray, most: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -112,59 +113,96 @@ def document_chunks(texts: list[str], layers: int = LAYERS, least_words: int = L
     return [list(zip((lo[a:b] - f).tolist(), (hi[a:b] - f).tolist(), grams[a:b].tolist(), strict=True)) for a, b, f in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist(), strict=False)]
 
 
-def line_grams(own: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's pairs of neighbouring lines, then of its lines of over RUN_WORDS words; the first of each text."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pair = np.flatnonzero(doc[1:] == doc[:-1])
-    long = np.flatnonzero(words > RUN_WORDS)
+def line_grams(own: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What must occur again where chunks do: pairs of neighbouring lines, and lines of over RUN_WORDS words.
+
+    Gives the distinct hashes of each document one after the other, those that it holds more than once first; their
+    documents' first places and the numbers of those repeated; and for each line the place of the pair that it
+    begins, and of itself if it is that long, or -1.
+    """
+    n, docs = len(own), len(first) - 1
+    doc = np.repeat(np.arange(docs), np.diff(first))
+    pair, long = np.flatnonzero(doc[1:] == doc[:-1]), np.flatnonzero(words > RUN_WORDS)
     grams = np.concatenate([mix(own[pair] * np.uint64(_BASE) + own[pair + 1]), own[long]])
-    docs = np.concatenate([doc[pair], doc[long]])
-    return grams[np.argsort(docs, kind="stable")], np.searchsorted(np.sort(docs), np.arange(len(first)))
+    owner = np.concatenate([doc[pair], doc[long]])
+    order = np.lexsort((grams, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (grams[order][1:] != grams[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    heads = order[new]
+    once = np.bincount(which, minlength=len(heads)) == 1
+    again = np.lexsort((once, owner[heads]))
+    place = np.empty(len(heads), dtype=np.int64)
+    place[again] = np.arange(len(heads))
+    heads = heads[again]
+    at_pair, at_long = np.full(n, -1), np.full(n, -1)
+    at_pair[pair], at_long[long] = place[which[: len(pair)]], place[which[len(pair) :]]
+    bounds = np.searchsorted(owner[heads], np.arange(docs + 1))
+    return grams[heads], bounds, np.bincount(owner[heads][~once[again]], minlength=docs), at_pair, at_long
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, text) to (key, id, hashes, words, grams)."""
+    """(key, id, text) to (key, id, body, hashes, words, grams, twice)."""
+    lists = lambda x, f: pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(x))
     for batch in batches:
         for piece in slices(batch, "text"):
-            own, words, first = line_hashes([t or "" for t in piece.column(2).to_pylist()])
-            grams, first_gram = line_grams(own, words, first)
-            lists = lambda x, f: pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([*piece.columns[:2], lists(own.view(np.int64), first), lists(words.astype(np.int32), first), lists(grams.view(np.int64), first_gram)], ["key", "id", "hashes", "words", "grams"])
+            texts = [t or "" for t in piece.column(2).to_pylist()]
+            own, words, first = line_hashes(texts)
+            grams, bounds, twice, *_ = line_grams(own, words, first)
+            body = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*piece.columns[:2], body, lists(own.view(np.int64), first), lists(words.astype(np.int32), first), lists(grams.view(np.int64), bounds), pa.array(twice.astype(np.int32))], ["key", "id", "body", "hashes", "words", "grams", "twice"])
+
+
+def _packed(lo: np.ndarray, hi: np.ndarray) -> bytes:
+    return np.stack([lo, hi], axis=1).astype(np.int32).tobytes()
+
+
+def _unpacked(spans: bytes) -> np.ndarray:
+    return np.frombuffer(spans, dtype=np.int32).reshape(-1, 2)
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, hashes, words, repeated) to a row for each chunk of repeated grams: (key, id, start, end, hash, lines)."""
+    """(key, hashes, words, repeated) to a row for each distinct chunk of repeated grams: (key, hash, n, spans)."""
     flat = lambda x: np.asarray(x.flatten()).astype(np.int64)
     for batch in batches:
-        first = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2).value_lengths()))]).astype(np.int64)
-        own, words = flat(batch.column(2)), flat(batch.column(3))
-        pairs, alone = np.zeros(len(own) + 1, dtype=np.int64), np.zeros(len(own), dtype=bool)
-        doc, at = np.repeat(np.arange(len(batch)), np.asarray(batch.column(4).value_lengths())), flat(batch.column(4))
-        is_pair = at < np.diff(first)[doc] - 1
-        pairs[(first[doc] + at)[is_pair] + 1] = 1
-        long = np.flatnonzero(words > RUN_WORDS)
-        alone[long[(np.searchsorted(long, first[doc]) + at - np.diff(first)[doc] + 1)[~is_pair]]] = True
-        pairs = np.cumsum(pairs)
-        lo, hi, grams = line_chunks(own.view(np.uint64), words, first, layers, least_words)
-        held = np.where(hi - lo == 1, alone[lo], pairs[hi - 1] - pairs[lo] == hi - lo - 1)
-        lo, hi, grams = lo[held], hi[held], grams[held]
-        for a in range(0, len(lo), CHUNK_ROWS):
-            l, h = lo[a : a + CHUNK_ROWS], hi[a : a + CHUNK_ROWS]
-            doc = np.searchsorted(first, l, side="right") - 1
-            bounds = np.concatenate([[0], np.cumsum(h - l)])
-            lines = own[np.repeat(l - bounds[:-1], h - l) + np.arange(bounds[-1])]
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((l - first[doc]).astype(np.int32)), pa.array((h - first[doc]).astype(np.int32)), pa.array(grams[a : a + CHUNK_ROWS]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(lines))], ["key", "id", "start", "end", "hash", "lines"])
-
-
-def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+        first = np.concatenate([[0], np.cumsum(np.asarray(batch.column(1).value_lengths()))]).astype(np.int64)
+        own, words = flat(batch.column(1)).view(np.uint64), flat(batch.column(2))
+        grams, bounds, _, at_pair, at_long = line_grams(own, words, first)
+        repeated = np.zeros(len(grams) + 1, dtype=bool)  # the last place stands for none
+        repeated[np.repeat(bounds[:-1], np.asarray(batch.column(3).value_lengths())) + flat(batch.column(3))] = True
+        pairs = np.concatenate([[0], np.cumsum(repeated[at_pair])])
+        lo, hi, hashes = line_chunks(own, words, first, layers, least_words)
+        held = np.where(hi - lo == 1, repeated[at_long[lo]], pairs[hi - 1] - pairs[lo] == hi - lo - 1)
+        lo, hi, hashes = lo[held], hi[held], hashes[held]
+        doc = np.searchsorted(first, lo, side="right") - 1
+        order = np.lexsort((lo, hashes, doc))
+        lo, hi, hashes, doc = lo[order], hi[order], hashes[order], doc[order]
+        starts = np.flatnonzero(np.diff(doc, prepend=-1).astype(bool) | (np.diff(hashes, prepend=0) != 0))
+        ends = np.append(starts[1:], len(lo))
+        lo, hi = lo - first[doc], hi - first[doc]
+        spans = [_packed(lo[a:b], hi[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts])), pa.array(hashes[starts]), pa.array(ends - starts), pa.array(spans, pa.binary())], ["key", "hash", "n", "spans"])
+
+
+def _digests(text: str, spans: np.ndarray) -> list[bytes]:
+    """Of each span of lines the digest of its bytes, white space as single spaces, and line feeds between lines."""
+    ends, lines = line_ends(text), {}
+    starts = [0, *ends]
+    for i in set(np.concatenate([np.arange(a, b) for a, b in spans]).tolist()):
+        lines[i] = " ".join(text[starts[i] : ends[i]].split())
+    return [hashlib.sha256("\n".join(map(lines.__getitem__, range(a, b))).encode()).digest() for a, b in spans.tolist()]
+
+
+def _without(text: str, spans: np.ndarray) -> tuple[str, int, int]:
     """The text without spans of lines and the white space after them; lines in all, lines removed."""
     ends, kept, gone, last = line_ends(text), [], 0, False
-    if not spans:
+    if not len(spans):
         return text, len(ends), 0
-    drop = np.zeros(len(ends), dtype=bool)
-    for a, b in spans:
-        drop[a:b] = True
+    edges = np.zeros(len(ends) + 1, dtype=np.int64)
+    np.add.at(edges, spans[:, 0], 1)
+    np.add.at(edges, spans[:, 1], -1)
+    drop = np.cumsum(edges)[:-1] > 0
     for a, after, out in zip([0, *ends], ends, drop.tolist(), strict=False):
         last = out and bool(text[a:after].strip())
         if last:
@@ -178,68 +216,96 @@ def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
 def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", layers: int = LAYERS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with repeated chunks removed from their text, and n_lines and n_removed (in lines).
 
-    Of equal chunks the first stays, by id, then place; a null id comes last. Rows with the same id and
+    Of equal chunks the first stays, by id, then place; a null id comes last. One that overlaps the first goes
+    only as far as it doesn't. Of documents with the same text, those after the first lose all of it if it has two
+    lines and ``least_words`` words or more, or over RUN_WORDS words. Rows with the same id and
     text are one document and stay alike. No repeated run of whole lines with over RUN_WORDS words, which
     white space separates, is missed; shorter ones of two lines or more and ``least_words`` words may be. Null
-    texts stay null, and empty texts, shorter single lines and chunks of fewer words stay as they are; so do
-    chunks whose 64-bit hash, or a line's, stands for different bytes. Other columns are kept; ``n_lines`` and ``n_removed`` must
-    be new names. An empty table gives no rows.
+    texts stay null, and empty texts, shorter single lines and chunks of fewer words stay as they are. Other columns are
+    kept, whatever their names but ``n_lines`` and ``n_removed``, which must be new. An empty table gives no rows.
     """
     if {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("columns n_lines or n_removed are there already")
     names = docs.columns
     own = {n: f"_{i}" for i, n in enumerate(names)}
-    docs = docs.select(*(F.col(f"`{n}`").alias(o) for n, o in own.items()))
+    docs = docs.toDF(*own.values())
     # The bytes of id and text, rather than where the row stands, so a task that runs again finds the same keys.
     keyed = docs.withColumn("key", row_key(F.col(own[id]), F.col(own[text])))
     kinds = [docs.schema[o].dataType.simpleString() for o in own.values()]
     kind = kinds[names.index(id)]
-    lines = written(keyed.select("key", F.col(own[id]).alias("id"), F.col(own[text]).alias("text")).mapInArrow(_line_rows, f"key binary, id {kind}, hashes array<bigint>, words array<int>, grams array<bigint>"), "lines")
-    repeated = lines.select(F.explode("grams").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    # A set, as rows with the same id and text have the same key and grams.
-    places = written(lines.select("key", F.posexplode("grams").alias("at", "hash")).join(repeated, "hash").groupBy("key").agg(F.collect_set("at").alias("repeated")), "places")
-    chunks = written(lines.join(places, "key").select("key", "id", "hashes", "words", "repeated").mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), f"key binary, id {kind}, start int, end int, hash bigint, lines array<bigint>"), "chunks")
+    lines = keyed.select("key", F.col(own[id]).alias("id"), F.col(own[text]).alias("text")).where("text <> ''")
+    lines = lines.mapInArrow(_line_rows, f"key binary, id {kind}, body binary, hashes array<bigint>, words array<int>, grams array<bigint>, twice int")
+    # Numbers are as good as keys once they are written, and shorter.
+    lines = written(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+
+    place = lambda *more: F.struct(F.col("id").isNull().alias("last"), "id", "key", *more)
+    same = lines.groupBy("body").agg(F.min(place()).alias("first"), (F.min("key") != F.max("key")).alias("several"), F.any_value(F.aggregate("words", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"), F.any_value(F.size("hashes")).alias("k"))
+    same = same.where("several").select("body", F.col("first.key").alias("first_key"), ((F.col("n") > RUN_WORDS) | ((F.col("k") >= LEAST_LINES) & (F.col("n") >= least_words))).alias("whole"))
+    copies = written(lines.select("key", "body").join(same, "body").where("whole AND key <> first_key").select("key").distinct(), "copies")
+
+    grams = lines.select("row", F.posexplode("grams").alias("at", "hash"), "twice")
+    repeated = grams.groupBy("hash").agg(F.sum(F.when(F.col("at") < F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash")
+    places = grams.select("row", "at", "hash").join(repeated, "hash").groupBy("row").agg(F.collect_list("at").alias("repeated"))
+    # Rows alike in id and text would count as two documents, so one of each key goes on.
+    wanted = lines.groupBy("key").agg(F.min("row").alias("row")).join(copies, "key", "left_anti")
+    found = lines.select("row", "key", "hashes", "words").join(places, "row").join(wanted.select("row"), "row", "left_semi")
+    chunks = written(found.select("key", "hashes", "words", "repeated").mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), "key binary, hash bigint, n bigint, spans binary"), "chunks")
+    again = chunks.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    asked = chunks.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "spans")).alias("asked"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_text = names.index(text)
+        at_id, at_text = names.index(id), names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                found = set()
-                for t, again in zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True):
-                    if not again:
-                        continue
-                    ends = line_ends(t)
-                    some = {x for i in again if i < len(ends) - 1 for x in (i, i + 1)}
-                    every = max(again) >= len(ends) - 1  # a line of over RUN_WORDS words
-                    for i in range(len(ends)) if every else some:
-                        parts = t[ends[i - 1] if i else 0 : ends[i]].split()
-                        if i in some or len(parts) > RUN_WORDS:
-                            found.add(" ".join(parts))
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(found), pa.string())], ["hash", "bytes"])
-
-    # Lines count without the white space between them, so bytes are compared with single spaces for it.
-    # Both visits to the texts use all columns, so Spark makes one exchange for both.
-    visited = keyed.join(places, "key", "left").select(*own.values(), "key", "repeated").mapInArrow(read, "hash bigint, bytes string")
-    # All bytes of a hash are the same if the least and the greatest are. One row, with next to no hashes.
-    clashes = visited.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").agg(F.collect_list("hash").alias("clashes"))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
-    first = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("lines").alias("lo"), F.max("lines").alias("hi"), F.min(place).alias("first")).where("n > 1 AND lo = hi")
-    first = first.crossJoin(F.broadcast(clashes)).where(~F.arrays_overlap("lo", "clashes")).select("hash", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"))
-    again = chunks.select("key", "start", "end", "hash").join(first, "hash").where((F.col("key") != F.col("first_key")) | (F.col("start") != F.col("first_start")))
-    spans = again.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+                rows, doc = {n: [] for n in ("hash", "digest", "start", "n", "spans")}, []
+                for d, (t, chunks) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
+                    for c, spans in [(c, _unpacked(c["spans"])) for c in chunks or ()]:
+                        by_bytes: dict[bytes, list[int]] = {}
+                        for i, digest in enumerate(_digests(t, spans)):
+                            by_bytes.setdefault(digest, []).append(i)
+                        for digest, at in by_bytes.items():
+                            doc.append(d)
+                            for n, v in zip(rows, (c["hash"], digest, int(spans[at[0], 0]), len(at), spans[at].tobytes()), strict=True):
+                                rows[n].append(v)
+                at = pa.array(doc, pa.int32())
+                columns = [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(len(names)).take(at), piece.column(at_id).take(at), *columns], ["key", "id", *rows])
+
+    # Both visits to the texts use all columns, so Spark makes one exchange for both. Rows of a key give the same; one counts.
+    visited = keyed.join(asked, "key", "left").select(*own.values(), "key", "asked").mapInArrow(read, f"key binary, id {kind}, hash bigint, digest binary, start int, n bigint, spans binary")
+    visited = written(visited, "visited")
+    # Rows alike in id and text have one key, so what only they share isn't repeated.
+    first = visited.groupBy("hash", "digest").agg(F.max("n").alias("n"), F.min(place("start")).alias("first"), (F.min("key") != F.max("key")).alias("several"))
+    first = first.where("n > 1 OR several").select("hash", "digest", F.col("first.key").alias("first_key"))
+    spans = visited.join(first, ["hash", "digest"]).select("key", F.struct((F.col("key") == F.col("first_key")).alias("first"), "spans").alias("s"))
+    actions = spans.groupBy("key").agg(F.collect_set("s").alias("spans")).withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.array().cast("array<struct<first: boolean, spans: binary>>").alias("spans"), F.lit(True).alias("whole")))
+
+    def left(text: str | None, spans: list | None, whole: bool | None) -> tuple[str | None, int, int]:
+        if text is None:
+            return None, 0, 0
+        if whole:
+            n = len(line_ends(text))
+            return _without(text, np.array([[0, n]]))
+        parts = []
+        for s in spans or ():
+            own = _unpacked(s["spans"])
+            if s["first"]:  # the first one stays, and what others share with it
+                own = np.stack([np.maximum(own[1:, 0], own[0, 1]), own[1:, 1]], axis=1)
+                own = own[own[:, 0] < own[:, 1]]
+            parts.append(own)
+        return _without(text, np.concatenate(parts) if parts else np.zeros((0, 2), np.int32))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                done = [(None, 0, 0) if t is None else _without(t, [(s["start"], s["end"]) for s in spans or []]) for t, spans in zip(piece.column(at).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)]
+                done = [left(*row) for row in zip(*(piece.column(i).to_pylist() for i in (at, len(names) + 1, len(names) + 2)), strict=True)]
                 columns = list(piece.columns[: len(names)])
                 columns[at] = pa.array([d[0] for d in done], columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], [*own.values(), "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{o}` {k}" for o, k in zip(own.values(), kinds, strict=True)), "n_lines bigint, n_removed bigint"])
-    out = keyed.join(spans, "key", "left").select(*own.values(), "key", "spans").mapInArrow(remove, schema)
+    out = keyed.join(actions, "key", "left").select(*own.values(), "key", "spans", "whole").mapInArrow(remove, schema)
     return out.select(*(F.col(o).alias(n) for n, o in own.items()), "n_lines", "n_removed")
 
 
