@@ -2,7 +2,8 @@
 
 Reading plans one partition a file, or several by byte ranges where files are not compressed and large. Predicates on
 the record type and on headers are pushed down: a record's headers are parsed first, and the payload of
-a record that they rule out is skipped, in plain files without reading it. Writing deduplicates nothing by
+a record that they rule out is skipped without reading it; in compressed files too, where every record is a gzip
+member whose header tells its length (others are decompressed to the next record). Writing deduplicates nothing by
 itself; ``with_revisits`` marks the records that repeat a payload.
 
 Paths are those of any file system that pyarrow knows, local or in a store.
@@ -14,6 +15,7 @@ import base64
 import hashlib
 import io
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from prismloom.llm.storage import new_path, table
+from prismloom.llm.storage import new_path, table, written
 
 #: Columns that a reader gives and a writer takes; a writer needs only id, url, record_type, refers_to and payload.
 SCHEMA = "id string, url string, record_type string, date string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
@@ -37,6 +39,10 @@ HEADERS = {"record_type": "warc-type", "id": "x-source-id", "url": "warc-target-
 LEAST_REVISIT = 1000
 #: Bytes of payload in an Arrow batch; bytes of a plain file that a partition reads.
 BATCH_BYTES, SPLIT_BYTES = 4 << 20, 256 << 20
+#: Bytes of repeated digests that a join may broadcast, and what one takes at most.
+BROADCAST_BYTES, DIGEST_BYTES = 64 << 20, 128
+#: Compressed and plain length of a member, in a field of its gzip header.
+_LENGTHS = struct.Struct("<10sHccHII")
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -71,6 +77,25 @@ def record(row: dict, date: str) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member with its compressed and plain length in the header, unless they are too large for that."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    body += struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    size = _LENGTHS.size + len(body)
+    if max(size, len(data)) >= 1 << 32:
+        return b"\x1f\x8b\x08" + bytes(6) + b"\xff" + body
+    return _LENGTHS.pack(b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff", 12, b"s", b"l", 8, size, len(data)) + body
+
+
+def member_size(head: bytes) -> int | None:
+    """The compressed length that a member's header tells, or None."""
+    if len(head) < _LENGTHS.size:
+        return None
+    start, _, a, b, n, size, _ = _LENGTHS.unpack(head[: _LENGTHS.size])
+    return size if start[:4] == b"\x1f\x8b\x08\x04" and a + b == b"sl" and n == 8 else None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -93,8 +118,7 @@ class WarcWriter(DataSourceArrowWriter):
                 for row in batch.to_pylist():
                     data = record(row, self.date)
                     if self.gzip:  # a member each, so readers can start at any record
-                        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                        data = packer.compress(data) + packer.flush()
+                        data = member(data)
                     if out is None or room < len(data):
                         if out is not None:
                             out.close()
@@ -269,39 +293,60 @@ class WarcReader(DataSourceReader):
 
     def _rows(self, part: Part) -> Iterator[dict]:
         fs, _ = file_system(self.path)
-        raw = fs.open_input_file(part.file)
-        if part.file.endswith(".gz"):
-            stream = io.BufferedReader(_Inflated(raw), 1 << 16)
-        else:
-            stream = io.BufferedReader(raw, 1 << 16)
-            if part.lo:
-                self._start(stream, part.lo)
-        with stream:
-            while part.hi is None or stream.tell() < part.hi:
-                headers = _header_block(stream)
-                if headers is None:
+        with io.BufferedReader(fs.open_input_file(part.file), 1 << 20) as raw:
+            if not part.file.endswith(".gz"):
+                if part.lo:
+                    self._start(raw, part.lo)
+                yield from self._records(raw, part.hi)
+                return
+            at = 0
+            while head := raw.read(_LENGTHS.size):
+                raw.seek(at)
+                size = member_size(head)
+                if size is None:  # no way to the next record but through this one
+                    yield from self._records(io.BufferedReader(_Inflated(raw), 1 << 16), None)
                     return
-                left = int(headers["content-length"])
-                if not self._keep(headers):
-                    _skip(stream, left + 4)
-                    continue
-                get = lambda name: _unfield(headers[name]) if name in headers else None  # noqa: B023, E731
-                row = {"id": get("x-source-id"), "url": get("warc-target-uri"), "record_type": get("warc-type"), "date": get("warc-date"), "payload_digest": _hex(headers.get("warc-payload-digest")), "refers_to": get("x-refers-to-source-id"), "payload": None, "payload_bytes": left}
-                whole = self.payload and row["record_type"] != "revisit"
-                if headers.get("content-type", "").startswith("application/http") and left:
-                    block = stream.read(left) if whole else stream.read(min(left, 1 << 16))
-                    _skip(stream, left - len(block) + 4)
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-                    row["payload_bytes"] = int(length[1]) if length else left - len(head) - 4
-                    row["payload"] = body if whole else None
-                else:
-                    row["payload"] = stream.read(left) if whole else None
-                    _skip(stream, 4 if whole else left + 4)
-                if whole and row["payload_digest"] not in (None, hashlib.sha1(row["payload"]).hexdigest()):
-                    raise ValueError(f"{part.file}: the payload of {row['id']} differs from its digest")
+                row = self._record(io.BufferedReader(_Inflated(raw), 1 << 13), lambda stream, n: None)
+                if row:
+                    yield row
+                at += size
+                raw.seek(at)
+
+    def _records(self, stream, hi: int | None) -> Iterator[dict]:
+        """The wanted records that follow in a stream and begin before ``hi``."""
+        while hi is None or stream.tell() < hi:
+            row = self._record(stream, _skip)
+            if row is None:
+                return
+            if row:
                 yield row
 
+    def _record(self, stream, skip) -> dict | None:
+        """The next record; an empty dict if it isn't wanted, None at the end. ``skip`` passes over bytes not needed."""
+        headers = _header_block(stream)
+        if headers is None:
+            return None
+        left = int(headers["content-length"])
+        if not self._keep(headers):
+            skip(stream, left + 4)
+            return {}
+        get = lambda name: _unfield(headers[name]) if name in headers else None
+        row = {"id": get("x-source-id"), "url": get("warc-target-uri"), "record_type": get("warc-type"), "date": get("warc-date"), "payload_digest": _hex(headers.get("warc-payload-digest")), "refers_to": get("x-refers-to-source-id"), "payload": None, "payload_bytes": left}
+        whole = self.payload and row["record_type"] != "revisit"
+        if headers.get("content-type", "").startswith("application/http") and left:
+            block = stream.read(left) if whole else stream.read(min(left, 1 << 16))
+            skip(stream, left - len(block) + 4)
+            head, _, body = block.partition(b"\r\n\r\n")
+            length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+            row["payload_bytes"] = int(length[1]) if length else left - len(head) - 4
+            row["payload"] = body if whole else None
+        else:
+            row["payload"] = stream.read(left) if whole else None
+            skip(stream, 4 if whole else left + 4)
+        if whole and row["payload_digest"] not in (None, hashlib.sha1(row["payload"]).hexdigest()):
+            raise ValueError(f"the payload of {row['id']} differs from its digest")
+        return row
+
 
 class WarcSource(DataSource):
     """Options: path; read: payload (false leaves payloads null and unread), splitbytes; write: compression (none or gzip), date, filebytes."""
@@ -333,11 +378,12 @@ def with_revisits(pages: DataFrame, *, id: str = "page_id", url: str = "url", ht
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id).alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
     large = rows.where((F.col("size") >= least) & F.col("key").isNotNull())
-    kept = large.groupBy("digest", "size").agg(F.max("key").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Rows of one payload meet one row, so a payload with very many copies is split over tasks by adaptive execution.
-    both = rows.join(kept, ["digest", "size"], "left")
+    kept = written(large.groupBy("digest", "size").agg(F.max("key").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "kept")
+    # Payloads stay where they are if the digests that repeat are few enough to go to them. If not, rows of one payload
+    # meet one row, so a payload with very many copies is split over tasks by adaptive execution.
+    both = rows.join(F.broadcast(kept) if kept.count() * DIGEST_BYTES <= BROADCAST_BYTES else kept, ["digest", "size"], "left")
     revisit = F.col("key") < F.col("kept")
     return both.select(F.col("key").cast("string").alias("id"), "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept").cast("string")).alias("refers_to"), "payload")
 
@@ -345,10 +391,11 @@ def with_revisits(pages: DataFrame, *, id: str = "page_id", url: str = "url", ht
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = new_path(spark, "warc")
-    with_revisits(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    records = spark.read.format("warc").load(path).where(F.col("record_type").isin("response", "revisit"))
-    digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
-    return records.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    with_revisits(table(spark, sf_dir, "pages")).write.format("warc").option("compression", "gzip").option("filebytes", str(SPLIT_BYTES)).mode("append").save(path)
+    # Predicates on the type reach the reader: payloads of responses are passed over where revisits are wanted.
+    records = spark.read.format("warc").load(path)
+    of_type = lambda kind, digest: records.where(F.col("record_type") == kind).select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    return of_type("response", F.sha1("payload")).unionByName(of_type("revisit", F.col("payload_digest")))
 
 
 QUERIES = {"op8_warc": op8_warc}
