@@ -1,11 +1,12 @@
 """Near duplicates among embeddings, by binary codes of randomly rotated vectors.
 
 Equal vectors are one class. Classes are put into cells about centroids; one near a border is a guest in the
-cells beyond it, so close pairs across the border meet. In a cell, the inner product of a pair is
+cells beyond it, so close pairs across the border meet. The inner product of a pair is
 estimated from the one's code (the signs of its randomly rotated components) and the other's rotated
 components, divided by the stored correction factor of the code, which makes the estimate unbiased. How
 far it can be off is bounded with the confidence that EPSILON gives; only pairs that may reach the threshold within the
-bound are computed exactly. Cells are compared in blocks of bounded size.
+bound are computed exactly. Guests travel as codes first: a guest's vector follows only into cells where an estimate
+says that it may be close to one at home. Cells are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ from prismloom.llm.links import LINKS, SCHEMA, linked
 from prismloom.llm.storage import table, written
 
 THRESHOLD = 0.9
-#: Classes in a cell on average, centroids at most, and classes that centroids are fitted on at most.
-CELL, MOST_CELLS, SAMPLE = 400, 4096, 20_000
+#: Classes in a cell on average, centroids at most; classes that centroids are fitted on at most, and their bytes.
+CELL, MOST_CELLS, SAMPLE, SAMPLE_BYTES = 400, 4096, 20_000, 32 << 20
 #: Standard deviations of the estimate that its bound allows for.
-EPSILON = 4.0
-BLOCK = 256
+EPSILON = 5.0
+#: Classes of a block whose vectors are compared; bytes of vectors at home, and codes of guests, that meet first.
+BLOCK, HOME_BYTES, GUESTS = 256, 1 << 20, 16_384
+#: Vectors whose cells are sought at a time.
+_WIDE = 512
 
 
 def margin_of(threshold: float) -> float:
@@ -47,15 +52,19 @@ class Index:
     centroids: np.ndarray
     rotation: np.ndarray
 
-    def cells(self, units: np.ndarray, margin: float) -> tuple[np.ndarray, list[list[int]]]:
+    def cells(self, units: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's home cell, and the cells where it is a guest."""
-        dots = units @ self.centroids.T
-        home = dots.argmax(axis=1)
-        rows = np.arange(len(units))
-        apart = np.sqrt(np.maximum(2 - 2 * (self.centroids @ self.centroids.T), 1e-12))[home]
-        guest = (dots[rows, home][:, None] - dots) <= margin * apart
-        guest[rows, home] = False
-        return home, [np.flatnonzero(g).tolist() for g in guest]
+        homes, guests = np.zeros(len(units), dtype=np.int32), []
+        for lo in range(0, len(units), _WIDE):
+            part = units[lo : lo + _WIDE]
+            dots = part @ self.centroids.T
+            home, rows = dots.argmax(axis=1), np.arange(len(part))
+            apart = np.sqrt(np.maximum(2 - 2 * (self.centroids[home] @ self.centroids.T), 1e-12))
+            guest = (dots[rows, home][:, None] - dots) <= margin * apart
+            guest[rows, home] = False
+            homes[lo : lo + _WIDE] = home
+            guests += [np.flatnonzero(g).astype(np.int32) for g in guest]
+        return homes, guests
 
     def codes(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signs of the rotated components, packed, and each code's inner product with its vector."""
@@ -96,14 +105,18 @@ def keyed(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
 
 
 def fit(classes: DataFrame, size: int, n: int, cell: int = CELL, seed: int = 3) -> Index:
-    """Centroids by spherical k-means on at most SAMPLE classes, those of the least hashes; a random rotation."""
-    k = max(1, min(MOST_CELLS, n // cell))
-    rows = classes.where(F.octet_length("unit") == 8 * size).orderBy(F.xxhash64("node"), "node").select("unit").limit(SAMPLE).collect()
+    """Centroids by spherical k-means on a sample, the classes of the least hashes; a random rotation.
+
+    The sample has at most SAMPLE classes and SAMPLE_BYTES bytes, and at least one class a centroid.
+    """
+    most = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * size)))
+    k = max(1, min(MOST_CELLS, most, n // cell))
+    rows = classes.where(F.octet_length("unit") == 8 * size).orderBy(F.xxhash64("node"), "node").select("unit").limit(most).collect()
     units = np.stack([np.frombuffer(r[0]) for r in rows])
     rng = np.random.default_rng(seed)
     centroids = units[rng.permutation(len(units))[:k]]
     for _ in range(6):
-        home = (units @ centroids.T).argmax(axis=1)
+        home = np.concatenate([(units[i : i + _WIDE] @ centroids.T).argmax(axis=1) for i in range(0, len(units), _WIDE)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, home, units)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -113,7 +126,7 @@ def fit(classes: DataFrame, size: int, n: int, cell: int = CELL, seed: int = 3)
 
 
 def indexed(classes: DataFrame, indexes: dict[int, Index], margin: float) -> DataFrame:
-    """Each class once per cell where it is at home or a guest, with its code and correction factor."""
+    """Each class with its home, the cells where it is a guest, its code and correction factor; written once."""
     shared = classes.sparkSession.sparkContext.broadcast(indexes)  # at most MOST_CELLS vectors a dimension
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +138,74 @@ def indexed(classes: DataFrame, indexes: dict[int, Index], margin: float) -> Dat
                 block = np.stack([np.frombuffer(units[i]) for i in at])
                 home, guests = shared.value[size].cells(block, margin)
                 codes, factors = shared.value[size].codes(block)
+                bounds = np.cumsum([0, *map(len, guests)])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(guests), pa.int32()))
                 columns = [batch.column(c).take(pa.array(at)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), size), pa.int32()), pa.array(home, pa.int32()), pa.array(guests, pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors)], ["node", "unit", "n_rows", "size", "home", "guest", "code", "factor"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), size), pa.int32()), pa.array(home, pa.int32()), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors)], ["node", "unit", "n_rows", "size", "home", "guest", "code", "factor"])
+
+    return written(classes.select("node", "unit", "n_rows").mapInArrow(run, "node binary, unit binary, n_rows bigint, size int, home int, guest array<int>, code binary, factor double"), "index")
+
+
+def _close_guests(index: DataFrame, indexes: dict[int, Index], threshold: float, epsilon: float) -> DataFrame:
+    """(node, guest): of each class that is a guest anywhere, the cells where an estimate with one at home may reach the threshold.
+
+    Guests of a cell, as codes, meet blocks of those at home, as vectors. Both travel packed, a row a batch, cell and block.
+    """
+    spark = index.sparkSession
+    places = lambda column, name: index.select("size", F.explode(column).alias("cell")).groupBy("size", "cell").agg(F.count("*").alias(name))
+    both = places(F.array("home"), "homes").join(places("guest", "guests"), ["size", "cell"])
+    rows = both.collect()  # at most MOST_CELLS a dimension
+    parts = {}
+    for r in rows:
+        per_home = max(16, HOME_BYTES // (8 * r["size"]))
+        parts[r["size"], r["cell"]] = -(-r["homes"] // per_home), -(-r["guests"] // GUESTS)
+    shared = spark.sparkContext.broadcast((indexes, parts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, parts = shared.value
+        for batch in batches:
+            names = ("node", "unit", "size", "home", "guest", "code", "factor")
+            node, unit, size, home, guest, code, factor = (batch.column(batch.schema.names.index(n)) for n in names)
+            node, unit, code = (np.array(c.to_pylist(), dtype=object) for c in (node, unit, code))
+            size, home, factor = np.asarray(size), np.asarray(home), np.asarray(factor)
+            salt = np.array([int.from_bytes(n[:4], "little") for n in node], dtype=np.int64)
+            out = []
+            for is_home, owner, cell in ((True, np.arange(len(batch)), home), (False, np.repeat(np.arange(len(batch)), np.asarray(guest.value_lengths())), np.asarray(guest.flatten()))):
+                order = np.lexsort((cell, size[owner]))
+                owner, cell = owner[order], cell[order]
+                starts = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(size[owner], prepend=-1) != 0))
+                for a, b in pairwise([*starts.tolist(), len(cell)]):
+                    key = int(size[owner[a]]), int(cell[a])
+                    if key not in parts:  # nobody at home, or no guests
+                        continue
+                    own, n = owner[a:b], parts[key][0 if is_home else 1]
+                    block = salt[own] % n
+                    for part in np.unique(block).tolist():
+                        at = own[block == part]
+                        data = (b"".join(unit[at]), None, None, None) if is_home else (None, b"".join(node[at]), b"".join(code[at]), factor[at].tobytes())
+                        for other in range(parts[key][1 if is_home else 0]):
+                            out.append((*key, *((part, other) if is_home else (other, part)), *data))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 4 else pa.binary()) for i, c in enumerate(columns)], ["size", "cell", "i", "j", "units", "nodes", "codes", "factors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes, _ = shared.value
+        for batch in batches:
+            for size, cell, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                joined = lambda name: b"".join(x for x in c.values.field(name).to_pylist() if x)  # noqa: B023, E731
+                units, nodes = np.frombuffer(joined("units")).reshape(-1, size), joined("nodes")
+                codes, factors = np.frombuffer(joined("codes"), np.uint8), np.frombuffer(joined("factors"))
+                if not len(units) or not len(factors):
+                    continue
+                codes, close = codes.reshape(len(factors), -1), np.zeros(len(factors), dtype=bool)
+                for lo in range(0, len(factors), 1024):
+                    close[lo : lo + 1024] = may_reach(indexes[size], codes[lo : lo + 1024], factors[lo : lo + 1024], units, threshold, epsilon).any(axis=1)
+                found = [nodes[16 * i : 16 * i + 16] for i in np.flatnonzero(close).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([cell] * len(found), pa.int32())], ["node", "cell"])
 
-    return classes.select("node", "unit", "n_rows").mapInArrow(run, "node binary, unit binary, n_rows bigint, size int, home int, guest array<int>, code binary, factor double")
+    packed = index.select("node", "unit", "size", "home", "guest", "code", "factor").mapInArrow(pack, "size int, cell int, i int, j int, units binary, nodes binary, codes binary, factors binary")
+    met = packed.groupBy("size", "cell", "i", "j").agg(F.collect_list(F.struct("units", "nodes", "codes", "factors")).alias("c")).select("size", "cell", "c")
+    return met.mapInArrow(run, "node binary, cell int").groupBy("node").agg(F.collect_set("cell").alias("guest"))
 
 
 def _blocks(index: DataFrame, block: int) -> DataFrame:
@@ -151,14 +228,15 @@ def _blocks(index: DataFrame, block: int) -> DataFrame:
 def may_reach(index: Index, codes: np.ndarray, factors: np.ndarray, others: np.ndarray, threshold: float, epsilon: float) -> np.ndarray:
     """Which pairs of coded and plain vectors may have the inner product, given the bound of the estimate.
 
-    With f the code's factor, the estimate's error has a standard deviation of sqrt((1 - f^2) / f^2 * (1 - s^2) / (d - 1))
-    where s is the true product, so at s >= threshold no more than with s = threshold.
+    With f the code's factor, the estimate's error is at most b = sqrt((1 - f^2) / f^2 * (1 - s^2)) where s is the true
+    product, and has a standard deviation of b / sqrt(d - 1); at s >= threshold no more than with s = threshold. So nothing
+    is missed where epsilon^2 >= d - 1, that is in up to 26 dimensions with EPSILON.
     """
     size = others.shape[1]
     signs = (np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
     estimate = signs @ (others @ index.rotation).T.astype(np.float32) / factors[:, None].astype(np.float32)
-    off = np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 * max(0.0, 1 - threshold**2) / max(1, size - 1))
-    return estimate >= (threshold - epsilon * off - 1e-5)[:, None]
+    off = np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 * max(0.0, 1 - threshold**2)) * min(1.0, epsilon / np.sqrt(max(1, size - 1)))
+    return estimate >= (threshold - off - 1e-5)[:, None]
 
 
 def _compare(blocks: DataFrame, indexes: dict[int, Index], threshold: float, epsilon: float) -> DataFrame:
@@ -211,7 +289,10 @@ def near_embeddings(vectors: DataFrame, *, id: str = "vec_id", embedding: str =
     classes = written(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("n_rows"), F.min(place).alias("first"), F.any_value("unit").alias("unit")), "classes")
     sizes = {r["size"]: r["n"] for r in classes.groupBy((F.octet_length("unit") / 8).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}
     indexes = {size: fit(classes, size, n, cell) for size, n in sizes.items()}
-    links = written(_compare(_blocks(indexed(classes, indexes, margin), block), indexes, threshold, epsilon), "links")
+    index = indexed(classes, indexes, margin)
+    guests = _close_guests(index, indexes, threshold, epsilon)
+    placed = written(index.drop("guest").join(guests, "node", "left").withColumn("guest", F.coalesce("guest", F.array().cast("array<int>"))), "placed")
+    links = written(_compare(_blocks(placed, block), indexes, threshold, epsilon), "links")
     named = written(components(links, "node", "hangs_on"), "components")
     least = named.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     by_node = classes.select("node", "n_rows", "first").join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(named.join(least, "component").select("node", "least"), "node", "left")

@@ -115,6 +115,20 @@ def test_no_pair_is_lost_at_borders(spark):
     assert [got[i] for i in range(len(units))] == (close.sum(axis=1) - 1).tolist()
 
 
+@pytest.mark.parametrize("size", [2, 4, 8, 16, 64])
+def test_recall_at_few_and_many_dimensions(spark, size):
+    """Groups of neighbours about the threshold, in many cells, against brute force."""
+    rng = np.random.default_rng(size)
+    base = rng.standard_normal((300, size))
+    units = np.concatenate([base, *(base + rng.uniform(0.1, 0.6) * np.linalg.norm(base, axis=1, keepdims=True) * rng.standard_normal(base.shape) / np.sqrt(size) for _ in range(4))])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, list(map(float, u))) for i, u in enumerate(units)], "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embednear.near_embeddings(df, cell=30, block=64).collect()}
+    dots = units @ units.T
+    least, most = (dots >= 0.9 + 1e-12).sum(axis=1) - 1, (dots >= 0.9 - 1e-12).sum(axis=1) - 1
+    assert least.sum() > 100 and all(least[i] <= found[i] <= most[i] for i in found)
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     size = 64
