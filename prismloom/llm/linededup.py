@@ -9,7 +9,7 @@ passage cover it to its last line. A whole text is a chunk too, so of equal text
 
 A chunk can occur again only if all its pairs of neighbouring lines do, so chunks are made where pairs do. Those
 whose hash occurs again are read from the texts, and chunks are the same if their bytes are: they are told
-apart by hash and by a SHA-256 digest of the bytes. Of equal ones the first stays, and the lines of the others are removed.
+apart by hash and by a SHA-256 digest of the digests of their lines' bytes. Of equal ones the first stays, and the lines of the others are removed.
 """
 
 from __future__ import annotations
@@ -100,8 +100,8 @@ def line_chunks(own: np.ndarray, words: np.ndarray, first: np.ndarray, layers: i
     # Runs cover whatever chunks of over RUN_WORDS words do.
     enough = (total[hi] - total[lo] >= least_words) & (total[hi] - total[lo] <= RUN_WORDS)
     runs = run_spans(words, first)
-    found = np.unique(np.stack([np.concatenate([lo[enough], runs[0]]), np.concatenate([hi[enough], runs[1]])], axis=1), axis=0)
-    lo, hi = found[:, 0], found[:, 1]
+    found = np.unique(np.concatenate([lo[enough], runs[0]]) << 32 | np.concatenate([hi[enough], runs[1]]))
+    lo, hi = found >> 32, found & 0xFFFFFFFF
     return lo, hi, mix((run[hi] - run[lo]) * _series(_BACK, len(own))[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
 
 
@@ -185,13 +185,19 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts])), pa.array(hashes[starts]), pa.array(ends - starts), pa.array(spans, pa.binary())], ["key", "hash", "n", "spans"])
 
 
-def _digests(text: str, spans: np.ndarray) -> list[bytes]:
-    """Of each span of lines the digest of its bytes, white space as single spaces, and line feeds between lines."""
-    ends, lines = line_ends(text), {}
-    starts = [0, *ends]
-    for i in set(np.concatenate([np.arange(a, b) for a, b in spans]).tolist()):
-        lines[i] = " ".join(text[starts[i] : ends[i]].split())
-    return [hashlib.sha256("\n".join(map(lines.__getitem__, range(a, b))).encode()).digest() for a, b in spans.tolist()]
+def _line_digests(text: str, spans: np.ndarray) -> bytes:
+    """32 bytes a line, one after the other: of the lines in spans the SHA-256 digest, white space as single spaces."""
+    ends = line_ends(text)
+    edges = np.zeros(len(ends) + 1, dtype=np.int64)
+    np.add.at(edges, spans[:, 0], 1)
+    np.add.at(edges, spans[:, 1], -1)
+    out, known, none = [], {}, bytes(32)
+    for at, end, asked in zip([0, *ends], ends, (np.cumsum(edges)[:-1] > 0).tolist(), strict=False):
+        line = " ".join(text[at:end].split()) if asked else None
+        if asked and line not in known:
+            known[line] = hashlib.sha256(line.encode()).digest()
+        out.append(known[line] if asked else none)
+    return b"".join(out)
 
 
 def _without(text: str, spans: np.ndarray) -> tuple[str, int, int]:
@@ -259,14 +265,21 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
             for piece in slices(batch, own[text]):
                 rows, doc = {n: [] for n in ("hash", "digest", "start", "n", "spans")}, []
                 for d, (t, chunks) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
-                    for c, spans in [(c, _unpacked(c["spans"])) for c in chunks or ()]:
+                    if not chunks:
+                        continue
+                    all_of = np.concatenate([_unpacked(c["spans"]) for c in chunks])
+                    lines, bounds = _line_digests(t, all_of), (32 * all_of).tolist()
+                    at = 0
+                    for c in chunks:
+                        n = len(c["spans"]) // 8
                         by_bytes: dict[bytes, list[int]] = {}
-                        for i, digest in enumerate(_digests(t, spans)):
-                            by_bytes.setdefault(digest, []).append(i)
-                        for digest, at in by_bytes.items():
+                        for i in range(at, at + n):
+                            by_bytes.setdefault(lines[bounds[i][0] : bounds[i][1]], []).append(i)
+                        at += n
+                        for data, places in by_bytes.items():
                             doc.append(d)
-                            for n, v in zip(rows, (c["hash"], digest, int(spans[at[0], 0]), len(at), spans[at].tobytes()), strict=True):
-                                rows[n].append(v)
+                            for k, v in zip(rows, (c["hash"], hashlib.sha256(data).digest(), bounds[places[0]][0] // 32, len(places), all_of[places].tobytes()), strict=True):
+                                rows[k].append(v)
                 at = pa.array(doc, pa.int32())
                 columns = [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(len(names)).take(at), piece.column(at_id).take(at), *columns], ["key", "id", *rows])
