@@ -31,7 +31,9 @@ from prismloom.llm.words import mix, slices
 LAYERS, LEAST_LINES, LEAST_WORDS = 3, 2, 12
 #: A repeated run of lines with more words than this is always found.
 RUN_WORDS = 50
-_END = re.compile(r"[.!?\u061F\u06D4\u0964]\s+|[\u3002\uFF01\uFF1F\uFF61]\s*|\n\s*")
+_END = re.compile(r"[.!?\u061F\u06D4\u0964\u3002\uFF01\uFF1F\uFF61\n](?:\s+|(?<=[\u3002\uFF01\uFF1F\uFF61\n]))")
+#: White space other than single spaces and line feeds.
+_UNEVEN = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -42,6 +44,14 @@ def line_ends(text: str) -> list[int]:
     return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
+def lines_of(text: str, ends: list[int]) -> list[str]:
+    """The lines with single spaces for white space, and none at their ends."""
+    cut = (text[a:b] for a, b in zip([0, *ends], ends, strict=False))
+    if any(x in text for x in _UNEVEN):
+        return [" ".join(x.split()) for x in cut]
+    return [x.strip(" \n") for x in cut]
+
+
 def _series(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
 
@@ -81,12 +91,9 @@ def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     hashes, words, first = [], [], [0]
     for text in texts:
-        at = 0
-        for end in line_ends(text):
-            parts = text[at:end].split()
-            hashes.append(xxhash.xxh64_intdigest(" ".join(parts)))
-            words.append(len(parts))
-            at = end
+        lines = lines_of(text, line_ends(text))
+        hashes += map(xxhash.xxh64_intdigest, lines)
+        words += [x.count(" ") + 1 if x else 0 for x in lines]
         first.append(len(hashes))
     return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(first, dtype=np.int64)
 
@@ -191,32 +198,29 @@ def _line_digests(text: str, spans: np.ndarray) -> bytes:
     edges = np.zeros(len(ends) + 1, dtype=np.int64)
     np.add.at(edges, spans[:, 0], 1)
     np.add.at(edges, spans[:, 1], -1)
-    out, known, none = [], {}, bytes(32)
-    for at, end, asked in zip([0, *ends], ends, (np.cumsum(edges)[:-1] > 0).tolist(), strict=False):
-        line = " ".join(text[at:end].split()) if asked else None
-        if asked and line not in known:
-            known[line] = hashlib.sha256(line.encode()).digest()
-        out.append(known[line] if asked else none)
-    return b"".join(out)
+    asked, lines = np.flatnonzero(np.cumsum(edges)[:-1]).tolist(), lines_of(text, ends)
+    digest = {x: hashlib.sha256(x.encode()).digest() for x in {lines[i] for i in asked}}
+    out = bytearray(32 * len(ends))
+    for i in asked:
+        out[32 * i : 32 * i + 32] = digest[lines[i]]
+    return bytes(out)
 
 
 def _without(text: str, spans: np.ndarray) -> tuple[str, int, int]:
     """The text without spans of lines and the white space after them; lines in all, lines removed."""
-    ends, kept, gone, last = line_ends(text), [], 0, False
+    ends = line_ends(text)
     if not len(spans):
         return text, len(ends), 0
     edges = np.zeros(len(ends) + 1, dtype=np.int64)
     np.add.at(edges, spans[:, 0], 1)
     np.add.at(edges, spans[:, 1], -1)
     drop = np.cumsum(edges)[:-1] > 0
-    for a, after, out in zip([0, *ends], ends, drop.tolist(), strict=False):
-        last = out and bool(text[a:after].strip())
-        if last:
-            gone += 1
-        else:
-            kept.append(text[a:after])
-    out = "".join(kept)
-    return (out.rstrip() if last else out), len(ends), gone
+    if drop[0] and not text[: ends[0]].strip():  # white space before the first line isn't a line
+        drop[0] = False
+    turns = np.flatnonzero(np.diff(drop, prepend=True, append=True))
+    at = [0, *ends]
+    out = "".join(text[at[a] : at[b]] for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+    return (out.rstrip() if drop[-1] else out), len(ends), int(drop.sum())
 
 
 def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", layers: int = LAYERS, least_words: int = LEAST_WORDS) -> DataFrame:
