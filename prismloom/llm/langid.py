@@ -8,19 +8,20 @@ inside Spark tasks over every byte of every text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismloom.llm.storage import small_batches, table
 from prismloom.llm.words import slices
 
-#: Documents of a language in the training sample at most, segments taken of each, languages at most.
-SAMPLE_DOCS, SAMPLE_SEGMENTS, MOST_LANGUAGES = 300, 8, 200
+#: Documents of a language in the training sample at most, and segments taken of each.
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 300, 8
 #: Bytes of a segment, hidden units a direction.
 SEGMENT, HIDDEN = 64, 12
 EPOCHS, BATCH, RATE = 6, 128, 0.02
@@ -184,33 +185,36 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     """A network for the languages of the labelled documents, or None if there are none to learn from.
 
     Of each language about 2 * SAMPLE_DOCS documents are picked by a hash of their ids, over the whole
-    table, and the SAMPLE_DOCS of the least hashes are used, with SAMPLE_SEGMENTS segments from all over
-    each text. The sample's bound doesn't depend on the table.
+    table, and the SAMPLE_DOCS of the least hashes are used (of equal ones those of the least digests of their texts),
+    with SAMPLE_SEGMENTS segments from all over each text. The sample's bound a language doesn't depend on the table; all
+    languages that occur are learnt.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)) & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    chance = F.element_at(F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(min(1.0, 2 * SAMPLE_DOCS / counts[name]))))), F.col("lang"))
-    picked = labelled.select(F.xxhash64(F.col(id).cast("string"), F.lit(11)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < chance)
+    chances = F.map_from_arrays(F.array(*map(F.lit, languages)), F.array(*(F.lit(min(1.0, 2 * SAMPLE_DOCS / counts[name])) for name in languages)))
+    hashed = labelled.select(F.xxhash64(F.col(id).cast("string"), F.lit(11)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    picked = hashed.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.element_at(chances, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, found = batch.column(0).to_pylist(), []
-            for h, value in zip(hashes, batch.column(2).to_pylist(), strict=True):
-                rows, lengths, _ = segments_of([value.encode()])
+            digests, found = [], []
+            for value in batch.column(2).to_pylist():
+                data = value.encode()
+                rows, lengths, _ = segments_of([data])
                 at = np.unique(np.linspace(0, len(rows) - 1, SAMPLE_SEGMENTS).astype(np.int64) if len(rows) > SAMPLE_SEGMENTS else np.arange(len(rows)))
+                digests.append(hashlib.md5(data).digest())
                 found.append([rows[i, : lengths[i]].tobytes() for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["h", "lang", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.binary()))], ["h", "lang", "body", "segments"])
 
-    rows = picked.mapInArrow(run, "h bigint, lang string, segments array<binary>").limit(4 * SAMPLE_DOCS * len(languages)).collect()
+    # Spark keeps the first of each language in every task before the exchange, so none gathers more.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "body"))
+    rows = picked.mapInArrow(run, "h bigint, lang string, body binary, segments array<binary>").withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).collect()
     taken: dict[str, list[bytes]] = {name: [] for name in languages}
-    docs_taken = dict.fromkeys(languages, 0)
-    for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["segments"])):
-        if docs_taken.get(r["lang"], SAMPLE_DOCS) < SAMPLE_DOCS:
-            docs_taken[r["lang"]] += 1
-            taken[r["lang"]] += [bytes(s) for s in r["segments"]]
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        taken[r["lang"]] += [bytes(s) for s in r["segments"]]
     texts = [s for name in languages for s in taken[name]]
     segments, lengths, _ = segments_of(texts)
     return train(languages, segments, lengths, np.repeat(np.arange(len(languages)), [len(taken[n]) for n in languages]))
