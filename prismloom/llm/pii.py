@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from prismloom.llm.storage import table
 
 KINDS = ("email", "ip", "card", "phone")
+#: A kind without base spans: keys, tokens and passwords. It comes after the others.
+ALL_KINDS = (*KINDS, "secret")
 
 #: The strict patterns, in forms that take linear time: a run is tried from its start or the end of the last
 #: match only, and loops are possessive where nothing that follows could use what they give back.
@@ -33,18 +35,20 @@ STRICT = {
 #: Found in every text with a match that could stay; texts without are not searched further.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
-#: Looser forms: spelt-out addresses, IPv6, cards of 13 to 19 digits, numbers without a plus.
+#: Looser forms: spelt-out addresses, IPv6, cards of 13 to 19 digits, numbers without a plus; long words with a digit.
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9][\x20().0-9-]{6,20}[0-9]|00[1-9][\x20().0-9-]{6,18}[0-9]|\(0?[0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,4}|0?[0-9]{2,3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+(?![.@])",
 }
-LOOSE_HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|(?:[0-9A-Fa-f]{1,4}:){7}", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9)][\x20.-][0-9]"}
+LOOSE_HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9)][\x20.-][0-9]", "secret": r"[A-Za-z0-9_/+=-]{16}"}
 
-#: Gazetteers.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "dev", "app", "eu", "uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "ru", "cn", "jp", "kr", "in", "br", "ca", "au", "us", "example")
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92")
+#: Gazetteers. Top-level domains of two letters are countries' or shaped like theirs; calling codes by zone.
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "coop", "museum", "aero", "jobs", "mobi", "travel", "tel", "asia", "cat", "app", "dev", "page", "cloud", "online", "site", "store", "shop", "tech", "blog", "news", "email", "mail", "live", "life", "world", "xyz", "top", "club", "agency", "group", "solutions", "systems", "services", "media", "digital", "design", "studio", "bank", "law", "health", "academy", "school", "university", "berlin", "london", "paris", "tokyo", "swiss", "eus", "bzh", "example", "test", "local")
+CALLING = r"1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[058][0-9]|9[0-58]|9[679][0-9]"
+PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abeprs]-|AIza|ya29|eyJ|SG_|npm_|pypi-|hf_)"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|62)"
 #: Words that speak for or against a kind when they stand before a candidate.
 CUES = {
@@ -52,8 +56,9 @@ CUES = {
     "ip": r"(?i)\b(?:ip|host|server|address|client|adresse|direcci[oó]n|remote)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|credit|karte|carte|tarjeta|pay(?:ment)?)\b",
     "phone": r"(?i)\b(?:call|phone|tel|telefon|t[eé]l[eé]phone|tel[eé]fono|mobile|fax|whatsapp|ring)\b",
+    "secret": r"(?i)(?:\b|_)(?:tokens?|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|pass(?:word|wd|phrase)?|pwd|bearer|auth(?:orization)?|credentials?|contraseña|passwort|mot de passe)\b",
 }
-COUNTER_CUES = r"(?i)\b(?:isbn|issn|order|invoice|version|release|id|ref|serial|sku|part|build|doi|page)\b"
+COUNTER_CUES = r"(?i)\b(?:isbn|issn|order|invoice|version|release|id|ref|serial|sku|part|build|doi|page|sha\d*|md5|commit|checksum|etag|uuid)\b"
 #: Characters before a candidate in which cues count.
 CONTEXT = 40
 LABELERS = ("strict", "gazetteer", "context", "structure")
@@ -124,6 +129,8 @@ def holds(kind: str, hit: Column) -> Column:
 
 
 def base(text: Column, kind: str) -> Column:
+    if kind not in STRICT:
+        return F.array().cast("array<struct<start: int, end: int, hit: string>>")
     return F.filter(found(text, STRICT[kind], HINT[kind]), lambda m: holds(kind, m["hit"]))
 
 
@@ -138,7 +145,7 @@ def votes(kind: str, text: Column, span: Column, strict: Column) -> dict[str, Co
     is_base = F.exists(strict, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
     if kind == "email":
         top = F.lower(F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1))
-        gazetteer = _vote(top.isin(*DOMAINS), top.rlike("[0-9-]"))
+        gazetteer = _vote(top.isin(*DOMAINS) | top.rlike("^[a-z]{2}$"), top.rlike("[0-9-]"))
         structure = _vote(F.length(top).between(2, 24) & (F.length(hit) <= 254), F.length(top) < 2)
         spelt = hit.rlike(r"[\[(]")
     elif kind == "ip":
@@ -150,9 +157,15 @@ def votes(kind: str, text: Column, span: Column, strict: Column) -> dict[str, Co
         gazetteer = _vote(number.rlike(ISSUERS), ~number.rlike(ISSUERS))
         structure = _vote(luhn(number), ~luhn(number))
         spelt = hit.rlike("[ -]")
+    elif kind == "secret":
+        gazetteer = _vote(hit.rlike(PREFIXES), hit.rlike("^[0-9]+$|[/=-]{2}|^[a-z]+-[a-z]+"))
+        hexadecimal = hit.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
+        mixed = hit.rlike("[A-Z]") & hit.rlike("[a-z]") & (F.length(number) >= 3)
+        structure = _vote(hexadecimal | mixed, ~hit.rlike(PREFIXES) & ((F.length(number) < 3) | (F.length(number) > F.length(hit) - 3)))
+        spelt = hit.rlike("[_/+=-]")
     else:
         code = F.regexp_replace(hit, "[^0-9+]", "")
-        gazetteer = _vote(code.rlike(r"^(?:\+|00)(?:" + "|".join(CALLING) + ")"), code.rlike(r"^(?:\+|00)"))
+        gazetteer = _vote(code.rlike(r"^(?:\+|00)(?:" + CALLING + ")"), code.rlike(r"^(?:\+|00)"))
         structure = _vote(F.length(number).between(9, 15), ~F.length(number).between(8, 15))
         spelt = hit.rlike(r"[ ().-]")
     context = _vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES))
@@ -230,10 +243,10 @@ def fit(docs: DataFrame, text: str = "text") -> dict[str, Model]:
         as_pattern = lambda c: F.struct(F.lit(kind).alias("kind"), *(c[n].alias(n) for n in (*LABELERS, "shape")))
         return let(base(body, kind), lambda strict: F.transform(candidates(body, kind, strict), as_pattern))
 
-    counts = docs.select(F.explode(F.concat(*map(named, KINDS))).alias("c")).groupBy("c").count()
-    rows = [(r["c"], r["count"]) for r in counts.collect()]  # at most 4 x 81 x 4 patterns
+    counts = docs.select(F.explode(F.concat(*map(named, ALL_KINDS))).alias("c")).groupBy("c").count()
+    rows = [(r["c"], r["count"]) for r in counts.collect()]  # at most 5 x 81 x 4 patterns
     models = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = [(tuple(c[n] for n in LABELERS), c["shape"], float(n)) for c, n in rows if c["kind"] == kind]
         patterns: dict[tuple[int, ...], float] = {}
         for p, _, n in own:
@@ -256,27 +269,30 @@ def find(docs: DataFrame, text: str = "text", cut: float = 0.5, models: dict[str
     """Adds ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed, then start.
 
     Places are code points, ends exclusive. A null text is as an empty one and has no spans; repeated
-    documents get the same spans each. All other columns stay, but the two must be new names. An empty
-    table gives no rows. An added span overlaps no other span of its kind.
+    documents get the same spans each. All other columns stay, whatever their names, but the two must be new names. An empty
+    table gives no rows. An added span overlaps no base span of its kind; a secret overlaps no base span of any kind.
     """
     if {"base", "spans"} & set(docs.columns):
         raise ValueError("columns base or spans are there already")
-    models = fit(docs, text) if models is None else models
-    body = F.coalesce(F.col(text), F.lit(""))
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own.values())
+    models = fit(rows, own[text]) if models is None else models
+    body = F.coalesce(F.col(own[text]), F.lit(""))
 
     def both(kind: str) -> Column:
         plain = lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
 
         def split(strict: Column) -> Column:
-            more = F.filter(candidates(body, kind, strict), lambda c: (c["strict"] == -1) & accepted(models[kind], c, cut))
+            more = F.filter(candidates(body, kind, strict), lambda c: (c["strict"] == -1) & (accepted(models[kind], c, cut) if kind in models else F.lit(False)))
             return F.struct(F.transform(strict, plain).alias("own"), F.transform(more, plain).alias("more"))
 
         return let(base(body, kind), split)
 
-    columns = {f"_found_{kind}": both(kind) for kind in KINDS}
-    out = docs.withColumns(columns)
-    every = [F.array_sort(F.concat(F.col(f"{c}.own"), F.col(f"{c}.more"))) for c in columns]
-    return out.withColumns({"base": F.concat(*(F.col(f"{c}.own") for c in columns)), "spans": F.concat(*every)}).drop(*columns)
+    out = rows.withColumns({f"found_{kind}": both(kind) for kind in ALL_KINDS})
+    strict = F.concat(*(F.col(f"found_{kind}.own") for kind in KINDS))
+    apart = F.filter("found_secret.more", lambda s: ~F.exists(strict, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    every = [F.array_sort(F.concat(F.col(f"found_{kind}.own"), F.col(f"found_{kind}.more") if kind != "secret" else apart)) for kind in ALL_KINDS]
+    return out.select(*(F.col(o).alias(c) for c, o in own.items()), strict.alias("base"), F.concat(*every).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -286,7 +302,7 @@ def listed(spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return spans.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 QUERIES = {"op9_pii": op9_pii}
