@@ -161,7 +161,7 @@ def votes(kind: str, text: Column, span: Column, strict: Column) -> dict[str, Co
         gazetteer = _vote(hit.rlike(PREFIXES), hit.rlike("^[0-9]+$|[/=-]{2}|^[a-z]+-[a-z]+"))
         hexadecimal = hit.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
         mixed = hit.rlike("[A-Z]") & hit.rlike("[a-z]") & (F.length(number) >= 3)
-        structure = _vote(hexadecimal | mixed, ~hit.rlike(PREFIXES) & ((F.length(number) < 3) | (F.length(number) > F.length(hit) - 3)))
+        structure = _vote(hexadecimal | mixed, ~hit.rlike(PREFIXES) & ((F.length(number) < 3) | (F.length(number) > F.length(hit) - 3) | hit.rlike("^[A-Za-z_-]+[0-9]+$")))
         spelt = hit.rlike("[_/+=-]")
     else:
         code = F.regexp_replace(hit, "[^0-9+]", "")
