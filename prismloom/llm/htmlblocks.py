@@ -1,14 +1,15 @@
 """Leaf blocks of a page: runs of text between the edges of block elements, with what stands above them.
 
 A small forgiving reader: one pattern finds tags and comments, a stack holds the open elements, and
-the implied ends of paragraphs, list items and table cells are honoured. Its work is linear in the page,
-however deep elements nest.
+the implied ends of paragraphs, list items and table cells are honoured. With the marks that a model knows, its work is
+linear in the page, however deep elements nest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Container
 from dataclasses import dataclass
 
 #: Elements that end a block where they begin and end.
@@ -17,7 +18,9 @@ BLOCK = frozenset(
 )
 #: Elements without content, and those whose content is not text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript noframes noembed iframe svg math object".split())
+RAW = frozenset("script style template noframes noembed iframe svg".split())
+#: Of those, the ones that reach to the end of the page if they aren't closed; others are then taken as empty.
+_TO_THE_END = frozenset(("script", "style"))
 #: What an element that begins closes, and the elements beyond which it doesn't look.
 CLOSES = {
     "li": (("li",), frozenset(("ul", "ol", "menu", "dir"))),
@@ -32,14 +35,15 @@ CLOSES = {
 _ENDS_P = BLOCK - frozenset("body button caption head html iframe label legend option optgroup select td textarea th title tr tbody thead tfoot".split())
 _P_SCOPE = frozenset(("button", "td", "th", "caption", "table", "object", "html"))
 
+#: Elements whose tags are marks; other inline ones only say how letters look.
+_MARKED = BLOCK | {"a", "ins"}
+
 _TAG = re.compile(
     r"""<!--(?:-?>|.*?--!?>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
-#: Words taken from the attributes of one element at most; a real one has a few.
-_MOST_NAMES = 24
 
 
 @dataclass
@@ -52,32 +56,35 @@ class Block:
     marks: frozenset[str]
 
 
-def _names(attributes: str) -> list[str]:
-    """``.word`` for each word of class, id and role."""
+def _names(tag: str, attributes: str) -> list[str]:
+    """``.word`` for each word of class, id and role; ``page.word`` where they speak of the whole page."""
     found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
     spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", found)
-    return [f".{w.lower()}" for w in _PART.findall(spaced)[:_MOST_NAMES]]
+    return [f"{'page' if tag in ('html', 'body') else ''}.{w.lower()}" for w in _PART.findall(spaced)]
 
 
 class _Open:
-    """The open elements; each level has the marks of all levels down to it."""
+    """The open elements; each level has the marks of all levels down to it, and its innermost block element."""
 
-    def __init__(self):
+    def __init__(self, known: Container[str] | None):
+        self.known = known
         self.tags: list[str] = []
+        self.inner: list[str] = ["body"]
         self.marks: list[frozenset[str]] = [frozenset()]
         self.count: dict[str, int] = {}
 
     def push(self, tag: str, names: list[str]) -> None:
         above = self.marks[-1]
-        new = [m for m in (f"<{tag}", *names) if m not in above]
+        new = [m for m in ((f"<{tag}", *names) if tag in _MARKED else names) if m not in above and (self.known is None or m in self.known)]
         self.tags.append(tag)
+        self.inner.append(tag if tag in BLOCK else self.inner[-1])
         self.marks.append(above.union(new) if new else above)
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop_to(self, at: int) -> None:
         for tag in self.tags[at:]:
             self.count[tag] -= 1
-        del self.tags[at:], self.marks[at + 1 :]
+        del self.tags[at:], self.marks[at + 1 :], self.inner[at + 1 :]
 
     def find(self, wanted: tuple[str, ...], scope: frozenset[str]) -> int:
         """Where the innermost wanted element stands that no element of the scope hides, or -1."""
@@ -107,10 +114,10 @@ class _Open:
             self.pop_to(at)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, those without text left out."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, those without text left out; of marks only the known ones, if given."""
     out: list[Block] = []
-    above, parts, linked = _Open(), [], 0
+    above, parts, linked = _Open(known), [], 0
     where: tuple[str, frozenset[str]] = ("", frozenset())
 
     def text(raw: str) -> None:
@@ -118,8 +125,7 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         if not parts or not where[0]:
-            inner = next((t for t in reversed(above.tags[-8:]) if t in BLOCK), "body")
-            where = (inner, above.marks[-1]) if raw.strip() else ("", frozenset())
+            where = (above.inner[-1], above.marks[-1]) if raw.strip() else ("", frozenset())
         parts.append(html.unescape(raw) if "&" in raw else raw)
         if above.count.get("a"):
             linked += len(parts[-1].strip())
@@ -154,12 +160,12 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 close()
             after = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
-            at = after.end() if after else end
+            at = after.end() if after else end if name in _TO_THE_END else at
         else:
             if name in BLOCK:
                 close()
                 above.begin(name)
             if name not in VOID:
-                above.push(name, _names(m["more"]) if "=" in m["more"] else [])
+                above.push(name, _names(name, m["more"]) if "=" in m["more"] else [])
     close()
     return out

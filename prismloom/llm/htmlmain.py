@@ -26,7 +26,7 @@ from prismloom.llm.storage import table
 from prismloom.llm.words import slices
 
 #: Labelled pages that the model is trained on, rounds of descent, step, and the weight of the ridge.
-PAGES, ROUNDS, RATE, RIDGE = 600, 150, 0.1, 2e-4
+PAGES, ROUNDS, RATE, RIDGE = 900, 120, 0.1, 2e-4
 #: In a labelled page, the character that marks text as main text; it is taken out before training.
 MARK = "\ue000"
 
@@ -41,12 +41,12 @@ def features(block: Block) -> list[str]:
     """Names of what holds of a block's text and element."""
     text, n = block.text, len(block.text)
     link = block.linked / n
-    out = [f"tag:{block.tag}", f"size:{min(9, n.bit_length())}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}"]
-    if n < 400 and CUES.search(text):
-        out.append("cue")
-    if n < 60 and sum(map(str.isdigit, text)) * 4 > n:
-        out.append("digits")
-    return out
+    cues = sum(1 for _ in CUES.finditer(text))
+    words = text.count(" ") + 1
+    return [
+        f"tag:{block.tag}", f"size:{min(11, n.bit_length())}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}",
+        f"cues:{0 if not cues else 1 if cues * 12 < words else 2}", f"digits:{sum(map(str.isdigit, text)) * 4 > n}",
+    ]
 
 
 @dataclass
@@ -58,7 +58,7 @@ class Model:
     first: np.ndarray
 
     def scores(self, page: list[Block]) -> list[float]:
-        get, above = self.weights.get, {}
+        get, above = self.weights.get, {}  # marks are few: the model knows some hundreds
         out = []
         for b in page:
             if b.marks not in above:
@@ -85,18 +85,6 @@ class Model:
         return out[::-1]
 
 
-def _padded(pages: list[list[list[int]]], n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """(page, block, feature) as 0 and 1, and which blocks there are."""
-    longest = max(map(len, pages))
-    x = np.zeros((len(pages), longest, n_features), dtype=np.float32)
-    real = np.zeros((len(pages), longest), dtype=bool)
-    for p, page in enumerate(pages):
-        real[p, : len(page)] = True
-        for i, ids in enumerate(page):
-            x[p, i, ids] = 1
-    return x, real
-
-
 def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -107,22 +95,28 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, rat
     pages = [p for p in pages if p[0]]
     names = sorted({f for page, _ in pages for b in page for f in (*b.marks, *features(b))} | {"bias"})
     number = {f: i for i, f in enumerate(names)}
-    x, real = _padded([[[number["bias"], *(number[f] for f in (*b.marks, *features(b)))] for b in page] for page, _ in pages], len(names))
-    n, length = real.shape
-    y = np.zeros((n, length), dtype=np.int64)
-    for p, (_, labels) in enumerate(pages):
-        y[p, : len(labels)] = labels
+    longest = max(len(page) for page, _ in pages)
+    n, length = len(pages), longest
+    real, y = np.zeros((n, length), dtype=bool), np.zeros((n, length), dtype=np.int64)
+    rows, ids = [], []
+    for p, (page, labels) in enumerate(pages):
+        real[p, : len(page)], y[p, : len(labels)] = True, labels
+        for i, b in enumerate(page):
+            own = [number["bias"], *(number[f] for f in (*b.marks, *features(b)))]
+            rows += [p * length + i] * len(own)
+            ids += own
+    rows, ids = np.array(rows), np.array(ids)  # what holds, as (block, feature)
     both = real[:, 1:]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
     seen_first = np.bincount(y[:, 0], minlength=2)
-    flat, total = x.reshape(n * length, -1), real.sum()
+    total = real.sum()
     params = np.zeros(len(names) + 6)
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
         w, steps, first = params[:-6], params[-6:-2].reshape(2, 2), params[-2:]
         emit = np.zeros((n, length, 2))
-        emit[:, :, 1] = (flat @ w.astype(np.float32)).reshape(n, length)
+        emit[:, :, 1] = np.bincount(rows, w[ids], n * length).reshape(n, length)
         ahead = np.zeros((n, length, 2))
         ahead[:, 0] = first + emit[:, 0]
         for i in range(1, length):
@@ -135,7 +129,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, rat
         z = _log_add(ahead[:, -1], 1)
         p = np.exp(ahead + after - z[:, None, None])[:, :, 1] * real
         pair = np.exp(ahead[:, :-1, :, None] + steps + (emit[:, 1:] + after[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        slope = np.concatenate([flat.T @ (p - y * real).ravel().astype(np.float32), (pair.sum(axis=(0, 1)) - seen).ravel(), np.exp(ahead[:, 0] + after[:, 0] - z[:, None]).sum(axis=0) - seen_first])
+        slope = np.concatenate([np.bincount(ids, (p - y * real).ravel()[rows], len(names)), (pair.sum(axis=(0, 1)) - seen).ravel(), np.exp(ahead[:, 0] + after[:, 0] - z[:, None]).sum(axis=0) - seen_first])
         slope = slope / total + ridge * params
         mean += 0.1 * (slope - mean)
         square += 0.01 * (slope * slope - square)
@@ -172,15 +166,28 @@ PHRASES = {
 _SYLLABLES = "the an er in on re ti es or en ed th ing ion le la de que os ar sch ung ei ich ou è á ñ ü ö mar tel vo ka su ni do pra".split()
 
 
+#: Names that say nothing of what an element holds.
+NEUTRAL = "wrapper wrap container row col md lg inner outer region block module box group wp elementor section layout grid flex cell node field item clearfix left right center page site root app".split()
+#: Kinds of layouts: HTML 5 elements, named divs, elements that tell nothing, tables, and no element about the main text.
+FAMILIES = ("semantic", "named", "bare", "table", "flat")
+
+
 class _Drawn:
-    """A page drawn at random."""
+    """A page of a family, drawn at random."""
 
-    def __init__(self, rng: np.random.Generator):
+    def __init__(self, rng: np.random.Generator, families: tuple[str, ...] = FAMILIES):
         self.rng = rng
+        self.family = self.pick(families)
 
     def pick(self, options):
         return options[int(self.rng.integers(len(options)))]
 
+    def neutral(self, inner: str) -> str:
+        """An element whose names, if any, say nothing."""
+        names = " ".join("-".join(self.pick(NEUTRAL) for _ in range(int(self.rng.integers(1, 3)))) for _ in range(int(self.rng.integers(0, 3))))
+        tag = self.pick(("div", "div", "section", "span") if "<p" not in inner else ("div", "div", "section"))
+        return f"<{tag}{f' class={chr(34)}{names}{chr(34)}' if names else ''}>{inner}</{tag}>"
+
     def words(self, lo: int, hi: int) -> str:
         out = ["".join(self.pick(_SYLLABLES) for _ in range(int(self.rng.integers(1, 4)))) for _ in range(int(self.rng.integers(lo, hi + 1)))]
         junk = self.pick(("", "", "", "", "%%%", "###"))
@@ -197,10 +204,19 @@ class _Drawn:
 
     def within(self, kind: str, inner: str) -> str:
         tag = self.pick(TAGS[kind])
-        # A plain div without a name says nothing; it would only teach that text alone decides.
-        named = self.attributes(kind) if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else f' class="{self.pick(NAMES[kind])}"'
+        if self.family == "semantic" and tag == "div":
+            tag = TAGS[kind][0]
+        if self.family in ("named", "table") and kind == "main":
+            tag = "div"
         if tag == "ul":
             inner = "".join(f"<li>{x}</li>" for x in inner.split("\n"))
+        if self.family == "bare" and (kind == "main" or kind in ("menu", "share", "footer", "header", "advert") and self.rng.random() < 0.3):
+            return f"<ul>{inner}</ul>" if tag == "ul" else self.neutral(inner)
+        if self.family == "table" and kind == "main":
+            return f"<table><tr><td{self.attributes(kind) if self.rng.random() < 0.3 else ''}>{inner}</td></tr></table>"
+        if self.family == "flat" and kind == "main":
+            return inner
+        named = self.attributes(kind) if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else f' class="{self.pick(NAMES[kind])}"'
         return f"<{tag}{named}>{inner}</{tag}>"
 
     def line(self, kind: str) -> str:
@@ -256,12 +272,16 @@ class _Drawn:
                 body.insert(int(self.rng.integers(len(body) + 1)), self.other(kind))
         if self.rng.random() < 0.1:
             body.append(self.other("comments"))
-        main = self.within("main", "".join(body)) if self.rng.random() < 0.94 else "".join(body)
-        if self.rng.random() < 0.3:
-            main = self.pick(('<div class="wrapper">{}</div>', '<div id="page">{}</div>', "<main>{}</main>", '<div class="container row">{}</div>', "<div>{}</div>")).format(main)
+        main = self.within("main", "".join(body))
+        for _ in range(int(self.rng.integers(0, 3))):
+            main = self.neutral(main)
+        if self.rng.random() < 0.15:
+            main = f"<main>{main}</main>"
         before = [self.other(k) for k in ("notice", "header", "menu", "advert", "sidebar") if self.rng.random() < 0.5]
         after = [self.other(k) for k in ("share", "comments", "sidebar", "advert", "form", "footer", "notice") if self.rng.random() < 0.45]
-        return f"<html><head><title>{self.words(1, 8)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+        # Names of the whole page say nothing of its parts.
+        whole = " ".join(f"{self.pick(NAMES[self.pick(sorted(NAMES))])}-{self.pick(NEUTRAL)}" for _ in range(int(self.rng.integers(0, 4))))
+        return f"<html><head><title>{self.words(1, 8)}</title></head><body class='{whole}'>{''.join(before)}{main}{''.join(after)}</body></html>"
 
 
 def labelled(page: str) -> tuple[list[Block], list[bool]]:
@@ -271,9 +291,9 @@ def labelled(page: str) -> tuple[list[Block], list[bool]]:
     return [Block(b.text.replace(MARK, ""), b.linked, b.tag, b.marks) for b in found], labels
 
 
-def labelled_pages(n: int, seed: int = 19) -> list[tuple[list[Block], list[bool]]]:
+def labelled_pages(n: int, seed: int = 19, families: tuple[str, ...] = FAMILIES) -> list[tuple[list[Block], list[bool]]]:
     rng = np.random.default_rng(seed)
-    return [labelled(_Drawn(rng).page()) for _ in range(n)]
+    return [labelled(_Drawn(rng, families).page()) for _ in range(n)]
 
 
 @lru_cache(maxsize=2)
@@ -282,7 +302,7 @@ def default_model(pages: int = PAGES, seed: int = 19) -> Model:
 
 
 def main_text(model: Model, page: str) -> str:
-    found = blocks(page)
+    found = blocks(page, model.weights)
     return "\n\n".join(b.text for b, own in zip(found, model.labels(found), strict=True) if own)
 
 
