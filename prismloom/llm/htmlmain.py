@@ -44,7 +44,7 @@ def features(block: Block) -> list[str]:
     cues = sum(1 for _ in CUES.finditer(text))
     words = text.count(" ") + 1
     return [
-        f"tag:{block.tag}", f"size:{min(11, n.bit_length())}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}",
+        f"tag:{block.tag}", f"size:{min(9, n.bit_length())}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}",
         f"cues:{0 if not cues else 1 if cues * 12 < words else 2}", f"digits:{sum(map(str.isdigit, text)) * 4 > n}",
     ]
 
