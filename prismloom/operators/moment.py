@@ -10,7 +10,7 @@ from numpy.polynomial import legendre
 from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, tiled, weighted
-from prismloom.operators.base import Extractor, Feature, Input, count_int, enough_bands, odd_windows, positive_int
+from prismloom.operators.base import INDEX, NATURAL, WINDOW, Extractor, Feature, Input
 from prismloom.operators.reduction import PCAExtractor
 from prismloom.operators.texture import component_values, raw_bands
 from prismloom.sources.cube import Cube
@@ -60,12 +60,7 @@ class _Moments(Extractor):
     #: Bands themselves in place of components.
     bands: tuple[int, ...] | None = None
 
-    def _check(self, cube: Cube) -> None:
-        positive_int("n_components", self.n_components)
-        count_int("max_order", self.max_order)
-        odd_windows("window_sizes", self.window_sizes)
-        if self.bands is None:
-            enough_bands(cube, self.n_components)
+    limits = {"n_components": NATURAL, "max_order": INDEX, "window_sizes": WINDOW.many()}
 
     def _kernels(self, size: int) -> np.ndarray:
         raise NotImplementedError

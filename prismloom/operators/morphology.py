@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, tiled
-from prismloom.operators.base import Extractor, Feature, enough_bands, filled, one_of, positive_int, positive_ints
+from prismloom.operators.base import FLAG, NATURAL, Extractor, Feature, among
 from prismloom.operators.texture import component_values, raw_bands
 from prismloom.sources.cube import Cube
 from prismloom.sources.storage import written
@@ -93,16 +93,7 @@ class MPExtractor(Extractor):
     #: Bands themselves in place of components.
     bands: tuple[int, ...] | None = None
 
-    def _check(self, cube: Cube) -> None:
-        positive_int("n_components", self.n_components)
-        positive_ints("radii", self.radii)
-        filled("shapes", self.shapes)
-        for s in self.shapes:
-            one_of("shapes", s, SHAPES)
-        if not isinstance(self.use_reconstruction, bool):
-            raise ValueError("use_reconstruction must be true or false")
-        if self.bands is None:
-            enough_bands(cube, self.n_components)
+    limits = {"n_components": NATURAL, "radii": NATURAL.many(), "shapes": among(*SHAPES).many(), "use_reconstruction": FLAG}
 
     def _extract(self, cube: Cube) -> Feature:
         channels = component_values(cube, self.n_components) if self.bands is None else raw_bands(cube, self.bands)

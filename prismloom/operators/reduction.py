@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismloom.operators.base import Extractor, Feature, count_int, one_of, positive_int
+from prismloom.operators.base import FLAG, INDEX, NATURAL, NOTHING, Extractor, Feature, among
 from prismloom.sources.cube import Cube
 from prismloom.sources.storage import written
 
@@ -131,11 +131,7 @@ class PCAExtractor(Extractor):
     n_components: int = 5
     whiten: bool = False
     random_state: int | None = 42
-
-    def _check(self, cube: Cube) -> None:
-        positive_int("n_components", self.n_components)
-        if not isinstance(self.whiten, bool):
-            raise ValueError("whiten must be true or false")
+    limits = {"n_components": NATURAL, "whiten": FLAG}
 
     def _extract(self, cube: Cube) -> Feature:
         return pca(cube, self.n_components, self.whiten)
@@ -173,9 +169,7 @@ class MNFExtractor(Extractor):
 
     name: ClassVar[str] = "mnf"
     n_components: int = 5
-
-    def _check(self, cube: Cube) -> None:
-        positive_int("n_components", self.n_components)
+    limits = {"n_components": NATURAL}
 
     def _extract(self, cube: Cube) -> Feature:
         both = gram(cube.pixels, "spectrum", cube.n_bands).join(gram(differences(cube), "spectrum", cube.n_bands).withColumnRenamed("gram", "noise"), "image_id")
@@ -205,10 +199,9 @@ class ICAExtractor(Extractor):
     random_state: int | None = 42
     tolerance: float = 1e-4
     most_rounds: int = 200
+    limits = {"n_components": NATURAL, "whiten": among("unit-variance", "arbitrary-variance", False)}
 
     def _check(self, cube: Cube) -> None:
-        positive_int("n_components", self.n_components)
-        one_of("whiten", self.whiten, ("unit-variance", "arbitrary-variance", False))
         if self.whiten is False:
             warnings.warn("components of data that aren't whitened may be unstable", stacklevel=3)
 
@@ -259,6 +252,10 @@ class ICAExtractor(Extractor):
         return Feature(every.select("image_id", "row", "col", F.coalesce("features", zeros).alias("features")), {"n_components": k}, model)
 
 
+#: Share of a bin that scores may lie below its border and still count in it.
+EDGE = 1e-7
+
+
 def divergence(counts: np.ndarray, limit: float) -> float:
     """Symmetric Kullback-Leibler divergence of a histogram over -limit to limit from the standard normal distribution."""
     width = 2 * limit / len(counts)
@@ -276,7 +273,9 @@ class PPExtractor(Extractor):
 
     Pixels are whitened by principal components (by default as many as hold 0.99 of the variance). For each
     projection the candidates of an image, ``sample_size`` at most, are scored over all its pixels: tasks send moments, then
-    histograms, of their blocks of pixels. The best direction is taken out of the pixels before the next.
+    histograms, of their blocks of pixels. The best direction is taken out of the pixels before the next. Sums over pixels
+    differ in their last digits with the order of the pixels; scores within EDGE of a border between bins count as
+    above it, and divergences are compared to 9 decimals, so that this doesn't choose the direction.
     """
 
     name: ClassVar[str] = "pp"
@@ -286,13 +285,7 @@ class PPExtractor(Extractor):
     sample_size: int = 1000
     random_state: int | None = 42
     block: int = 4096
-
-    def _check(self, cube: Cube) -> None:
-        for name in ("n_projections", "n_bins", "sample_size"):
-            positive_int(name, getattr(self, name))
-        if self.pca_components is not None:
-            positive_int("pca_components", self.pca_components)
-        count_int("random_state", self.random_state or 0)
+    limits = {"n_projections": NATURAL, "n_bins": NATURAL, "pca_components": NATURAL | NOTHING, "sample_size": NATURAL, "random_state": INDEX | NOTHING}
 
     def _sphered(self, cube: Cube) -> tuple[DataFrame, DataFrame]:
         k = self.pca_components
@@ -335,7 +328,7 @@ class PPExtractor(Extractor):
                 for name, s, row in scores(batch):
                     m = np.array([[x["mean"], x["sd"], x["limit"]] for x in row["m"]])
                     at = ((s - m[:, 0]) / m[:, 1] + m[:, 2]) * (bins / (2 * m[:, 2]))
-                    code = np.clip(np.floor(at), 0, bins - 1).astype(np.int64) + np.arange(s.shape[1]) * bins
+                    code = np.clip(np.floor(at + EDGE), 0, bins - 1).astype(np.int64) + np.arange(s.shape[1]) * bins
                     own = np.bincount(code.ravel(), minlength=s.shape[1] * bins).reshape(-1, bins)
                     yield pa.RecordBatch.from_pydict({"image_id": [name] * len(own), "candidate": pa.array([c["candidate"] for c in row["c"]], pa.int64()), "counts": pa.array(list(own), pa.list_(pa.int64()))})
 
@@ -354,15 +347,17 @@ class PPExtractor(Extractor):
         white, model = self._sphered(cube)
         place = F.col("row").cast("bigint") * 1_000_000_000 + F.col("col")
         drawn = F.row_number().over(Window.partitionBy("image_id").orderBy(F.xxhash64("row", "col", F.lit(self.random_state or 0)), "row", "col"))
-        # The sample is bounded for each image; scores count every pixel.
-        left = written(white.withColumn("drawn", drawn).select("image_id", place.alias("candidate"), "row", "col", "features", (F.col("drawn") <= self.sample_size).alias("is_candidate")), "pursuit")
+        # The sample is bounded for each image, and tasks send no more than it to the exchange; scores count every pixel.
+        sample = white.select("image_id", "row", "col").withColumn("drawn", drawn).where(F.col("drawn") <= self.sample_size).select("image_id", "row", "col", F.lit(True).alias("is_candidate"))
+        marked = white.join(sample, ["image_id", "row", "col"], "left").select("image_id", place.alias("candidate"), "row", "col", "features", F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"))
+        left = written(marked, "pursuit")
         vectors = None
         for p in range(self.n_projections):
             norm = F.sqrt(dot(F.col("features"), F.col("features")))
             sample = left.where("is_candidate").withColumn("norm", norm).where("norm >= 1e-10")
             candidates = written(sample.select("image_id", "candidate", F.transform("features", lambda x: x / F.col("norm")).alias("vector")), "candidates")
             scored = self._scored(self._blocks(left), candidates)
-            best = written(scored.groupBy("image_id").agg(F.max_by(F.struct("candidate", "vector", "score"), F.struct("score", -F.col("candidate"))).alias("b")).select("image_id", F.lit(p).alias("p"), "b.*"), "best")
+            best = written(scored.groupBy("image_id").agg(F.max_by(F.struct("candidate", "vector", "score"), F.struct(F.round("score", 9), -F.col("candidate"))).alias("b")).select("image_id", F.lit(p).alias("p"), "b.*"), "best")
             vectors = best if vectors is None else vectors.unionByName(best)
             if p + 1 < self.n_projections:
                 along = F.zip_with("features", "vector", lambda x, v: x - F.col("d") * v)

@@ -9,7 +9,7 @@ from typing import ClassVar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prismloom.operators.base import Extractor, Feature, positive_number
+from prismloom.operators.base import LENGTH, Extractor, Feature, Limit
 from prismloom.sources.cube import Cube
 
 #: Fixed value: what keeps the denominators of NDVI and NDWI from 0.
@@ -23,8 +23,6 @@ def _index(cube: Cube, value: Column, bands: dict[str, int], **more) -> Feature:
 
 
 def _ordered(low_name: str, low: float, high: float) -> None:
-    positive_number(f"{low_name}_wavelength", low)
-    positive_number("nir_wavelength", high)
     if low >= high:
         warnings.warn(f"{low_name}_wavelength is not below nir_wavelength", stacklevel=3)
 
@@ -36,6 +34,7 @@ class NDVIExtractor(Extractor):
     name: ClassVar[str] = "ndvi"
     red_wavelength: float = 660
     nir_wavelength: float = 850
+    limits = {"red_wavelength": LENGTH, "nir_wavelength": LENGTH}
 
     def _check(self, cube: Cube) -> None:
         _ordered("red", self.red_wavelength, self.nir_wavelength)
@@ -53,6 +52,7 @@ class NDWIExtractor(Extractor):
     name: ClassVar[str] = "ndwi"
     green_wavelength: float = 560
     nir_wavelength: float = 850
+    limits = {"green_wavelength": LENGTH, "nir_wavelength": LENGTH}
 
     def _check(self, cube: Cube) -> None:
         _ordered("green", self.green_wavelength, self.nir_wavelength)
@@ -71,11 +71,10 @@ class SAVIExtractor(Extractor):
     red_wavelength: float = 660
     nir_wavelength: float = 850
     L: float = 0.5
+    limits = {"red_wavelength": LENGTH, "nir_wavelength": LENGTH, "L": Limit(lambda v: 0 <= v <= 1, "within 0 and 1")}
 
     def _check(self, cube: Cube) -> None:
         _ordered("red", self.red_wavelength, self.nir_wavelength)
-        if not 0 <= self.L <= 1:
-            raise ValueError("L must be within 0 and 1")
 
     def _extract(self, cube: Cube) -> Feature:
         red, nir = cube.nearest_band(self.red_wavelength), cube.nearest_band(self.nir_wavelength)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, shown, tiled, weighted
-from prismloom.operators.base import Extractor, Feature, Input, count_int, enough_bands, filled, odd_windows, one_of, positive_int, positive_ints
+from prismloom.operators.base import ANY, INDEX, NATURAL, NOTHING, WINDOW, Extractor, Feature, Input, Limit, among
 from prismloom.operators.reduction import PCAExtractor, pca
 from prismloom.sources.cube import Cube
 
@@ -31,6 +31,8 @@ def raw_bands(cube: Cube, bands: Sequence[int] | None = None) -> DataFrame:
 
 def component_values(cube: Cube, k: int) -> DataFrame:
     """(image_id, row, col, values) of the first principal components."""
+    if k > cube.n_bands:
+        raise ValueError(f"images of {cube.n_bands} bands don't have {k} components")
     return pca(cube, k).data.withColumnRenamed("features", "values")
 
 
@@ -115,7 +117,7 @@ class GLCMExtractor(Extractor):
 
     Channels are principal components, or the bands themselves (``spectral_reduction=None``). Neighbours at
     an offset wrap around the image; windows repeat the edge. ``angle_pooling`` takes the mean over all
-    offsets, sets them side by side ("concat"), or gives mean and range.
+    offsets, sets them side by side ("concat"), or gives mean and range. Features: for window, for channel.
     """
 
     name: ClassVar[str] = "glcm"
@@ -128,31 +130,19 @@ class GLCMExtractor(Extractor):
     spectral_reduction: str | None = "pca"
     n_components: int = 1
     angle_pooling: str = "mean"
-
-    def _check(self, cube: Cube) -> None:
-        positive_ints("distances", self.distances)
-        filled("angles", self.angles)
-        positive_int("levels", self.levels)
-        if not 2 <= self.levels <= 256:
-            raise ValueError("levels must be within 2 and 256")
-        odd_windows("window_sizes", self.window_sizes)
-        filled("features", self.features)
-        for f in self.features:
-            one_of("features", f, HARALICK)
-        one_of("spectral_reduction", self.spectral_reduction, ("pca", None))
-        one_of("angle_pooling", self.angle_pooling, ("mean", "concat", "mean+range"))
-        positive_int("n_components", self.n_components)
-        if self.spectral_reduction:
-            enough_bands(cube, self.n_components)
+    limits = {
+        "distances": NATURAL.many(), "angles": ANY.many(), "levels": Limit(lambda v: v in range(2, 257), "an integer within 2 and 256"), "window_sizes": WINDOW.many(),
+        "features": among(*HARALICK).many(), "spectral_reduction": among("pca", None), "n_components": NATURAL, "angle_pooling": among("mean", "concat", "mean+range"),
+    }
 
     def _extract(self, cube: Cube) -> Feature:
         channels = component_values(cube, self.n_components) if self.spectral_reduction else raw_bands(cube)
         offsets = [(round(math.sin(a) * d), round(math.cos(a) * d)) for d in self.distances for a in self.angles]
         images = cube.images()
-        levels, names, pooling, size = self.levels, tuple(self.features), self.angle_pooling, self.window_sizes[0]
+        levels, names, pooling, sizes = self.levels, tuple(self.features), self.angle_pooling, tuple(self.window_sizes)
         cells = with_shifted(quantised(channels, levels, self.equalize), images, offsets)
 
-        def kernel(tile: Tile) -> np.ndarray:
+        def windows(tile: Tile, size: int) -> np.ndarray:
             half = size // 2
             q = np.clip(tile.values, 0, levels - 1).astype(np.int64)
             q = q.reshape(*q.shape[:2], len(offsets) + 1, -1)  # row, column, offset, channel
@@ -182,8 +172,8 @@ class GLCMExtractor(Extractor):
                         out.append(every.max(axis=0) - every.min(axis=0))
             return np.concatenate(out, axis=1).reshape(h, w, -1)
 
-        data = tiled(cells, images, "repeat", size // 2, kernel)
-        each = len(names) * {"mean": 1, "concat": len(offsets), "mean+range": 2}[pooling]
+        data = tiled(cells, images, "repeat", max(sizes) // 2, lambda tile: np.concatenate([windows(tile, size) for size in sizes], axis=2))
+        each = len(sizes) * len(names) * {"mean": 1, "concat": len(offsets), "mean+range": 2}[pooling]
         k = self.n_components if self.spectral_reduction else cube.n_bands
         return Feature(data, {"n_components": k, "window_sizes": self.window_sizes, "distances": self.distances, "levels": levels, "angle_pooling": pooling, "n_features": each * k})
 
@@ -224,6 +214,10 @@ class LBPExtractor(Extractor):
     n_components: int = 3
     spectral_mode: str = "pca"
     band_indices: tuple[int, ...] | None = None
+    limits = {
+        "radius": NATURAL | NATURAL.many(), "n_points": NATURAL | NATURAL.many() | NOTHING, "method": among("default", "ror", "uniform", "nri_uniform", "var"),
+        "spectral_mode": among("pca", "bands"), "n_components": NATURAL, "band_indices": INDEX.many() | NOTHING,
+    }
 
     @classmethod
     def inputs(cls) -> dict[str, Input]:
@@ -236,25 +230,16 @@ class LBPExtractor(Extractor):
     def _scales(self) -> list[tuple[int, int]]:
         radii = [self.radius] if isinstance(self.radius, int) else list(self.radius)
         points = [8 * r for r in radii] if self.n_points is None else [self.n_points] if isinstance(self.n_points, int) else list(self.n_points)
-        positive_ints("radius", radii)
-        positive_ints("n_points", points)
         if len(points) != len(radii):
             raise ValueError("radius and n_points must be equally many")
         return list(zip(radii, points, strict=True))
 
     def _check(self, cube: Cube) -> None:
         self._scales()
-        one_of("method", self.method, ("default", "ror", "uniform", "nri_uniform", "var"))
-        one_of("spectral_mode", self.spectral_mode, ("pca", "bands"))
-        positive_int("n_components", self.n_components)
-        if self.spectral_mode == "bands":
-            filled("band_indices", self.band_indices)
-            for b in self.band_indices or ():
-                count_int("band_indices", b)
-                if b >= cube.n_bands:
-                    raise ValueError(f"band {b} is not within 0 to {cube.n_bands - 1}")
-        else:
-            enough_bands(cube, self.n_components)
+        if self.spectral_mode == "bands" and not (self.band_indices and max(self.band_indices) < cube.n_bands):
+            raise ValueError(f"band_indices must name some of the bands 0 to {cube.n_bands - 1}")
+        if self.spectral_mode == "pca" and self.n_components > cube.n_bands:
+            raise ValueError(f"images of {cube.n_bands} bands don't have {self.n_components} components")
 
     def _extract(self, cube: Cube, pca: Feature | None = None) -> Feature:
         if self.spectral_mode == "bands":
@@ -302,6 +287,7 @@ class GaborExtractor(Extractor):
     use_opponent: bool = False
     sigmas_sq: tuple[float, ...] | None = None
     frequencies: tuple[float, ...] | None = None
+    limits = {"n_scales": NATURAL, "n_orientations": NATURAL}
 
     #: Variances of the first two scales.
     FIRST_SIGMAS: ClassVar[tuple[float, ...]] = (1.97, 7.89)
@@ -321,8 +307,6 @@ class GaborExtractor(Extractor):
         return np.exp(-(x * x + y * y) / (2 * sigma_sq)) / (2 * math.pi * sigma_sq) * np.cos(2 * math.pi * frequency * turned)
 
     def _check(self, cube: Cube) -> None:
-        positive_int("n_scales", self.n_scales)
-        positive_int("n_orientations", self.n_orientations)
         for name in ("sigmas_sq", "frequencies"):
             value = getattr(self, name)
             if value is not None and (len(value) != self.n_scales or min(value) <= 0):

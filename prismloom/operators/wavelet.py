@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, tiled
 from prismloom.functions.wavelets import MODES, along, analysis_filters, most_levels, scaling_filter, stationary_reach, transform_matrix
-from prismloom.operators.base import Extractor, Feature, one_of, positive_int
+from prismloom.operators.base import NATURAL, NOTHING, Extractor, Feature, among
 from prismloom.operators.reduction import matrix_of
 from prismloom.sources.cube import Cube
 
@@ -26,14 +26,12 @@ class DWT1DExtractor(Extractor):
     wavelet: str = "db4"
     mode: str = "symmetric"
     levels: int | None = 3
+    limits = {"mode": among(*MODES), "levels": NATURAL | NOTHING}
 
     def _check(self, cube: Cube) -> None:
         most = most_levels(cube.n_bands, len(scaling_filter(self.wavelet)))
-        one_of("mode", self.mode, MODES)
-        if self.levels is not None:
-            positive_int("levels", self.levels)
-            if self.levels > most:
-                raise ValueError(f"levels must be {most} at most for {cube.n_bands} bands")
+        if self.levels and self.levels > most:
+            raise ValueError(f"{cube.n_bands} bands allow {most} levels at most")
 
     def _extract(self, cube: Cube) -> Feature:
         levels = self.levels or most_levels(cube.n_bands, len(scaling_filter(self.wavelet)))
@@ -63,10 +61,10 @@ class DWT2DExtractor(Extractor):
     name: ClassVar[str] = "dwt2d"
     wavelet: str = "haar"
     levels: int = 1
+    limits = {"levels": NATURAL}
 
     def _check(self, cube: Cube) -> None:
         scaling_filter(self.wavelet)
-        positive_int("levels", self.levels)
 
     def _extract(self, cube: Cube) -> Feature:
         wavelet, levels = self.wavelet, self.levels
@@ -94,10 +92,10 @@ class DWT3DExtractor(Extractor):
     name: ClassVar[str] = "dwt3d"
     wavelet: str = "haar"
     levels: int = 1
+    limits = {"levels": NATURAL}
 
     def _check(self, cube: Cube) -> None:
         scaling_filter(self.wavelet)
-        positive_int("levels", self.levels)
 
     def _extract(self, cube: Cube) -> Feature:
         wavelet, levels, bands = self.wavelet, self.levels, cube.n_bands
