@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.llm.storage import row_key, table, written
+from prismloom.llm.storage import discard, row_key, table, written
 from prismloom.llm.words import mix, slices
 
 #: Independent choices of boundaries, lines of a chunk at least, words of a removed chunk at least.
@@ -260,6 +260,7 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     wanted = lines.groupBy("key").agg(F.min("row").alias("row")).join(copies, "key", "left_anti")
     found = lines.select("row", "key", "hashes", "words").join(places, "row").join(wanted.select("row"), "row", "left_semi")
     chunks = written(found.select("key", "hashes", "words", "repeated").mapInArrow(lambda batches: _chunk_rows(batches, layers, least_words), "key binary, hash bigint, n bigint, spans binary"), "chunks")
+    discard(lines)  # what follows reads copies, chunks and the texts
     again = chunks.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     asked = chunks.join(again, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "spans")).alias("asked"))
 
@@ -291,6 +292,7 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     # Both visits to the texts use all columns, so Spark makes one exchange for both. Rows of a key give the same; one counts.
     visited = keyed.join(asked, "key", "left").select(*own.values(), "key", "asked").mapInArrow(read, f"key binary, id {kind}, hash bigint, digest binary, start int, n bigint, spans binary")
     visited = written(visited, "visited")
+    discard(chunks)
     # Rows alike in id and text have one key, so what only they share isn't repeated.
     first = visited.groupBy("hash", "digest").agg(F.max("n").alias("n"), F.min(place("start")).alias("first"), (F.min("key") != F.max("key")).alias("several"))
     first = first.where("n > 1 OR several").select("hash", "digest", F.col("first.key").alias("first_key"))

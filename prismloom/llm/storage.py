@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it names none, as in tests on one machine, a temporary folder takes its place.
+    Only on one machine (a local master), as in tests, a temporary folder takes its place where none is named.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='prismloom-')}")
         named = context.getCheckpointDir()
     return named
@@ -57,6 +59,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(id: Column, text: Column) -> Column:
     """128 bits for id and text; rows alike in both have the same key. Nulls are told from empty values."""
     part = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-"))
