@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests on one machine, a temporary folder."""
+    """``spark.checkpoint.dir``; only with a local master, as in tests, a temporary folder where it is unset."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='prismloom-')}")
         named = context.getCheckpointDir()
     return named
