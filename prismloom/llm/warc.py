@@ -4,7 +4,8 @@ Reading plans one partition a file, or several by byte ranges where files are no
 the record type and on headers are pushed down: a record's headers are parsed first, and the payload of
 a record that they rule out is skipped without reading it; in compressed files too, where every record is a gzip
 member whose header tells its length (others are decompressed to the next record). Writing deduplicates nothing by
-itself; ``with_revisits`` marks the records that repeat a payload.
+itself; ``with_revisits`` marks the records that repeat a payload. Spark keeps one set of pushed predicates a load, so
+readers with different predicates need loads of their own.
 
 Paths are those of any file system that pyarrow knows, local or in a store.
 """
@@ -392,9 +393,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = new_path(spark, "warc")
     with_revisits(table(spark, sf_dir, "pages")).write.format("warc").option("compression", "gzip").option("filebytes", str(SPLIT_BYTES)).mode("append").save(path)
-    # Predicates on the type reach the reader: payloads of responses are passed over where revisits are wanted.
-    records = spark.read.format("warc").load(path)
-    of_type = lambda kind, digest: records.where(F.col("record_type") == kind).select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    # Predicates on the type reach the reader: payloads of responses are passed over where revisits are wanted. Each has
+    # a load of its own, as Spark keeps one set of pushed predicates a load.
+    of_type = lambda kind, digest: spark.read.format("warc").load(path).where(F.col("record_type") == kind).select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
     return of_type("response", F.sha1("payload")).unionByName(of_type("revisit", F.col("payload_digest")))
 
 

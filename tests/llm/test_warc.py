@@ -34,10 +34,10 @@ def test_members_are_plain_gzip_and_can_be_skipped(spark, archive, tmp_path):
                 data[at + size - 60 : at + size - 8] = bytes(52)
             at += size
         f.write_bytes(bytes(data))
-    read = spark.read.format("warc").load(path)
-    assert [(r["id"], r["refers_to"]) for r in read.where("record_type = 'revisit'").collect()] == [("3", "7")]
+    read = lambda: spark.read.format("warc").load(path)
+    assert [(r["id"], r["refers_to"]) for r in read().where("record_type = 'revisit'").collect()] == [("3", "7")]
     with pytest.raises(Exception, match="(?s)."):
-        read.where("record_type = 'response'").collect()
+        read().where("record_type = 'response'").collect()
 
 
 def test_members_of_others(spark, tmp_path):
@@ -62,3 +62,14 @@ def test_edges(spark, archive, monkeypatch, broadcast):
     assert spark.read.format("warc").load(archive([(1, "a", "b", "c")])).count() == 1
     empty = warc.with_revisits(spark.createDataFrame([], "page_id bigint, url string, html string"))
     assert empty.count() == 0
+
+
+def test_the_query_gives_every_page(spark, tmp_path):
+    pages = [(i, f"u{i}", ("same " * 300) if i % 3 == 0 else f"{i} " * 400 if i % 3 == 1 else "short", "x") for i in range(30)] + [(40, "e", None, "x")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string, key string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in warc.op8_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == 31
+    for i, _, html, _ in pages:
+        data, revisit = (html or "").encode(), i % 3 == 0 and i < 27
+        want = (len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 27 if revisit else None)
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["record_type"], got[i]["refers_to"]) == want
