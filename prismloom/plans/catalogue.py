@@ -1,7 +1,8 @@
 """The queries of the hyperspectral operators and the SQL that they are held against.
 
 All run over every pixel of the embeddings raster. Queries named ``..._rgb`` take its false-colour image
-where SQL can follow; those without take principal components, with the operators' own parameters.
+where SQL can follow; those without take principal components or all bands, with the operators' own parameters, but that
+``ica`` and ``pp`` look for three components and three projections.
 """
 
 from __future__ import annotations
@@ -111,12 +112,15 @@ def queries() -> dict[str, Query]:
         "glcm_rgb": _of(GLCMExtractor(equalize=False, spectral_reduction=None), rgb=True, digits=5),
         "lbp": _of(LBPExtractor()),
         "lbp_rgb": _of(LBPExtractor(radius=1, n_points=4, method="default", spectral_mode="bands", band_indices=(0, 1, 2)), rgb=True),
+        "gabor": _of(GaborExtractor()),
         "gabor_rgb": _of(GaborExtractor(), rgb=True),
         "gabor_opponent_rgb": _of(GaborExtractor(use_opponent=True), rgb=True),
         "mp": _of(MPExtractor()),
-        "mp_reconstruction": _of(MPExtractor(n_components=1, radii=(2, 4), shapes=("disk",), use_reconstruction=True)),
+        "mp_reconstruction": _of(MPExtractor(use_reconstruction=True)),
         "mp_rgb": _of(MPExtractor(bands=(0, 1, 2), radii=RADII, shapes=("square",)), rgb=True),
         "geometric_moment": _of(GeometricMomentExtractor()),
+        "legendre_moment": _of(LegendreMomentExtractor()),
+        "zernike_moment": _of(ZernikeMomentExtractor()),
         "geometric_moment_rgb": _of(GeometricMomentExtractor(**moments_rgb), rgb=True),
         "legendre_moment_rgb": _of(LegendreMomentExtractor(**moments_rgb), rgb=True),
         "zernike_moment_rgb": _of(ZernikeMomentExtractor(**moments_rgb), rgb=True),
@@ -152,6 +156,7 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "dwt3d": oracle.dwt3d(),
         "glcm_rgb": oracle.glcm(),
         "lbp_rgb": oracle.lbp(),
+        "gabor": _of(GaborExtractor()),
         "gabor_rgb": oracle.gabor(),
         "mp_rgb": oracle.morphology(RADII),
         "geometric_moment_rgb": oracle.geometric(ORDER, SIZES),

@@ -149,6 +149,12 @@ class FeatureSpace:
             found[name] = extractor.extract(cube, **inputs)
         return FeatureCollection(found, self)
 
+    def save_config(self, path: str) -> None:
+        """The space as a configuration (.yaml, .yml or .json) with the default runner."""
+        from prismloom.plans.config import Config  # which itself builds spaces
+
+        Config(self).save(path)
+
 
 @dataclass(frozen=True)
 class FeatureCollection(Mapping):

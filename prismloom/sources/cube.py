@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIXELS = "image_id string, row int, col int, spectrum array<float>, valid boolean"
@@ -92,8 +92,7 @@ class Cube:
 
     def stretched(self, low: float = 0.02, high: float = 0.98) -> Cube:
         """Reflectance clipped to two percentiles of each image and scaled to 0 to 1, as for display."""
-        values = self.pixels.select("image_id", F.explode(F.col("spectrum").cast("array<double>")).alias("v"))
-        ends = values.groupBy("image_id").agg(F.percentile("v", [low, high]).alias("p"))
+        ends = percentiles(self.pixels.select("image_id", F.explode(F.col("spectrum").cast("array<double>")).alias("v")), (low, high))
         scaled = lambda x: (F.least(F.greatest(x.cast("double"), F.col("p")[0]), F.col("p")[1]) - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0] + 1e-9)
         pixels = self.pixels.join(ends, "image_id").withColumn("spectrum", F.transform("spectrum", lambda x: scaled(x).cast("float")))
         return replace(self, pixels=pixels.drop("p"))
@@ -126,6 +125,38 @@ class Cube:
         return replace(self, pixels=pixels.withColumns(moved).drop("height", "width"))
 
 
+#: Bins of a first look at the values of an image.
+BINS = 4096
+
+
+def percentiles(values: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(image_id, p): exact percentiles of the values v of each image, interpolated; nulls don't count, NaN is greatest.
+
+    Counts by bins find the few bins in which the sought ranks lie, and only their values are put in order, so no
+    task holds the values of a whole image.
+    """
+    values = values.where("v IS NOT NULL")
+    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
+    spread = values.groupBy("image_id").agg(F.count("*").alias("n"), F.min(finite).alias("least"), F.max(finite).alias("most"))
+    inner = F.least(F.floor((F.col("v") / BINS - F.col("least") / BINS) * F.try_divide(F.lit(float(BINS)), F.col("most") / BINS - F.col("least") / BINS)), F.lit(BINS - 1))
+    place = F.when(F.isnan("v"), BINS + 1).when(F.col("v") == float("inf"), BINS).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
+    binned = values.join(spread, "image_id").select("image_id", "n", "v", place.cast("int").alias("bin"))
+    rank = lambda p, up: (F.ceil if up else F.floor)(F.lit(float(p)) * (F.col("n") - 1))
+    sought = F.array_distinct(F.array(*(rank(p, up) for p in shares for up in (False, True))))
+    upto = lambda *keys, by: F.sum("count").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    inside = lambda before: F.filter("ranks", lambda r: (r >= before) & (r < before + F.col("count")))
+    counts = binned.groupBy("image_id", "bin").agg(F.count("*").alias("count"), F.any_value("n").alias("n"))
+    counts = counts.select("image_id", "bin", "count", sought.alias("ranks"), F.coalesce(upto("image_id", by="bin"), F.lit(0)).alias("before"))
+    wanted = counts.withColumn("ranks", inside(F.col("before"))).where(F.size("ranks") > 0).drop("count")
+    near = binned.join(wanted, ["image_id", "bin"]).groupBy("image_id", "bin", "v").agg(F.count("*").alias("count"), F.any_value("n").alias("n"), F.any_value("ranks").alias("ranks"), F.any_value("before").alias("before"))
+    near = near.withColumn("before", F.col("before") + F.coalesce(upto("image_id", "bin", by="v"), F.lit(0)))
+    at = near.select("image_id", "n", "v", F.explode(inside(F.col("before"))).alias("rank")).groupBy("image_id").agg(F.any_value("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    part = lambda p: F.lit(float(p)) * (F.col("n") - 1) - rank(p, False)
+    low, high = (lambda p: F.col("at")[rank(p, False)]), (lambda p: F.col("at")[rank(p, True)])
+    ends = F.array(*(F.when(part(p) == 0, low(p)).otherwise(low(p) * (1 - part(p)) + high(p) * part(p)) for p in shares))
+    return at.select("image_id", ends.alias("p"))
+
+
 def _sliced(at: Column, size: Column, part: slice) -> tuple[Column, Column]:
     """Whether a place lies in a slice of so many places, and its number there."""
     step = 1 if part.step is None else int(part.step)

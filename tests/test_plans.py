@@ -139,6 +139,8 @@ def test_config(tmp_path):
     for name in ("c.yaml", "c.json"):
         config.save(str(tmp_path / name))
         assert load(str(tmp_path / name)) == config
+        config.space.save_config(str(tmp_path / f"space-{name}"))
+        assert load(str(tmp_path / f"space-{name}")) == Config(config.space)
     for bad in ({}, {"pipeline": {}}, {"pipeline": {"a": {}}}, {"pipeline": {"a": {"extractor": "No"}}}, {"pipeline": {"a": {"extractor": "NDVIExtractor", "params": {"x": 1}}}}, {"pipeline": {"a": {"extractor": "NDVIExtractor", "params": 3}}}, spec | {"runner": {"type": "no"}}):
         with pytest.raises(ValueError):
             from_dict(bad)
