@@ -156,7 +156,7 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "dwt3d": oracle.dwt3d(),
         "glcm_rgb": oracle.glcm(),
         "lbp_rgb": oracle.lbp(),
-        "gabor": _of(GaborExtractor()),
+        "gabor": oracle.gabor(range(BANDS)),
         "gabor_rgb": oracle.gabor(),
         "mp_rgb": oracle.morphology(RADII),
         "geometric_moment_rgb": oracle.geometric(ORDER, SIZES),

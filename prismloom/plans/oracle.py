@@ -5,6 +5,8 @@ Kernels and transform matrices are written out as values; borders, neighbourhood
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 from prismloom.functions.wavelets import transform_matrix
@@ -18,7 +20,15 @@ RGB = (26, 16, 5)
 PIXELS = f"""px AS (SELECT CAST(vec_id // {WIDTH} AS INTEGER) AS row, CAST(vec_id % {WIDTH} AS INTEGER) AS col,
   list_transform(embedding, lambda x: CAST(0.5 AS FLOAT) + CAST(0.5 AS FLOAT) * x) AS s FROM embeddings),
 dims AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM px)"""
-CELLS = PIXELS + ",\nch AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {b})" for i, b in enumerate(RGB)) + ") t(c, band)),\ncells AS (SELECT row, col, c, CAST(s[band + 1] AS DOUBLE) AS v FROM px, ch)"
+
+
+def cells_of(bands: Sequence[int]) -> str:
+    """The values v of chosen bands, c counting them."""
+    chosen = ", ".join(f"({i}, {b})" for i, b in enumerate(bands))
+    return f"{PIXELS},\nch AS (SELECT * FROM (VALUES {chosen}) t(c, band)),\ncells AS (SELECT row, col, c, CAST(s[band + 1] AS DOUBLE) AS v FROM px, ch)"
+
+
+CELLS = cells_of(RGB)
 
 
 def mod(x: str, n: str) -> str:
@@ -46,8 +56,8 @@ def index(value: str) -> str:
     return f"WITH {PIXELS}\nSELECT row, col, {rounded(value)} AS value FROM px"
 
 
-def stencil(kernels: list[np.ndarray], rule: str, magnitudes: bool = False) -> str:
-    """Sums of neighbourhoods of the false-colour image times kernels, in the order of the list.
+def stencil(kernels: list[np.ndarray], rule: str, magnitudes: bool = False, bands: Sequence[int] = RGB) -> str:
+    """Sums of neighbourhoods of the bands (the false-colour image) times kernels, in the order of the list.
 
     With ``magnitudes`` two kernels at a time are the parts of a complex number.
     """
@@ -58,7 +68,7 @@ def stencil(kernels: list[np.ndarray], rule: str, magnitudes: bool = False) -> s
             rows += [f"({k}, {r - half}, {c - half}, {float(x)!r}::DOUBLE)" for (r, c), x in np.ndenumerate(kernel) if x]
             k += 1
     each = k // 2 if magnitudes else k
-    sums = f"""WITH {CELLS},
+    sums = f"""WITH {cells_of(bands)},
 k AS (SELECT * FROM (VALUES {", ".join(rows)}) t(k, dr, dc, x)),
 d AS (SELECT DISTINCT dr, dc FROM k),
 near AS (SELECT p.row, p.col, dr, dc, {shown("p.row + dr", "h", rule)} AS r2, {shown("p.col + dc", "w", rule)} AS c2 FROM px p, d, dims),
@@ -69,8 +79,8 @@ sums AS (SELECT n.row, n.col, z.c, k.k, sum(k.x * z.v) AS v FROM near n JOIN cel
     return sums + f"SELECT row, col, CAST(c * {each} + k AS INTEGER) AS k, {rounded('v')} AS value FROM sums"
 
 
-def gabor() -> str:
-    return stencil([GaborExtractor.kernel(*f)[None] for f in GaborExtractor().filters()], "repeat")
+def gabor(bands: Sequence[int] = RGB) -> str:
+    return stencil([GaborExtractor.kernel(*f)[None] for f in GaborExtractor().filters()], "repeat", bands=bands)
 
 
 def geometric(order: int, sizes: tuple[int, ...]) -> str:

@@ -170,3 +170,10 @@ def test_stream(spark, cube, tmp_path):
     query = features.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_sql_is_text_and_belongs_to_queries():
+    from prismloom.plans import catalogue
+
+    sql = catalogue.oracle_sql()
+    assert all(isinstance(x, str) for x in sql.values()) and set(sql) <= set(catalogue.queries())
