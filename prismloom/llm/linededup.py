@@ -34,6 +34,8 @@ RUN_WORDS = 50
 _END = re.compile(r"[.!?\u061F\u06D4\u0964\u3002\uFF01\uFF1F\uFF61\n](?:\s+|(?<=[\u3002\uFF01\uFF1F\uFF61\n]))")
 #: White space other than single spaces and line feeds.
 _UNEVEN = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
+#: Scripts that put no spaces between words; two of their characters count as a word.
+_UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -52,6 +54,17 @@ def lines_of(text: str, ends: list[int]) -> list[str]:
     return [x.strip(" \n") for x in cut]
 
 
+def word_counts(text: str, lines: list[str]) -> list[int]:
+    """The words of each line: what spaces separate, and in scripts without spaces two characters a word."""
+    spaced = [x.count(" ") + 1 if x else 0 for x in lines]
+    try:
+        text.encode("latin-1")  # a quick way to see that none of those scripts occurs
+    except UnicodeEncodeError:
+        if _UNSPACED.search(text):
+            return [n + len(_UNSPACED.findall(x)) // 2 for n, x in zip(spaced, lines, strict=True)]
+    return spaced
+
+
 def _series(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
 
@@ -93,7 +106,7 @@ def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for text in texts:
         lines = lines_of(text, line_ends(text))
         hashes += map(xxhash.xxh64_intdigest, lines)
-        words += [x.count(" ") + 1 if x else 0 for x in lines]
+        words += word_counts(text, lines)
         first.append(len(hashes))
     return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(first, dtype=np.int64)
 
@@ -186,7 +199,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int
         order = np.lexsort((lo, hashes, doc))
         lo, hi, hashes, doc = lo[order], hi[order], hashes[order], doc[order]
         starts = np.flatnonzero(np.diff(doc, prepend=-1).astype(bool) | (np.diff(hashes, prepend=0) != 0))
-        ends = np.append(starts[1:], len(lo))
+        ends = np.append(starts[1:], len(lo))[: len(starts)]
         lo, hi = lo - first[doc], hi - first[doc]
         spans = [_packed(lo[a:b], hi[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts])), pa.array(hashes[starts]), pa.array(ends - starts), pa.array(spans, pa.binary())], ["key", "hash", "n", "spans"])
@@ -229,8 +242,9 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     Of equal chunks the first stays, by id, then place; a null id comes last. One that overlaps the first goes
     only as far as it doesn't. Of documents with the same text, those after the first lose all of it if it has two
     lines and ``least_words`` words or more, or over RUN_WORDS words. Rows with the same id and
-    text are one document and stay alike. No repeated run of whole lines with over RUN_WORDS words, which
-    white space separates, is missed; shorter ones of two lines or more and ``least_words`` words may be. Null
+    text are one document and stay alike. No repeated run of whole lines with over RUN_WORDS words (what
+    white space separates; in scripts without spaces every two characters count as one more) is missed; shorter ones of two lines or
+    more and ``least_words`` words may be. Texts count whole, of whatever length. Null
     texts stay null, and empty texts, shorter single lines and chunks of fewer words stay as they are. Other columns are
     kept, whatever their names but ``n_lines`` and ``n_removed``, which must be new. An empty table gives no rows.
     """

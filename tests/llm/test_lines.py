@@ -16,7 +16,7 @@ def expected(docs):
     for i, t in order:
         ends = linededup.line_ends(t)
         lines = [" ".join(t[a:b].split()) for a, b in zip([0, *ends], ends, strict=False)]
-        n = sum(len(x.split()) for x in lines)
+        n = sum(linededup.word_counts(t, lines))
         if first_of[t] != (i, t):
             out[i, t] = set(range(len(lines))) if n > 50 or (len(lines) >= 2 and n >= 12) else set()
             continue
@@ -61,6 +61,34 @@ def test_against_plain_rules(spark, seed):
     assert got == sorted((i, t, n, k) for i, t, n, k in [*want, (1000, "", 0, 0), (1001, "", 0, 0)])
 
 
+ZH = [f"{chr(0x4E00 + 7 * i)}{chr(0x5000 + 11 * i)}{chr(0x6000 + 5 * i)}{chr(0x7000 + 3 * i)}{chr(0x5400 + i)}\u3002" for i in range(60)]
+TH = ["".join(chr(0x0E01 + (i * 7 + k * 5) % 40) for k in range(40)) + "\n" for i in range(20)]
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["Aa bb. Cc dd. Own one.", "Aa bb. Cc dd. Other two."],
+        [f"Home.\nNews.\nPage {i} of its own.\n" for i in range(5)],
+        ["".join(ZH[:8]) + f"{ZH[40 + i]}{ZH[50 + i]}" for i in range(4)],
+        ["".join(ZH[:30]) + f"{ZH[40 + i]}{ZH[50 + i]}" for i in range(4)],
+        ["".join(TH) + f"Own {i}." for i in range(3)],
+        ["A. B. C.", "", "A. B.", "."],
+    ],
+)
+def test_short_lines_and_scripts_without_spaces(spark, texts):
+    """Batches without any chunk, one document a task, and passages without a space."""
+    docs = list(enumerate(texts))
+    gone = expected([d for d in docs if d[1]])
+    for parts in (1, 7):
+        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)).collect()}
+        for i, t in docs:
+            text, _, removed = left_of(t, gone[i, t]) if t else (t, 0, 0)
+            assert got[i] == (text, removed)
+    if len(texts[0]) > 150:  # the passage goes from all but the first
+        assert all(len(got[i][0]) < 40 for i in range(1, len(texts)))
+
+
 def test_runs_of_one_line(spark):
     """Of 500 equal lines only the first of them stay, whatever their wording."""
     rng = np.random.default_rng(8)
