@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismloom.llm import bpe, codebooks, decontamination, embednear, htmlmain, langid, linededup, ngramjoin, pii, sharding, warc, whitening
+from prismloom.llm import bpe, codebooks, decontamination, embednear, htmlmain, langid, linededup, maxent, ngramjoin, pii, sharding, warc, whitening
 
-_MODULES = (decontamination, bpe, htmlmain, linededup, sharding, warc, pii, ngramjoin, langid, embednear, codebooks, whitening)
+_MODULES = (decontamination, bpe, htmlmain, linededup, sharding, warc, pii, ngramjoin, langid, embednear, codebooks, whitening, maxent)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
