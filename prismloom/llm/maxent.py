@@ -7,8 +7,8 @@ has a bias, and weights for hashes of the token before, of the one before that (
 their own; others fall into classes by their last characters, so tokens that were never seen have a class too. Within a class
 probabilities are those of counts, with one unseen token.
 
-Weights are trained in rounds: tasks work out gradients over their blocks for the documents of a round, and the greatest curvature
-there can be, Spark adds them up by feature, and the driver, which holds nothing but the weights, takes a step. Each training document
+Weights are trained in rounds: tasks work out gradients over their blocks for the documents of a round, as observed and
+expected numbers, Spark adds them up by feature, and the driver, which holds nothing but the weights, takes a step. Each training document
 belongs to one round. Scoring works in numpy batches of tokens.
 """
 
@@ -32,7 +32,7 @@ from prismloom.llm.words import mix, slices
 BLOCK_BYTES = 6_000_000
 #: Classes of single tokens, classes by last characters; buckets of features; rounds.
 SINGLE, BY_ENDING, BUCKETS, ROUNDS = 16, 16, 4096, 4
-#: Added to counts; added to the curvature of a weight; longest step of a weight; features of a token besides the bias.
+#: Added to counts; added to the bound of the curvature of a weight; longest step of a weight; features of a token besides the bias.
 ADDED, DAMPING, LONGEST, FEATURES = 0.1, 10.0, 2.0, 3
 #: The token after a text; no word can be it.
 END = "\n"
@@ -44,6 +44,15 @@ def is_held_out(id: Column) -> Column:
     return F.crc32(id.cast("string").cast("binary")) % 10 == 0
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers below 2 ** 31, all low bytes first, then the next; the high ones, mostly 0, take next to nothing once compressed."""
+    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
 def tokenized(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """(id, held_out, round, text) to a row a block: ids, held_out, rounds, sizes in tokens, codes, tokens, and each one's count in training."""
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
@@ -57,7 +66,7 @@ def tokenized(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
         words = pa.array(list(numbers), pa.binary()).cast(pa.string())
         lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array([i.as_py() for i in ids], ids[0].type))
-        return pa.RecordBatch.from_arrays([own, one(held, pa.bool_()), one(rounds, pa.int32()), one(sizes, pa.int32()), pa.array([flat.astype(np.int32).tobytes()], pa.binary()), lists, one(train, pa.int64())], ["ids", "held", "rounds", "sizes", "codes", "tokens", "train"])
+        return pa.RecordBatch.from_arrays([own, one(held, pa.bool_()), one(rounds, pa.int32()), one(sizes, pa.int32()), pa.array([packed(flat)], pa.binary()), lists, one(train, pa.int64())], ["ids", "held", "rounds", "sizes", "codes", "tokens", "train"])
 
     for batch in batches:
         for piece in slices(batch, "text"):
@@ -107,14 +116,30 @@ def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (mixed % k(BUCKETS)).astype(np.int64)
 
 
-def log_probabilities(buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """(token, class): natural logarithms of the classes' probabilities."""
+def scores_of(buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(token, class): scores of the classes, of which the greatest is 0."""
     scores = weights[buckets[:, 0]]
     for f in range(1, buckets.shape[1]):
         scores += weights[buckets[:, f]]
     scores += bias
     scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    return scores
+
+
+def probabilities(buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(token, class): the softmax."""
+    p = scores_of(buckets, weights, bias)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    return p
+
+
+def log_probability(buckets: np.ndarray, own: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's own class."""
+    scores = scores_of(buckets, weights, bias)
+    at = scores[np.arange(len(own)), own].astype(np.float64)
+    np.exp(scores, out=scores)
+    return at - np.log(scores.sum(axis=1, dtype=np.float64))
 
 
 class Model:
@@ -139,26 +164,28 @@ class Model:
         """log10 of a token's probability within its class."""
         return np.log10((counts + ADDED) / (self.class_n[classes] + ADDED * (self.class_distinct[classes] + 1)))
 
-    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> None:
-        """Weights climb by gradient over curvature, which the features of a token share."""
-        self.weights += np.clip(gradient / (FEATURES * (curvature + DAMPING)), -LONGEST, LONGEST).astype(np.float32)
+    def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
+        """Weights climb by the gradient over a bound of the curvature, which the features of a token share.
+
+        The gradient is what is observed minus what is expected; p * (1 - p), the curvature of a token, is at most p.
+        """
+        self.weights += np.clip((observed - expected) / (FEATURES * (expected + DAMPING)), -LONGEST, LONGEST).astype(np.float32)
 
 
-def _block(ids: pa.Scalar, sizes: pa.Scalar, codes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.asarray(sizes.values).astype(np.int64)
-    return sizes, np.frombuffer(codes.as_py(), np.int32).astype(np.int64)
+def _block(sizes: pa.Scalar, codes: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(sizes.values).astype(np.int64), unpacked(codes.as_py())
 
 
 def _gradients(blocks: DataFrame, shared, round: int) -> DataFrame:
-    """(bucket, part): sums of gradients, then of curvatures, over the tokens of a round's training documents."""
+    """(bucket, part): observed and expected numbers of tokens of each class with a feature, in a round's training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        gradient, curvature, k = np.zeros((BUCKETS, model.size)), np.zeros((BUCKETS, model.size)), model.size
-        bias, any_row = model.bias, False
+        k, bias, any_row = model.size, model.bias, False
+        observed, expected = np.zeros(BUCKETS * k), np.zeros((BUCKETS, k))
         for batch in batches:
-            for ids, held, rounds, sizes, codes, tokens in zip(*batch.columns, strict=True):
-                sizes, codes = _block(ids, sizes, codes)
+            for held, rounds, sizes, codes, tokens in zip(*batch.columns, strict=True):
+                sizes, codes = _block(sizes, codes)
                 chosen = ~np.asarray(held.values) & (np.asarray(rounds.values) == round)
                 codes, sizes = codes[np.repeat(chosen, sizes)], sizes[chosen]
                 if not len(sizes):
@@ -167,25 +194,24 @@ def _gradients(blocks: DataFrame, shared, round: int) -> DataFrame:
                 used, at = np.unique(codes, return_inverse=True)
                 words = tokens.values.take(pa.array(used)).to_pylist()
                 own, buckets = classes(words, model.single)[at], features(token_hashes(words)[at], np.cumsum(sizes) - sizes)
+                for f in range(FEATURES):
+                    observed += np.bincount(buckets[:, f] * k + own, minlength=BUCKETS * k)
+                small = buckets.astype(np.uint16)  # sorted by radix
                 for lo in range(0, len(own), _WIDE):
-                    b, c = buckets[lo : lo + _WIDE], own[lo : lo + _WIDE]
-                    p = np.exp(log_probabilities(b, model.weights, bias))
-                    left = -p
-                    left[np.arange(len(c)), c] += 1
-                    p *= 1 - p
+                    p = probabilities(buckets[lo : lo + _WIDE], model.weights, bias)
                     for f in range(FEATURES):
-                        order = np.argsort(b[:, f], kind="stable")
-                        starts = np.flatnonzero(np.diff(b[order, f], prepend=-1))
-                        where = b[order[starts], f]
-                        gradient[where] += np.add.reduceat(left[order], starts, axis=0)
-                        curvature[where] += np.add.reduceat(p[order], starts, axis=0)
+                        b = small[lo : lo + _WIDE, f]
+                        order = np.argsort(b, kind="stable")
+                        b = b[order]
+                        starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                        expected[b[starts]] += np.add.reduceat(p[order], starts, axis=0)
         if any_row:
-            touched = np.flatnonzero(curvature.any(axis=1))
-            both = np.hstack([gradient, curvature])[touched]
+            touched = np.flatnonzero(expected.any(axis=1))
+            both = np.hstack([observed.reshape(BUCKETS, k), expected])[touched]
             lists = pa.ListArray.from_arrays(np.arange(len(touched) + 1, dtype=np.int32) * (2 * k), pa.array(both.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(touched.astype(np.int32)), lists], ["bucket", "part"])
 
-    return blocks.select("ids", "held", "rounds", "sizes", "codes", "tokens").mapInArrow(run, "bucket int, part array<double>")
+    return blocks.select("held", "rounds", "sizes", "codes", "tokens").mapInArrow(run, "bucket int, part array<double>")
 
 
 def _class_sums(vocabulary: DataFrame, model: Model) -> DataFrame:
@@ -251,7 +277,7 @@ def scored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: i
         bias = model.bias
         for batch in batches:
             for ids, held, sizes, codes, tokens, at, c in zip(*batch.columns, strict=True):
-                sizes, codes = _block(ids, sizes, codes)
+                sizes, codes = _block(sizes, codes)
                 words = tokens.values.to_pylist()
                 counts = np.zeros(len(words))
                 if at.is_valid:
@@ -261,8 +287,7 @@ def scored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rounds: i
                 buckets, per_token = features(token_hashes(words)[codes], first), within[codes]
                 own = own[codes]
                 for lo in range(0, len(codes), _WIDE):
-                    part = log_probabilities(buckets[lo : lo + _WIDE], model.weights, bias)
-                    per_token[lo : lo + _WIDE] += part[np.arange(len(part)), own[lo : lo + _WIDE]] / np.log(10)
+                    per_token[lo : lo + _WIDE] += log_probability(buckets[lo : lo + _WIDE], own[lo : lo + _WIDE], model.weights, bias) / np.log(10)
                 per_doc = lambda values: np.add.reduceat(values, first)  # noqa: B023, E731
                 columns = [ids.values, held.values, pa.array(sizes), pa.array(per_doc((counts > 0)[codes].astype(np.int64))), pa.array(np.full(len(sizes), model.n)), pa.array(per_doc(base[codes])), pa.array(per_doc(per_token))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

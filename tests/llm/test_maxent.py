@@ -65,8 +65,9 @@ def test_probabilities_sum_to_one(spark, docs):
     np.testing.assert_allclose(within, 1, rtol=1e-9)
     hashes = maxent.token_hashes(tokens)
     buckets = maxent.features(hashes, np.array([0]))
-    shares = np.exp(maxent.log_probabilities(buckets, model.weights, model.bias))
+    shares = maxent.probabilities(buckets, model.weights, model.bias)
     np.testing.assert_allclose(shares.sum(axis=1), 1, rtol=1e-5)
+    np.testing.assert_allclose(maxent.log_probability(buckets, own, model.weights, model.bias), np.log(shares[np.arange(len(own)), own]), atol=1e-4)
     assert np.abs(model.weights).max() > 0.1
 
 
