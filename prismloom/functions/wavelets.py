@@ -1,80 +1,58 @@
-"""Wavelet filters from their published construction, and the matrix of a one-dimensional transform."""
+"""The matrix of a one-dimensional wavelet transform, with the rules of what stands beyond its ends, and undecimated filtering."""
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-from math import comb
-
 import numpy as np
 
-MODES = ("symmetric", "reflect", "periodic", "zero", "constant", "antisymmetric")
-#: Daubechies filters of more vanishing moments lose precision in their roots.
-MOST_MOMENTS = 20
-
-
-@lru_cache(maxsize=64)
-def scaling_filter(wavelet: str) -> tuple[float, ...]:
-    """The orthogonal scaling filter of haar or dbN, of minimum phase, with sum sqrt(2).
-
-    By spectral factorisation: of each pair of roots of the half-band polynomial, those inside the circle.
-    """
-    name = "db1" if wavelet == "haar" else wavelet
-    match = re.fullmatch(r"db(\d+)", name)
-    if not match or not 1 <= int(match[1]) <= MOST_MOMENTS:
-        raise ValueError(f"wavelet must be haar or db1 to db{MOST_MOMENTS}, not {wavelet!r}")
-    n = int(match[1])
-    roots = np.roots([comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]) if n > 1 else np.zeros(0)
-    # A root y of the polynomial in (2 - z - 1/z) / 4 is a pair z, 1/z.
-    inside = []
-    for y in roots:
-        pair = np.roots([1, 4 * y - 2, 1])
-        inside.append(pair[np.abs(pair).argmin()])
-    taps = np.real(np.poly(inside)) if inside else np.ones(1)
-    for _ in range(n):
-        taps = np.convolve(taps, [1, 1])
-    taps = taps * (np.sqrt(2) / taps.sum())
-    return tuple(taps.tolist())
-
-
-def analysis_filters(wavelet: str) -> tuple[np.ndarray, np.ndarray]:
-    """Low and high pass filters of the analysis."""
-    h = np.array(scaling_filter(wavelet))
-    high = h * np.where(np.arange(len(h)) % 2, 1.0, -1.0)
-    return h[::-1].copy(), high
+from prismloom.functions.filters import filter_bank
+
+MODES = ("symmetric", "reflect", "periodic", "zero", "constant", "antisymmetric", "smooth", "antireflect", "periodization")
 
 
 def most_levels(n: int, taps: int) -> int:
     return max(0, int(np.floor(np.log2(n / (taps - 1))))) if taps > 1 and n >= taps - 1 else 0
 
 
-def _shown(at: int, n: int, mode: str) -> tuple[int, float]:
-    """The sample that a place beyond the ends shows, and its factor."""
+def _shown(at: int, n: int, mode: str) -> list[tuple[int, float]]:
+    """The samples that a place beyond the ends is made of, and their factors."""
     if 0 <= at < n:
-        return at, 1.0
+        return [(at, 1.0)]
     if mode == "zero":
-        return 0, 0.0
-    if mode == "constant":
-        return (0 if at < 0 else n - 1), 1.0
+        return []
+    if mode == "constant" or n == 1 and mode in ("smooth", "antireflect", "reflect"):
+        return [(0 if at < 0 else n - 1, 1.0)]
     if mode == "periodic":
-        return at % n, 1.0
-    if mode == "reflect":
-        return (0 if n == 1 else (n - 1) - abs((n - 1) - at % (2 * (n - 1)))), 1.0
+        return [(at % n, 1.0)]
+    if mode == "periodization":  # an odd number of samples is made even by its last one
+        return [(min(at % (n + n % 2), n - 1), 1.0)]
+    if mode == "smooth":  # a line through the two samples at the end
+        end, next, far = (0, 1, -at) if at < 0 else (n - 1, n - 2, at - n + 1)
+        return [(end, 1.0 + far), (next, -float(far))]
+    if mode in ("reflect", "antireflect"):
+        turns, m = divmod(at, 2 * (n - 1))
+        back = m >= n
+        own = 2 * (n - 1) - m if back else m
+        if mode == "reflect":
+            return [(own, 1.0)]
+        # Odd about both ends: every period rises by twice the difference of the ends.
+        rise = [(n - 1, 2.0 * turns), (0, -2.0 * turns)]
+        return [*rise, (n - 1, 2.0), (own, -1.0)] if back else [*rise, (own, 1.0)]
     m = at % (2 * n)
     turned = m >= n
-    return (2 * n - 1 - m if turned else m), (-1.0 if turned and mode == "antisymmetric" else 1.0)
+    return [(2 * n - 1 - m if turned else m, -1.0 if turned and mode == "antisymmetric" else 1.0)]
 
 
 def step_matrices(n: int, wavelet: str, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    """One level: approximation and detail of n samples, floor((n + taps - 1) / 2) each."""
-    low, high = analysis_filters(wavelet)
-    size = (n + len(low) - 1) // 2
+    """One level: approximation and detail of n samples, floor((n + taps - 1) / 2) each, or by periodization ceil(n / 2)."""
+    bank = filter_bank(wavelet)
+    taps = len(bank)
+    size, first = (-(-n // 2), taps // 2) if mode == "periodization" else ((n + taps - 1) // 2, 1)
     out = np.zeros((2, size, n))
     for k in range(size):
-        for j in range(len(low)):
-            at, factor = _shown(2 * k + 1 - j, n, mode)
-            out[0, k, at] += factor * low[j]
-            out[1, k, at] += factor * high[j]
+        for j in range(taps):
+            for at, factor in _shown(2 * k + first - j, n, mode):
+                out[0, k, at] += factor * bank.low[j]
+                out[1, k, at] += factor * bank.high[j]
     return out[0], out[1]
 
 
@@ -92,7 +70,7 @@ def transform_matrix(n: int, wavelet: str, mode: str, levels: int) -> np.ndarray
 
 def stationary_reach(wavelet: str, levels: int) -> int:
     """How far from a place the undecimated transform looks."""
-    taps = len(scaling_filter(wavelet))
+    taps = len(filter_bank(wavelet))
     return sum(max(taps // 2, taps - 1 - taps // 2) << level for level in range(levels))
 
 

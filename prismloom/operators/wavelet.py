@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, tiled
-from prismloom.functions.wavelets import MODES, along, analysis_filters, most_levels, scaling_filter, stationary_reach, transform_matrix
+from prismloom.functions.filters import filter_bank
+from prismloom.functions.wavelets import MODES, along, most_levels, stationary_reach, transform_matrix
 from prismloom.operators.base import NATURAL, NOTHING, Extractor, Feature, among
 from prismloom.operators.reduction import matrix_of
 from prismloom.sources.cube import Cube
@@ -29,12 +30,12 @@ class DWT1DExtractor(Extractor):
     limits = {"mode": among(*MODES), "levels": NATURAL | NOTHING}
 
     def _check(self, cube: Cube) -> None:
-        most = most_levels(cube.n_bands, len(scaling_filter(self.wavelet)))
+        most = most_levels(cube.n_bands, len(filter_bank(self.wavelet)))
         if self.levels and self.levels > most:
             raise ValueError(f"{cube.n_bands} bands allow {most} levels at most")
 
     def _extract(self, cube: Cube) -> Feature:
-        levels = self.levels or most_levels(cube.n_bands, len(scaling_filter(self.wavelet)))
+        levels = self.levels or most_levels(cube.n_bands, len(filter_bank(self.wavelet)))
         matrix = transform_matrix(cube.n_bands, self.wavelet, self.mode, levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +65,15 @@ class DWT2DExtractor(Extractor):
     limits = {"levels": NATURAL}
 
     def _check(self, cube: Cube) -> None:
-        scaling_filter(self.wavelet)
+        filter_bank(self.wavelet)
 
     def _extract(self, cube: Cube) -> Feature:
         wavelet, levels = self.wavelet, self.levels
         halo = stationary_reach(wavelet, levels)
 
         def kernel(tile: Tile) -> np.ndarray:
-            low, high = analysis_filters(wavelet)
+            bank = filter_bank(wavelet)
+            low, high = bank.low, bank.high
             plane, out = tile.values, []
             for level in range(levels):
                 rows = [along(plane, f, 1 << level, 0) for f in (low, high)]
@@ -95,14 +97,15 @@ class DWT3DExtractor(Extractor):
     limits = {"levels": NATURAL}
 
     def _check(self, cube: Cube) -> None:
-        scaling_filter(self.wavelet)
+        filter_bank(self.wavelet)
 
     def _extract(self, cube: Cube) -> Feature:
         wavelet, levels, bands = self.wavelet, self.levels, cube.n_bands
         halo, more = stationary_reach(wavelet, levels), -bands % (1 << levels)
 
         def kernel(tile: Tile) -> np.ndarray:
-            filters = dict(zip("ad", analysis_filters(wavelet), strict=True))
+            bank = filter_bank(wavelet)
+            filters = {"a": bank.low, "d": bank.high}
             values, out = np.pad(tile.values, ((0, 0), (0, 0), (0, more)), mode="reflect" if bands > 1 else "edge"), []
             for level in range(levels):
                 by_key = {}

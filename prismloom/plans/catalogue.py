@@ -106,8 +106,13 @@ def queries() -> dict[str, Query]:
         "ica": _of(ICAExtractor(n_components=3), digits=3),
         "pp": _of(PPExtractor(n_projections=3), digits=3),
         "dwt1d": _of(DWT1DExtractor()),
+        "dwt1d_sym5_smooth": _of(DWT1DExtractor("sym5", "smooth", 2)),
+        "dwt1d_coif2_antireflect": _of(DWT1DExtractor("coif2", "antireflect", 2)),
+        "dwt1d_bior44_periodization": _of(DWT1DExtractor("bior4.4", "periodization", 2)),
         "dwt2d": _of(DWT2DExtractor()),
+        "dwt2d_sym5": _of(DWT2DExtractor("sym5", 2)),
         "dwt3d": _of(DWT3DExtractor()),
+        "dwt3d_rbio22": _of(DWT3DExtractor("rbio2.2")),
         "glcm": _of(GLCMExtractor(), digits=5),
         "glcm_rgb": _of(GLCMExtractor(equalize=False, spectral_reduction=None), rgb=True, digits=5),
         "lbp": _of(LBPExtractor()),
@@ -152,8 +157,13 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "band_cov": oracle.covariance(),
         "noise_cov": oracle.noise_covariance(),
         "dwt1d": oracle.dwt1d(),
-        "dwt2d": oracle.dwt2d(),
-        "dwt3d": oracle.dwt3d(),
+        "dwt1d_sym5_smooth": oracle.dwt1d_by_extension("sym5", "smooth", 2),
+        "dwt1d_coif2_antireflect": oracle.dwt1d_by_extension("coif2", "antireflect", 2),
+        "dwt1d_bior44_periodization": oracle.dwt1d_by_extension("bior4.4", "periodization", 2),
+        "dwt2d": oracle.undecimated("haar", 1, False),
+        "dwt2d_sym5": oracle.undecimated("sym5", 2, False),
+        "dwt3d": oracle.undecimated("haar", 1, True),
+        "dwt3d_rbio22": oracle.undecimated("rbio2.2", 1, True),
         "glcm_rgb": oracle.glcm(),
         "lbp_rgb": oracle.lbp(),
         "gabor": oracle.gabor(range(BANDS)),

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from prismloom.functions.filters import filter_bank
 from prismloom.functions.wavelets import transform_matrix
 from prismloom.operators.moment import geometric_kernels, legendre_kernels, zernike_kernels
 from prismloom.operators.texture import EPS, GaborExtractor
@@ -104,29 +105,67 @@ b AS (SELECT row, col, unnest(range(0, {BANDS})) AS band, CAST(unnest(s) AS DOUB
 SELECT row, col, CAST(k AS INTEGER) AS k, {rounded("sum(x * v)")} AS value FROM b JOIN m USING (band) GROUP BY row, col, k"""
 
 
-def _haar(three: bool) -> str:
-    """One level of the undecimated haar transform."""
-    axes = 3 if three else 2
-    padded = [shown(mod(f"{x} + d{i}", f"2 * (({n} + 1) // 2)"), n, "reflect") for i, (x, n) in enumerate([("p.row", "h"), ("p.col", "w")])]
-    low = "power(2, -0.5)"
-    high = " * ".join(f"(CASE WHEN k{i} = 1 AND d{i} = 1 THEN -1 ELSE 1 END)" for i in range(axes))
-    bits = lambda name: ", ".join(f"(SELECT unnest([0, 1]) AS {name}{i}) {name}{i}" for i in range(axes))
-    order = f"(k0 * 4 + k1 * 2 + k2) * {BANDS} + b.band" if three else "b.band * 4 + k0 + 2 * k1"
-    here = f"(b.band + d2) % {BANDS}" if three else "b.band"
-    keys = ", ".join(f"k{i}" for i in range(axes))
-    return f"""WITH {PIXELS}, b AS (SELECT unnest(range(0, {BANDS})) AS band),
-d AS (SELECT * FROM {bits("d")}), k AS (SELECT * FROM {bits("k")}),
-near AS (SELECT p.row, p.col, d.*, q.s FROM px p CROSS JOIN d CROSS JOIN dims JOIN px q ON q.row = {padded[0]} AND q.col = {padded[1]})
-SELECT row, col, CAST({order} AS INTEGER) AS k, {rounded(f"sum({high} * CAST(s[{here} + 1] AS DOUBLE)) * power({low}, {axes})")} AS value
-FROM near, k, b GROUP BY row, col, b.band, {keys}"""
-
-
-def dwt2d() -> str:
-    return _haar(False)
-
-
-def dwt3d() -> str:
-    return _haar(True)
+def _beyond(t: str, n: int, mode: str) -> str:
+    """What stands at place t of n samples s, by mode."""
+    x = lambda at: f"s[CAST({at} AS INTEGER) + 1]"
+    if mode == "smooth":
+        line = f"WHEN {t} < 0 THEN {x('0')} - {t} * ({x('0')} - {x('1')}) WHEN {t} >= {n} THEN {x(n - 1)} + ({t} - {n - 1}) * ({x(n - 1)} - {x(n - 2)})"
+    elif mode == "antireflect":  # as often as it takes
+        line = f"WHEN {t} < -{n - 1} THEN 2 * {x('0')} - (2 * {x(n - 1)} - {x(f'{2 * (n - 1)} + {t}')}) WHEN {t} < 0 THEN 2 * {x('0')} - {x(f'-({t})')} WHEN {t} >= {2 * n - 1} THEN 2 * {x(n - 1)} - (2 * {x('0')} - {x(f'{t} - {2 * (n - 1)}')}) WHEN {t} >= {n} THEN 2 * {x(n - 1)} - {x(f'{2 * (n - 1)} - {t}')}"
+    elif mode == "periodization":
+        line = f"WHEN {t} < 0 OR {t} >= {n} THEN {x(f'least({mod(t, str(n + n % 2))}, {n - 1})')}"
+    else:
+        raise ValueError(mode)
+    return f"CASE {line} ELSE {x(t)} END"
+
+
+def dwt1d_by_extension(wavelet: str, mode: str, levels: int) -> str:
+    """The transform by extending the samples of each level and filtering them."""
+    bank, n = filter_bank(wavelet), BANDS
+    taps = len(bank)
+    listed = lambda f: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in f) + "]"
+    steps, parts = "", []
+    for level in range(levels):
+        size, first = (-(-n // 2), taps // 2) if mode == "periodization" else ((n + taps - 1) // 2, 1)
+        low = first - taps + 1
+        steps += f""",
+e{level} AS (SELECT row, col, list_transform(range({low}, {2 * (size - 1) + first + 1}), lambda t: {_beyond("t", n, mode)}) AS e FROM a{level}),
+f{level} AS (SELECT row, col, k, {", ".join(f"list_sum(list_transform(range(0, {taps}), lambda j: {listed(f)}[CAST(j AS INTEGER) + 1] * e[CAST(2 * k + {first} - j - ({low}) AS INTEGER) + 1])) AS {name}" for name, f in (("lo", bank.low), ("hi", bank.high)))} FROM e{level}, (SELECT unnest(range(0, {size})) AS k)),
+a{level + 1} AS MATERIALIZED (SELECT row, col, list(lo ORDER BY k) AS s, list(hi ORDER BY k) AS d FROM f{level} GROUP BY row, col)"""
+        parts.append(f"(SELECT row, col, {levels - level} AS part, d AS v FROM a{level + 1})")
+        n = size
+    parts.append(f"(SELECT row, col, 0 AS part, s AS v FROM a{levels})")
+    return f"""WITH {PIXELS}, a0 AS MATERIALIZED (SELECT row, col, list_transform(s, lambda x: CAST(x AS DOUBLE)) AS s FROM px){steps},
+every AS (SELECT row, col, flatten(list(v ORDER BY part)) AS v FROM ({" UNION ALL ".join(p[1:-1] for p in parts)}) GROUP BY row, col)
+SELECT row, col, CAST(unnest(range(0, len(v))) AS INTEGER) AS k, {rounded("unnest(v)")} AS value FROM every"""
+
+
+def undecimated(wavelet: str, levels: int, three: bool) -> str:
+    """The undecimated transform, an axis at a time, of planes or of the whole cube."""
+    bank, m = filter_bank(wavelet), 1 << levels
+    taps = ", ".join(f"({k}, {j}, {float(x)!r}::DOUBLE)" for k, f in enumerate((bank.low, bank.high)) for j, x in enumerate(f))
+    bands = BANDS + (-BANDS % m if three else 0)
+    axes = (("r", "hh"), ("c", "ww"), ("b", str(bands)))[: 3 if three else 2]
+    steps, sizes = "", "(SELECT h, w, CAST(ceil(h / {m}) * {m} AS INTEGER) AS hh, CAST(ceil(w / {m}) * {m} AS INTEGER) AS ww FROM dims)".format(m=m)
+    every, source = [], "g"
+    for level in range(levels):
+        spacing = 1 << level
+        for i, (axis, size) in enumerate(axes):
+            # What is filtered sends its value to all places that it counts for.
+            to = mod(f"x.{axis} - {len(bank) // 2 * spacing} + t.j * {spacing}", size)
+            place = ", ".join(f"{to} AS {a}" if a == axis else f"x.{a}" for a in ("r", "c", "b"))
+            keys = ", ".join(["x.key * 2 + t.k AS key"])
+            steps += f",\nl{level}_{i} AS MATERIALIZED (SELECT {place}, {keys}, sum(t.f * x.v) AS v FROM {source} x, t, {sizes} GROUP BY ALL)"
+            source = f"l{level}_{i}"
+        every.append(f"SELECT r, c, b, key, {level} AS level, v FROM {source}")
+        steps += f",\ng{level} AS (SELECT r, c, b, key, v FROM {source} WHERE key = 0)"
+        source = f"g{level}"
+    order = f"(level * 8 + key) * {BANDS} + b" if three else f"b * {4 * levels} + level * 4 + CASE key WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE key END"
+    return f"""WITH {PIXELS}, t AS (SELECT * FROM (VALUES {taps}) t(k, j, f)),
+places AS (SELECT r, c, h, w FROM {sizes}, (SELECT unnest(range(0, hh)) AS r FROM {sizes}), (SELECT unnest(range(0, ww)) AS c FROM {sizes})),
+g AS MATERIALIZED (SELECT r, c, b, 0 AS key, CAST(s[{shown("b", str(BANDS), "reflect")} + 1] AS DOUBLE) AS v FROM (SELECT p.r, p.c, s, unnest(range(0, {bands})) AS b FROM places p JOIN px ON px.row = {shown("p.r", "p.h", "reflect")} AND px.col = {shown("p.c", "p.w", "reflect")})){steps}
+SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST({order} AS INTEGER) AS k, {rounded("v")} AS value
+FROM ({" UNION ALL ".join(every)}), dims WHERE r < h AND c < w AND b < {BANDS}"""
 
 
 def morphology(radii: tuple[int, ...]) -> str:

@@ -6,7 +6,8 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from prismloom.functions.wavelets import analysis_filters, scaling_filter, transform_matrix
+from prismloom.functions.filters import filter_bank, names
+from prismloom.functions.wavelets import MODES, most_levels, step_matrices, transform_matrix
 from prismloom.operators.moment import GeometricMomentExtractor, LegendreMomentExtractor, ZernikeMomentExtractor, geometric_kernels, orders, zernike_kernels, zernike_orders
 from prismloom.operators.morphology import MPExtractor, dilated, eroded, footprint, reconstructed
 from prismloom.operators.reduction import EDGE, ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, divergence
@@ -125,15 +126,132 @@ def test_pp_against_numpy(spark, parts, block):
         left = left - np.outer(left @ best[1], best[1])
 
 
-def test_wavelet_filters():
-    np.testing.assert_allclose(scaling_filter("db2"), [0.48296291, 0.83651630, 0.22414387, -0.12940952], atol=1e-8)
-    for n in (1, 2, 4, 8):
-        h = np.array(scaling_filter(f"db{n}"))
-        low, high = analysis_filters(f"db{n}")
-        assert abs((h * h).sum() - 1) < 1e-6 and abs(high.sum()) < 1e-6 and abs(low @ high) < 1e-6
-    assert transform_matrix(64, "db4", "symmetric", 3).shape == (84, 64)
+# The first taps of published analysis filters.
+ANALYSIS = {
+    "db2": [-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025],
+    "sym4": [-0.07576571478927333, -0.02963552764599851, 0.49761866763201545, 0.8037387518059161],
+    "sym5": [0.027333068345077982, 0.029519490925774643, -0.039134249302383094, 0.1993975339773936],
+    "sym7": [0.002681814568257878, -0.0010473848886829163, -0.01263630340325193, 0.03051551316596357],
+    "sym13": [6.820325263075319e-05, -3.573862364868901e-05, -0.0011360634389281183, -0.0001709428585302221],
+    "sym20": [3.695537474835221e-07, -1.9015675890554106e-07, -7.919361411976999e-06, 3.025666062736966e-06],
+    "coif1": [-0.01565572813546454, -0.0727326195128539, 0.38486484686420286, 0.8525720202122554, 0.3378976624578092, -0.0727326195128539],
+    "coif3": [-3.459977283621256e-05, -7.098330313814114e-05, 0.0004662169601128863, 0.0011175187708906016],
+    "bior1.3": [-0.08838834764831845, 0.08838834764831845, 0.7071067811865476, 0.7071067811865476, 0.08838834764831845, -0.08838834764831845],
+    "bior2.2": [0.0, -0.1767766952966369, 0.3535533905932738, 1.0606601717798214, 0.3535533905932738, -0.1767766952966369],
+    "rbio2.2": [0.0, 0.0, 0.3535533905932738, 0.7071067811865476, 0.3535533905932738, 0.0],
+    "bior4.4": [0.0, 0.03782845550726404, -0.023849465019556843, -0.11062440441843718, 0.37740285561283066, 0.8526986790088938],
+    "bior5.5": [0.0, 0.0, 0.03968708834740544, 0.007948108637240322, -0.05446378846823691, 0.34560528195603346, 0.7366601814282105],
+    "bior6.8": [0.0, 0.0019088317364812906, -0.0019142861290887667, -0.016990639867602342, 0.01193456527972926, 0.04973290349094079],
+    "dmey": [0.0, -1.009999956941423e-12, 8.519459636796214e-09],
+}
+
+
+@pytest.mark.parametrize("wavelet", ANALYSIS)
+def test_published_filters(wavelet):
+    np.testing.assert_allclose(filter_bank(wavelet).low[: len(ANALYSIS[wavelet])], ANALYSIS[wavelet], rtol=1e-7, atol=1e-12)
+
+
+def vanishing(taps, about=0.0):
+    """How many moments from the 0th on are nothing, beside their sums of absolute terms."""
+    at = (np.arange(len(taps)) - about).astype(np.longdouble)
+    n = 0
+    while n < 40:
+        terms = taps * at**n
+        if abs(terms.sum()) > 1e-9 * np.abs(terms).sum():
+            return n
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("wavelet", names())
+def test_every_bank(wavelet):
+    """Perfect reconstruction from even shifts, moments, and a transform that inverts."""
+    bank = filter_bank(wavelet)
+    n, close = len(bank), 3e-3 if wavelet == "dmey" else 1e-12
+    assert n % 2 == 0 and len(bank.back) == len(bank.high) == n
+    shifted = lambda a, b, m: sum(a[i] * b[n - 1 - i - 2 * m] for i in range(n) if 0 <= n - 1 - i - 2 * m < n)
+    for m in range(-(n // 2) + 1, n // 2):
+        assert abs(shifted(bank.low, bank.back, m) - (m == 0)) < close and abs(shifted(bank.high, bank.back_high, m) - (m == 0)) < close
+        assert abs(shifted(bank.low, bank.back_high, m)) < close and abs(shifted(bank.high, bank.back, m)) < close
+    np.testing.assert_allclose([bank.low.sum(), bank.back.sum()], math.sqrt(2), rtol=1e-12)
+    family = wavelet.rstrip("0123456789.")
+    order = [int(x) for x in wavelet[len(family) :].split(".") if x] or [1]
+    if family in ("db", "sym") and order[0] <= 12:
+        assert vanishing(bank.high) >= order[0]
+    if family == "coif" and order[0] <= 4:
+        middle = (np.arange(n) * bank.low).sum() / math.sqrt(2)
+        moments = [(bank.low * (np.arange(n) - middle) ** k).sum() for k in range(1, 2 * order[0])]
+        assert vanishing(bank.high) >= 2 * order[0] and abs(middle - round(middle)) < 1e-9 and np.abs(moments).max() < 1e-6
+    if family == "bior":
+        assert vanishing(bank.high) >= order[0] - (wavelet == "bior5.5") and vanishing(bank.back_high) >= order[1] - (wavelet == "bior5.5")
+    if wavelet != "dmey":  # what a periodic transform loses nothing of, the synthesis gives back
+        low, high = step_matrices(2 * n, wavelet, "periodization")
+        assert np.linalg.matrix_rank(np.vstack([low, high])) == 2 * n
+        if family in ("haar", "db", "sym", "coif"):
+            np.testing.assert_allclose(np.vstack([low, high]) @ np.vstack([low, high]).T, np.eye(2 * n), atol=1e-12)
+
+
+def extended(x, left, right, mode):
+    kinds = {"symmetric": "symmetric", "reflect": "reflect", "periodic": "wrap", "zero": "constant", "constant": "edge"}
+    if mode in kinds:
+        return np.pad(x, (left, right), mode=kinds[mode])
+    if mode in ("antireflect", "antisymmetric"):
+        return np.pad(x, (left, right), mode=mode.removeprefix("anti"), reflect_type="odd") if mode == "antireflect" else np.concatenate([_turned(x, left)[::-1], x, _turned(x[::-1], right)])
+    if mode == "smooth":
+        return np.concatenate([x[0] + (x[0] - x[1]) * np.arange(left, 0, -1), x, x[-1] + (x[-1] - x[-2]) * np.arange(1, right + 1)])
+    even = np.append(x, x[-1]) if len(x) % 2 else x
+    return np.pad(even, (left, right), mode="wrap")
+
+
+def _turned(x, n):
+    """What stands before x, from its start outwards: backwards with the sign turned, then as it is, and so on."""
+    return np.resize(np.concatenate([-x, x[::-1]]), n)
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize("wavelet, n", [("haar", 7), ("sym5", 12), ("sym5", 5), ("bior2.6", 9), ("coif2", 4), ("dmey", 21), ("db3", 2)])
+def test_modes(mode, wavelet, n):
+    """One level against an extended signal filtered in full."""
+    bank, x = filter_bank(wavelet), np.random.RandomState(n).rand(n)
+    taps = len(bank)
+    wide = extended(x, taps, taps + n % 2, mode)
+    start = taps + (taps // 2 if mode == "periodization" else 1)
+    size = -(-n // 2) if mode == "periodization" else (n + taps - 1) // 2
+    for matrix, f in zip(step_matrices(n, wavelet, mode), (bank.low, bank.high), strict=True):
+        want = np.convolve(wide, f)[start : start + 2 * size : 2][:size]
+        np.testing.assert_allclose(matrix @ x, want, atol=1e-12)
+
+
+@pytest.mark.parametrize("wavelet, mode", [("haar", "symmetric"), ("haar", "periodic"), ("db4", "symmetric"), ("db4", "zero"), ("sym5", "constant"), ("bior3.3", "smooth"), ("rbio1.5", "antireflect"), ("coif1", "periodization")])
+def test_dwt1d_of_families_and_modes(spark, wavelet, mode):
+    a = draw(3, 4, 50)
+    levels = most_levels(50, len(filter_bank(wavelet)))
+    got = image(DWT1DExtractor(wavelet, mode, None).extract(cube_of(spark, a)))
+    np.testing.assert_allclose(got, a.astype(float) @ transform_matrix(50, wavelet, mode, levels).T, atol=1e-9)
+
+
+@pytest.mark.parametrize("wavelet", ["db4", "sym5", "bior2.4", "coif1"])
+def test_undecimated_of_families(spark, wavelet):
+    """Filters wrap around the image; an image of two tiles shows no seam."""
+    a = draw(66, 8, 4)
+    bank, x = filter_bank(wavelet), a.astype(float)
+    n = len(bank)
+    along = lambda v, f, axis: sum(t * np.roll(v, j - n // 2, axis) for j, t in enumerate(f))
+    two, three = [], []
+    for f in (bank.low, bank.high):
+        two += [along(along(x, g, 0), f, 1) for g in (bank.low, bank.high)]
+        three += [along(along(along(x, f, 0), g, 1), h, 2) for g in (bank.low, bank.high) for h in (bank.low, bank.high)]
+    np.testing.assert_allclose(image(DWT2DExtractor(wavelet).extract(cube_of(spark, a))), np.stack(two, axis=3).reshape(66, 8, -1), atol=1e-9)
+    np.testing.assert_allclose(image(DWT3DExtractor(wavelet).extract(cube_of(spark, a))), np.concatenate(three, axis=2), atol=1e-9)
+
+
+def test_wavelet_limits(spark):
+    assert transform_matrix(64, "db4", "symmetric", 3).shape == (84, 64) and len(names()) == 1 + 38 + 19 + 17 + 30 + 1
+    for bad in ("no such", "sym1", "db39", "bior2.3", "mexh"):
+        with pytest.raises(ValueError):
+            filter_bank(bad)
     with pytest.raises(ValueError):
-        scaling_filter("no such")
+        DWT1DExtractor("haar", "no such", 1).extract(cube_of(spark, draw(2, 2, 8)))
 
 
 def test_dwt1d_haar(spark):
