@@ -7,7 +7,7 @@ a pixel travels (1 + 2 * halo / TILE) ** 2 times, not once for every neighbour.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +60,61 @@ class Tile:
         return self.values[self.rows, self.cols]
 
 
+def _table(image: str, r0: int, c0: int, out: np.ndarray) -> pa.Table:
+    """(image_id, row, col, features) of a tile's (row, column, feature)."""
+    h, w = out.shape[:2]
+    rr, cc = np.indices((h, w))
+    features = pa.ListArray.from_arrays(np.arange(h * w + 1, dtype=np.int32) * out.shape[2], pa.array(out.reshape(-1).astype(np.float64)))
+    return pa.Table.from_arrays([pa.array([image] * (h * w)), pa.array((rr + r0).ravel().astype(np.int32)), pa.array((cc + c0).ravel().astype(np.int32)), features], ["image_id", "row", "col", "features"])
+
+
+def _shown_places(places: np.ndarray, size: int, rule: str) -> np.ndarray:
+    """``shown`` for numpy, for the rules by which every place shows one."""
+    if rule == "wrap":
+        return places % size
+    if rule == "repeat":
+        m = places % (2 * size)
+        return np.minimum(m, 2 * size - 1 - m)
+    if size == 1:
+        return np.zeros_like(places)
+    return (size - 1) - np.abs((size - 1) - places % (2 * (size - 1)))
+
+
+def tiled_with_offsets(cells: DataFrame, images: DataFrame, rule: str, halo: int, offsets: Sequence[tuple[int, int]], kernel: Callable[[list[np.ndarray]], np.ndarray], tile: int = TILE) -> DataFrame:
+    """(image_id, row, col, features) as ``tiled`` gives, by a kernel that sees neighbours at offsets too.
+
+    The kernel gets a list of (row, column, channel) values of the tile and its halo: of the places themselves, then of what lies at
+    each (row, column) offset from the pixel that a place shows, where the image wraps around. A pixel goes once to every tile that asks for it.
+    """
+    rows = cells.join(images, "image_id")
+    for name, n, moves in (("row", F.col("height"), {0, *(d[0] for d in offsets)}), ("col", F.col("width"), {0, *(d[1] for d in offsets)})):
+        last = F.floor((n - 1) / tile)
+        asked = []
+        for move in sorted(moves):
+            places = _showing(F.pmod(F.col(name) - move, n), n, rule, halo, None).cast("array<int>")
+            # No default arguments in these lambdas: Spark would take them for the index of an element.
+            near = lambda p: F.sequence(F.greatest(F.floor((p - halo) / tile), F.lit(0)), F.least(F.greatest(F.floor((p + halo) / tile), F.lit(0)), last))  # noqa: B023, E731
+            within = lambda p: F.filter(near(p), lambda t: (p >= t * tile - halo) & (p < F.least((t + 1) * tile, n) + halo))  # noqa: B023, E731
+            asked.append(F.flatten(F.transform(F.filter(places, lambda p: p < n + halo), within)))  # noqa: B023
+        rows = rows.withColumn(f"_{name}", F.explode(F.array_distinct(F.concat(*asked))))
+    dealt = rows.select("image_id", F.col("_row").cast("int").alias("tr"), F.col("_col").cast("int").alias("tc"), "row", "col", "height", "width", "values")
+
+    def run(table: pa.Table) -> pa.Table:
+        one = lambda name: table.column(name)[0].as_py()
+        height, width, r0, c0 = one("height"), one("width"), one("tr") * tile, one("tc") * tile
+        at_row, row = np.unique(np.asarray(table.column("row")), return_inverse=True)
+        at_col, col = np.unique(np.asarray(table.column("col")), return_inverse=True)
+        flat = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
+        values = np.zeros((len(at_row), len(at_col), flat.shape[1]))
+        values[row, col] = flat
+        rr = _shown_places(np.arange(r0 - halo, min(r0 + tile, height) + halo), height, rule)
+        cc = _shown_places(np.arange(c0 - halo, min(c0 + tile, width) + halo), width, rule)
+        seen = [values[np.ix_(np.searchsorted(at_row, (rr + dr) % height), np.searchsorted(at_col, (cc + dc) % width))] for dr, dc in ((0, 0), *offsets)]
+        return _table(one("image_id"), r0, c0, kernel(seen))
+
+    return dealt.groupBy("image_id", "tr", "tc").applyInArrow(run, "image_id string, row int, col int, features array<double>")
+
+
 def tiled(cells: DataFrame, images: DataFrame, rule: str, halo: int, kernel: Callable[[Tile], np.ndarray], multiple: int | None = None, tile: int = TILE) -> DataFrame:
     """(image_id, row, col, features): the kernel's (row, column, feature) for every pixel of every tile.
 
@@ -89,10 +144,7 @@ def tiled(cells: DataFrame, images: DataFrame, rule: str, halo: int, kernel: Cal
         inside = (r - r0 + halo < len(known)) & (c - c0 + halo < known.shape[1])
         r, c, flat = r[inside] - r0 + halo, c[inside] - c0 + halo, flat[inside]
         values[r, c], known[r, c] = flat, True
-        out = kernel(Tile(values, known, slice(halo, halo + h), slice(halo, halo + w)))
-        rr, cc = np.indices((h, w))
-        features = pa.ListArray.from_arrays(np.arange(h * w + 1, dtype=np.int32) * out.shape[2], pa.array(out.reshape(-1).astype(np.float64)))
-        return pa.Table.from_arrays([pa.array([one("image_id")] * (h * w)), pa.array((rr + r0).ravel().astype(np.int32)), pa.array((cc + c0).ravel().astype(np.int32)), features], ["image_id", "row", "col", "features"])
+        return _table(one("image_id"), r0, c0, kernel(Tile(values, known, slice(halo, halo + h), slice(halo, halo + w))))
 
     return dealt.groupBy("image_id", "tr", "tc").applyInArrow(run, "image_id string, row int, col int, features array<double>")
 

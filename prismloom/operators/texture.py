@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismloom.functions.borders import Tile, shown, tiled, weighted
+from prismloom.functions.borders import Tile, tiled, tiled_with_offsets, weighted
 from prismloom.operators.base import ANY, INDEX, NATURAL, NOTHING, WINDOW, Extractor, Feature, Input, Limit, among
 from prismloom.operators.reduction import PCAExtractor, pca
 from prismloom.sources.cube import Cube
@@ -21,6 +21,8 @@ HARALICK = ("asm", "contrast", "correlation", "variance", "idm", "sum_avg", "sum
 EPS = 1e-12
 #: Bins of the histogram that equalisation uses.
 BINS = 256
+#: Values of windows that are sorted at a time.
+WINDOW_VALUES = 500_000
 
 
 def raw_bands(cube: Cube, bands: Sequence[int] | None = None) -> DataFrame:
@@ -69,48 +71,71 @@ def quantised(cells: DataFrame, levels: int, equalize: bool) -> DataFrame:
     return ranged.join(curves, "image_id").select("image_id", "row", "col", zipped.cast("array<double>").alias("values"))
 
 
-def with_shifted(cells: DataFrame, images: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Values followed by those at each (row, column) offset, with wrap-around. Pixels send theirs to where they are needed."""
-    moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (dr, dc) in enumerate([(0, 0), *offsets])))
-    sent = cells.join(images, "image_id").select("image_id", "row", "col", "height", "width", "values", F.explode(moves).alias("m"))
-    to = [shown(F.col(at) - F.col(f"m.{d}"), F.col(size), "wrap").cast("int").alias(at) for at, d, size in (("row", "dr", "height"), ("col", "dc", "width"))]
-    met = sent.select("image_id", *to, F.col("m.i").alias("i"), "values").groupBy("image_id", "row", "col")
-    return met.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "values"))), lambda s: s["values"])).alias("values"))
-
-
-def haralick(p: np.ndarray, names: Sequence[str]) -> np.ndarray:
-    """(pixel, statistic) of co-occurrence probabilities (pixel, i, j)."""
-    n = p.shape[1]
-    i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-    flat = p.reshape(len(p), -1)
-    to = lambda code, size: np.eye(size)[code.ravel()]
-    px, py = p.sum(axis=2), p.sum(axis=1)
-    p_sum, p_diff = flat @ to(i + j, 2 * n - 1), flat @ to(np.abs(i - j), n)
-    entropy = lambda q: -(q * np.log(q + EPS)).sum(axis=1)
-    k = np.arange(n)
-    ux, uy = px @ k, py @ k
-    sx = np.sqrt((px * (k - ux[:, None]) ** 2).sum(axis=1)) + EPS
-    sy = np.sqrt((py * (k - uy[:, None]) ** 2).sum(axis=1)) + EPS
-    hx, hy, hxy = entropy(px), entropy(py), entropy(flat)
-    sum_entropy, ks = entropy(p_sum), np.arange(2 * n - 1)
+class Runs:
+    """What occurs in each of many windows of equally many values, sorted, and how often: runs, not a cell for all that might occur."""
+
+    def __init__(self, values: np.ndarray):
+        self.n, self.each = values.shape
+        ordered = np.sort(values, axis=1)
+        new = np.ones(ordered.shape, dtype=bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        starts = np.flatnonzero(new)
+        self.value = ordered.ravel()[starts].astype(np.int64)
+        self.first = np.searchsorted(starts, np.arange(self.n) * self.each)
+        self.window = np.repeat(np.arange(self.n), np.diff(np.append(self.first, len(starts))))
+        count = np.diff(np.append(starts, ordered.size))
+        self.share = count / self.each / (1 + EPS)
+
+    def sum(self, terms: np.ndarray) -> np.ndarray:
+        """Per window, over what occurs in it."""
+        return np.add.reduceat(terms, self.first)
+
+    def mean(self, terms: np.ndarray) -> np.ndarray:
+        return self.sum(terms * self.share)
+
+    def entropy(self) -> np.ndarray:
+        return -self.mean(np.log(self.share + EPS))
+
+
+def haralick(i: np.ndarray, j: np.ndarray, levels: int, names: Sequence[str]) -> np.ndarray:
+    """(window, statistic) of the co-occurrence of grey levels i and j, both (window, place).
+
+    Work and memory follow the places of a window, whatever the number of levels.
+    """
+    pair, x, y, total, apart = (Runs(v.astype(np.uint16)) for v in (i * levels + j, i, j, i + j, np.abs(i - j)))
+    a, b = pair.value // levels, pair.value % levels
+    ux, uy = x.mean(x.value), y.mean(y.value)
+    variance = x.mean((x.value - ux[x.window]) ** 2)
+    sx, sy = np.sqrt(variance) + EPS, np.sqrt(y.mean((y.value - uy[y.window]) ** 2)) + EPS
+    hx, hy, hxy, sum_entropy = x.entropy(), y.entropy(), pair.entropy(), total.entropy()
     found = {
-        "asm": lambda: (flat * flat).sum(axis=1),
-        "contrast": lambda: flat @ ((i - j) ** 2).ravel(),
-        "correlation": lambda: (flat @ (i * j).ravel() - ux * uy) / (sx * sy + EPS),
-        "variance": lambda: (px * (k - ux[:, None]) ** 2).sum(axis=1),
-        "idm": lambda: flat @ (1 / (1 + (i - j) ** 2)).ravel(),
-        "sum_avg": lambda: p_sum @ ks,
-        "sum_var": lambda: (p_sum * (ks - sum_entropy[:, None]) ** 2).sum(axis=1),
+        "asm": lambda: pair.mean(pair.share),
+        "contrast": lambda: pair.mean((a - b) ** 2),
+        "correlation": lambda: (pair.mean(a * b) - ux * uy) / (sx * sy + EPS),
+        "variance": lambda: variance,
+        "idm": lambda: pair.mean(1 / (1 + (a - b) ** 2)),
+        "sum_avg": lambda: total.mean(total.value),
+        "sum_var": lambda: total.mean((total.value - sum_entropy[total.window]) ** 2),
         "sum_entropy": lambda: sum_entropy,
         "entropy": lambda: hxy,
-        "diff_var": lambda: p_diff.var(axis=1),
-        "diff_entropy": lambda: entropy(p_diff),
+        "diff_var": lambda: apart.mean(apart.share) / levels - (apart.sum(apart.share) / levels) ** 2,
+        "diff_entropy": lambda: apart.entropy(),
         "imc1": lambda: (hxy - (hx + hy)) / (np.maximum(hx, hy) + EPS),
         "imc2": lambda: np.sqrt(np.maximum(0, 1 - np.exp(-2 * (hx + hy - hxy)))),
     }
     return np.stack([found[name]() for name in names], axis=1)
 
 
+def windowed_haralick(i: np.ndarray, j: np.ndarray, size: int, levels: int, names: Sequence[str]) -> np.ndarray:
+    """(row, column, statistic) of windows about every pixel that has one; some rows of windows at a time."""
+    view = lambda v: np.lib.stride_tricks.sliding_window_view(v, (size, size))
+    left, right = view(i), view(j)
+    h, w = left.shape[:2]
+    step = max(1, WINDOW_VALUES // (w * size * size))
+    flat = lambda v, lo: v[lo : lo + step].reshape(-1, size * size)
+    return np.concatenate([haralick(flat(left, lo), flat(right, lo), levels, names) for lo in range(0, h, step)]).reshape(h, w, -1)
+
+
 @dataclass(frozen=True)
 class GLCMExtractor(Extractor):
     """Statistics of grey-level co-occurrence in a window about every pixel.
@@ -140,39 +165,26 @@ class GLCMExtractor(Extractor):
         offsets = [(round(math.sin(a) * d), round(math.cos(a) * d)) for d in self.distances for a in self.angles]
         images = cube.images()
         levels, names, pooling, sizes = self.levels, tuple(self.features), self.angle_pooling, tuple(self.window_sizes)
-        cells = with_shifted(quantised(channels, levels, self.equalize), images, offsets)
+        most = max(sizes) // 2
 
-        def windows(tile: Tile, size: int) -> np.ndarray:
-            half = size // 2
-            q = np.clip(tile.values, 0, levels - 1).astype(np.int64)
-            q = q.reshape(*q.shape[:2], len(offsets) + 1, -1)  # row, column, offset, channel
-            h, w = tile.inner.shape[:2]
+        def kernel(seen: list[np.ndarray]) -> np.ndarray:
+            codes = [np.clip(v, 0, levels - 1).astype(np.int32) for v in seen]  # (row, column, channel), itself and at each offset
             out = []
-            for c in range(q.shape[3]):
-                by_offset = []
-                for o in range(1, len(offsets) + 1):
-                    codes = q[:, :, 0, c] * levels + q[:, :, o, c]
-                    p = np.zeros((h, w, levels * levels))
-                    for code in np.unique(codes):
-                        # Box sums by differences of running sums.
-                        run = np.pad(np.cumsum(np.cumsum(codes == code, axis=0), axis=1), ((1, 0), (1, 0)))
-                        r0, c0 = tile.rows.start - half, tile.cols.start - half
-                        a, b = slice(r0, r0 + h), slice(r0 + size, r0 + size + h)
-                        x, y = slice(c0, c0 + w), slice(c0 + size, c0 + size + w)
-                        p[:, :, code] = run[b, y] - run[a, y] - run[b, x] + run[a, x]
-                    p /= size * size
-                    p /= p.sum(axis=2, keepdims=True) + EPS
-                    by_offset.append(np.concatenate([haralick(p[i : i + 8].reshape(-1, levels, levels), names) for i in range(0, h, 8)]))
-                every = np.stack(by_offset)
-                if pooling == "concat":
-                    out.append(np.concatenate(by_offset, axis=1))
-                else:
-                    out.append(every.mean(axis=0))
-                    if pooling == "mean+range":
-                        out.append(every.max(axis=0) - every.min(axis=0))
-            return np.concatenate(out, axis=1).reshape(h, w, -1)
-
-        data = tiled(cells, images, "repeat", max(sizes) // 2, lambda tile: np.concatenate([windows(tile, size) for size in sizes], axis=2))
+            for size in sizes:
+                cut = slice(most - size // 2, size // 2 - most or None)
+                for c in range(codes[0].shape[2]):
+                    own = codes[0][cut, cut, c]
+                    by_offset = [windowed_haralick(own, other[cut, cut, c], size, levels, names) for other in codes[1:]]
+                    if pooling == "concat":
+                        out += by_offset
+                    else:
+                        every = np.stack(by_offset)
+                        out.append(every.mean(axis=0))
+                        if pooling == "mean+range":
+                            out.append(every.max(axis=0) - every.min(axis=0))
+            return np.concatenate(out, axis=2)
+
+        data = tiled_with_offsets(quantised(channels, levels, self.equalize), images, "repeat", most, offsets, kernel)
         each = len(sizes) * len(names) * {"mean": 1, "concat": len(offsets), "mean+range": 2}[pooling]
         k = self.n_components if self.spectral_reduction else cube.n_bands
         return Feature(data, {"n_components": k, "window_sizes": self.window_sizes, "distances": self.distances, "levels": levels, "angle_pooling": pooling, "n_features": each * k})

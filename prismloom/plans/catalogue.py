@@ -115,6 +115,7 @@ def queries() -> dict[str, Query]:
         "dwt3d_rbio22": _of(DWT3DExtractor("rbio2.2")),
         "glcm": _of(GLCMExtractor(), digits=5),
         "glcm_rgb": _of(GLCMExtractor(equalize=False, spectral_reduction=None), rgb=True, digits=5),
+        "glcm_rgb_equalized": _of(GLCMExtractor(spectral_reduction=None), rgb=True, digits=5),
         "lbp": _of(LBPExtractor()),
         "lbp_rgb": _of(LBPExtractor(radius=1, n_points=4, method="default", spectral_mode="bands", band_indices=(0, 1, 2)), rgb=True),
         "gabor": _of(GaborExtractor()),
@@ -165,6 +166,7 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "dwt3d": oracle.undecimated("haar", 1, True),
         "dwt3d_rbio22": oracle.undecimated("rbio2.2", 1, True),
         "glcm_rgb": oracle.glcm(),
+        "glcm_rgb_equalized": oracle.glcm(equalize=True),
         "lbp_rgb": oracle.lbp(),
         "gabor": oracle.gabor(range(BANDS)),
         "gabor_rgb": oracle.gabor(),

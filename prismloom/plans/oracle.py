@@ -190,11 +190,24 @@ def lbp() -> str:
 SELECT row, col, CAST(c AS INTEGER) AS k, CAST({bits} AS DOUBLE) AS value FROM g p"""
 
 
-def glcm(levels: int = 16, size: int = 7) -> str:
-    """All statistics at distance 1, the mean of four angles, levels by range."""
+def _levels(levels: int, equalize: bool) -> str:
+    """q: grey levels by each channel's range, or by its cumulated histogram of 256 bins between their centres."""
+    ends = "ends AS (SELECT c, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 256 AS width, count(*) AS n FROM cells GROUP BY c)"
+    if not equalize:
+        return f"{ends}, q AS (SELECT row, col, c, floor((v - lo) / (hi - lo) * {levels - 1}) AS v FROM cells JOIN ends USING (c))"
+    return f"""{ends}, bins AS (SELECT c, least(floor((v - lo) / width), 255) AS bin, count(*) AS k FROM cells JOIN ends USING (c) GROUP BY ALL),
+every AS (SELECT c, bin, coalesce(k, 0) AS k FROM ends CROSS JOIN (SELECT unnest(range(0, 256)) AS bin) LEFT JOIN bins USING (c, bin)),
+curve AS (SELECT c, bin, sum(k) OVER (PARTITION BY c ORDER BY bin) / n AS share FROM every JOIN ends USING (c)),
+place AS (SELECT row, col, c, (v - lo) / width - 0.5 AS pos, least(greatest(floor((v - lo) / width - 0.5), 0), 255) AS low FROM cells JOIN ends USING (c)),
+q AS (SELECT row, col, p.c, floor((a.share + least(greatest(pos - low, 0), 1) * (b.share - a.share)) * {levels - 1}) AS v
+      FROM place p JOIN curve a ON a.c = p.c AND a.bin = low JOIN curve b ON b.c = p.c AND b.bin = least(low + 1, 255))"""
+
+
+def glcm(levels: int = 16, size: int = 7, equalize: bool = False) -> str:
+    """All statistics at distance 1, the mean of four angles."""
     half, e = size // 2, repr(EPS)
     return f"""WITH {CELLS},
-q AS (SELECT row, col, c, floor((v - min(v) OVER (PARTITION BY c)) / (max(v) OVER (PARTITION BY c) - min(v) OVER (PARTITION BY c)) * {levels - 1}) AS v FROM cells),
+{_levels(levels, equalize)},
 o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) t(o, dr, dc)),
 pair AS (SELECT a.row, a.col, a.c, o.o, CAST(a.v AS INTEGER) AS i, CAST(b.v AS INTEGER) AS j FROM q a CROSS JOIN o CROSS JOIN dims JOIN q b ON a.c = b.c AND b.row = {mod("a.row + o.dr", "h")} AND b.col = {mod("a.col + o.dc", "w")}),
 win AS (SELECT p.row, p.col, {shown("p.row + dr", "h", "repeat")} AS r2, {shown("p.col + dc", "w", "repeat")} AS c2

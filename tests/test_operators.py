@@ -361,7 +361,8 @@ def test_glcm(spark):
     np.testing.assert_allclose(got[2, 3, 1], ((i - j) ** 2 * p).sum(), rtol=1e-6)
     assert got.shape[2] == len(HARALICK) and np.isfinite(got).all()
     even = np.full((1, 4, 4), 1 / 16)
-    np.testing.assert_allclose(haralick(even, ["entropy", "asm", "correlation"])[0], [math.log(16), 1 / 16, 0], atol=1e-6)
+    i, j = (v.reshape(1, -1) for v in np.indices((4, 4)))
+    np.testing.assert_allclose(haralick(i, j, 4, ["entropy", "asm", "correlation"])[0], [math.log(16), 1 / 16, 0], atol=1e-6)
     both = GLCMExtractor(levels=8, window_sizes=(3,), features=("asm", "entropy"), angle_pooling="mean+range", n_components=2).extract(cube_of(spark, draw(8, 9, 5)))
     assert image(both).shape[2] == 8 == both.metadata["n_features"]
     several = GLCMExtractor(levels=8, window_sizes=(3, 5), features=("asm", "entropy"), angle_pooling="mean+range", n_components=2).extract(cube_of(spark, draw(8, 9, 5)))
@@ -399,3 +400,47 @@ def test_gabor_axes(spark):
     assert [len(GaborExtractor.kernel(*f)) for f in GaborExtractor().filters()] == [13] * 4 + [25] * 4
     with pytest.raises(ValueError):
         GaborExtractor(use_opponent=True).extract(cube_of(spark, draw(3, 3, 12)))
+
+
+def dense_haralick(p):
+    """All statistics of one matrix of co-occurrence probabilities, from its cells."""
+    n, eps = len(p), 1e-12
+    i, j = np.indices(p.shape)
+    px, py, k = p.sum(axis=1), p.sum(axis=0), np.arange(n)
+    total = np.bincount((i + j).ravel(), p.ravel(), 2 * n - 1)
+    apart = np.bincount(np.abs(i - j).ravel(), p.ravel(), n)
+    entropy = lambda q: -(q * np.log(q + eps)).sum()
+    ux, uy = px @ k, py @ k
+    vx, vy = px @ (k - ux) ** 2, py @ (k - uy) ** 2
+    hx, hy, hxy, se, ks = entropy(px), entropy(py), entropy(p), entropy(total), np.arange(2 * n - 1)
+    correlation = ((i * j * p).sum() - ux * uy) / ((math.sqrt(vx) + eps) * (math.sqrt(vy) + eps) + eps)
+    return [(p * p).sum(), ((i - j) ** 2 * p).sum(), correlation, vx, (p / (1 + (i - j) ** 2)).sum(), total @ ks, total @ (ks - se) ** 2, se, hxy, apart.var(), entropy(apart), (hxy - hx - hy) / (max(hx, hy) + eps), math.sqrt(max(0, 1 - math.exp(-2 * (hx + hy - hxy))))]
+
+
+@pytest.mark.parametrize("h, w, levels, size, distance, angle", [(5, 6, 4, 3, 1, 0), (4, 3, 16, 7, 1, 3 * math.pi / 4), (70, 9, 256, 5, 3, math.pi / 2), (9, 67, 7, 3, 66, 0), (66, 66, 5, 3, 65, math.pi / 4)])
+def test_glcm_against_matrices(spark, h, w, levels, size, distance, angle):
+    """Whatever the tiles; offsets wrap around the image and windows repeat its edge."""
+    a = np.random.RandomState(h).rand(h, w, 1).astype(np.float32)
+    found = GLCMExtractor(distances=(distance,), angles=(angle,), levels=levels, window_sizes=(size,), equalize=False, spectral_reduction=None)
+    x = a[:, :, 0].astype(float)
+    q = np.floor((x - x.min()) / (x.max() - x.min()) * (levels - 1)).astype(int)
+    offset = round(math.sin(angle) * distance), round(math.cos(angle) * distance)
+    code = np.pad(q * levels + np.roll(q, (-offset[0], -offset[1]), (0, 1)), size // 2, mode="symmetric")
+    got, at = image(found.extract(cube_of(spark, a))), np.random.RandomState(1)
+    for r, c in [(0, 0), (h - 1, w - 1), *((at.randint(h), at.randint(w)) for _ in range(40))]:
+        p = np.bincount(code[r : r + size, c : c + size].ravel(), minlength=levels * levels).reshape(levels, levels) / (size * size)
+        np.testing.assert_allclose(got[r, c], dense_haralick(p / (p.sum() + 1e-12)), rtol=1e-6, atol=1e-7)
+
+
+def test_glcm_memory_of_a_tile():
+    """With 256 levels and windows of 15 a tile takes some tens of megabytes, not 65,536 cells a pixel."""
+    import tracemalloc
+
+    from prismloom.operators.texture import windowed_haralick
+
+    q = np.random.RandomState(0).randint(0, 256, (2, 64 + 14, 64 + 14))
+    tracemalloc.start()
+    windowed_haralick(q[0], q[1], 15, 256, HARALICK)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
