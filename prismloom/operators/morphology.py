@@ -6,14 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismloom.functions.borders import Tile, tiled
 from prismloom.operators.base import FLAG, NATURAL, Extractor, Feature, among
+from prismloom.operators.reconstruction import geodesic
 from prismloom.operators.texture import component_values, raw_bands
 from prismloom.sources.cube import Cube
-from prismloom.sources.storage import written
 
 SHAPES = ("disk", "square", "diamond", "line")
 
@@ -49,37 +48,6 @@ def dilated(plane: np.ndarray, known: np.ndarray, offsets: list[tuple[int, int]]
     return _extreme(np.where(known, plane, -np.inf), offsets, np.maximum, -np.inf)
 
 
-def reconstructed(marker: np.ndarray, mask: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Of what a tile holds: the marker dilated by 3 x 3 within the mask until nothing changes."""
-    square = footprint("square", 1)
-    while True:
-        new = np.where(known, np.minimum(dilated(marker, known, square), mask), marker)
-        if np.array_equal(new, marker):
-            return new
-        marker = new
-
-
-def geodesic(cells: DataFrame, images: DataFrame, n: int) -> DataFrame:
-    """Reconstruction by dilation of the first n values (markers) under the other n (masks).
-
-    Every round, tiles reconstruct as far as what they and one pixel around them hold; what crosses a border goes on in the
-    next round, until no tile changes.
-    """
-
-    def kernel(tile: Tile) -> np.ndarray:
-        h, w = tile.inner.shape[:2]
-        done = [reconstructed(tile.values[:, :, k], tile.values[:, :, n + k], tile.known)[tile.rows, tile.cols] for k in range(n)]
-        both = np.stack([*done, *(tile.inner[:, :, n + k] for k in range(n))], axis=2)
-        changed = np.any(both[:, :, :n] != tile.inner[:, :, :n])
-        return np.concatenate([both, np.full((h, w, 1), float(changed))], axis=2)
-
-    while True:
-        found = written(tiled(cells, images, "none", 1, kernel), "geodesic")
-        cells = found.select("image_id", "row", "col", F.slice("features", 1, 2 * n).alias("values"))
-        if found.where(F.element_at("features", -1) > 0).isEmpty():
-            return cells
-
-
 @dataclass(frozen=True)
 class MPExtractor(Extractor):
     """For each component and shape: openings from the largest radius to the smallest, the component, closings from the
@@ -111,12 +79,13 @@ class MPExtractor(Extractor):
 
             def start(tile: Tile) -> np.ndarray:
                 marks = each(tile, lambda p, known, at: [eroded(p, known, at), -dilated(p, known, at)])
-                masks = each(tile, lambda p, known, at: [p, -p])
-                return np.concatenate([marks, masks], axis=2)
+                inner = tile.inner
+                return np.concatenate([marks, np.stack([inner, -inner], axis=3).reshape(*inner.shape[:2], 2 * k)], axis=2)
 
-            first = written(tiled(channels, images, "none", reach, start), "markers").withColumnRenamed("features", "values")
-            n = 2 * k * len(steps)
-            found = geodesic(first, images, n).select("image_id", "row", "col", F.slice("values", 1, n).alias("p")).join(channels, ["image_id", "row", "col"])
+            first = tiled(channels, images, "none", reach, start).withColumnRenamed("features", "values")
+            # Markers of a component come in pairs, under the component and under its negative.
+            of = [2 * c + side for c in range(k) for _ in steps for side in (0, 1)]
+            found = geodesic(first, images, of).withColumnRenamed("values", "p").join(channels, ["image_id", "row", "col"])
             pick = lambda c, i, closing: -F.col("p")[2 * (c * len(steps) + i) + 1] if closing else F.col("p")[2 * (c * len(steps) + i)]
             columns = []
             for c in range(k):

@@ -124,6 +124,8 @@ def queries() -> dict[str, Query]:
         "mp": _of(MPExtractor()),
         "mp_reconstruction": _of(MPExtractor(use_reconstruction=True)),
         "mp_rgb": _of(MPExtractor(bands=(0, 1, 2), radii=RADII, shapes=("square",)), rgb=True),
+        "mp_rgb_shapes": _of(MPExtractor(bands=(0, 1, 2), radii=(1, 3), shapes=("disk", "diamond", "line")), rgb=True),
+        "mp_rgb_reconstruction": _of(MPExtractor(bands=(0, 1, 2), radii=RADII, shapes=("square", "disk"), use_reconstruction=True), rgb=True),
         "geometric_moment": _of(GeometricMomentExtractor()),
         "legendre_moment": _of(LegendreMomentExtractor()),
         "zernike_moment": _of(ZernikeMomentExtractor()),
@@ -171,6 +173,8 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "gabor": oracle.gabor(range(BANDS)),
         "gabor_rgb": oracle.gabor(),
         "mp_rgb": oracle.morphology(RADII),
+        "mp_rgb_shapes": oracle.morphology((1, 3), ("disk", "diamond", "line")),
+        "mp_rgb_reconstruction": oracle.morphology(RADII, ("square", "disk"), reconstruct=True),
         "geometric_moment_rgb": oracle.geometric(ORDER, SIZES),
         "legendre_moment_rgb": oracle.legendre(ORDER, SIZES),
         "zernike_moment_rgb": oracle.zernike(ORDER, SIZES),

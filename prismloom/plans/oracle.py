@@ -168,18 +168,36 @@ SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST({order} AS INT
 FROM ({" UNION ALL ".join(every)}), dims WHERE r < h AND c < w AND b < {BANDS}"""
 
 
-def morphology(radii: tuple[int, ...]) -> str:
-    """Openings and closings by squares; pixels beyond the image don't count."""
-    n = len(radii)
+def _inside(shape: str) -> str:
+    """Whether place b lies in a structuring element of a's radius about a."""
+    return {"square": "true", "disk": "(a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= a.radius * a.radius", "diamond": "abs(a.row - b.row) + abs(a.col - b.col) <= a.radius", "line": "a.row = b.row"}[shape]
 
-    def around(name: str, source: str, pick: str) -> str:
-        return f"{name} AS (SELECT a.row, a.col, a.c, a.radius, {pick}(b.v) AS v FROM {source} a JOIN {source} b ON a.c = b.c AND a.radius = b.radius AND abs(a.row - b.row) <= a.radius AND abs(a.col - b.col) <= a.radius GROUP BY ALL)"
 
-    steps = ", ".join([around("er", "f", "min"), around("op", "er", "max"), around("di", "f", "max"), around("cl", "di", "min")])
+def morphology(radii: tuple[int, ...], shapes: tuple[str, ...] = ("square",), reconstruct: bool = False) -> str:
+    """Openings and closings; pixels beyond the image don't count. By reconstruction, single steps of 3 x 3 go on until none changes."""
+    n, each = len(radii), 2 * len(radii) + 1
+    names = list(enumerate(shapes))
+
+    def around(name: str, source: str, pick: str) -> str:
+        of = " OR ".join(f"a.shape = {i} AND {_inside(shape)}" for i, shape in names)
+        return f"{name} AS MATERIALIZED (SELECT a.row, a.col, a.c, a.shape, a.radius, {pick}(b.v) AS v FROM {source} a JOIN {source} b ON a.c = b.c AND a.shape = b.shape AND a.radius = b.radius AND abs(a.row - b.row) <= a.radius AND abs(a.col - b.col) <= a.radius AND ({of}) GROUP BY ALL)"
+
+    if reconstruct:
+        near = lambda v: f"max({v}) OVER (PARTITION BY c, shape, radius, side, {{}} ORDER BY {{}} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+        steps = ", ".join([around("er", "f", "min"), around("di", "f", "max")]) + f""",
+grow(row, col, c, shape, radius, side, v, most, step, going) AS (
+  SELECT er.row, er.col, er.c, shape, radius, 0, er.v, z.v, 0, true FROM er JOIN cells z ON z.row = er.row AND z.col = er.col AND z.c = er.c
+  UNION ALL SELECT di.row, di.col, di.c, shape, radius, 1, -di.v, -z.v, 0, true FROM di JOIN cells z ON z.row = di.row AND z.col = di.col AND z.c = di.c
+  UNION ALL SELECT row, col, c, shape, radius, side, new, most, step + 1, bool_or(new <> v) OVER () FROM (
+    SELECT *, least(most, {near("wide").format("col", "row")}) AS new FROM (SELECT *, {near("v").format("row", "col")} AS wide FROM grow WHERE going))),
+done AS (SELECT * FROM grow WHERE step = (SELECT max(step) FROM grow)),
+op AS (SELECT row, col, c, shape, radius, v FROM done WHERE side = 0), cl AS (SELECT row, col, c, shape, radius, -v AS v FROM done WHERE side = 1)"""
+    else:
+        steps = ", ".join([around("er", "f", "min"), around("op", "er", "max"), around("di", "f", "max"), around("cl", "di", "min")])
     rank = "CASE radius " + " ".join(f"WHEN {r} THEN {i}" for i, r in enumerate(sorted(radii))) + " END"
-    return f"""WITH {CELLS}, f AS (SELECT row, col, c, radius, v FROM cells, (SELECT unnest({list(radii)}) AS radius)), {steps},
-every AS (SELECT row, col, c, {n - 1} - {rank} AS i, v FROM op UNION ALL SELECT row, col, c, {n}, v FROM cells UNION ALL SELECT row, col, c, {n + 1} + {rank}, v FROM cl)
-SELECT row, col, CAST(c * {2 * n + 1} + i AS INTEGER) AS k, {rounded("v")} AS value FROM every"""
+    return f"""WITH RECURSIVE {CELLS}, f AS (SELECT row, col, c, shape, radius, v FROM cells, (SELECT unnest({list(radii)}) AS radius), (SELECT unnest({[i for i, _ in names]}) AS shape)), {steps},
+every AS (SELECT row, col, c, shape, {n - 1} - {rank} AS i, v FROM op UNION ALL SELECT row, col, c, shape, {n}, v FROM cells, (SELECT unnest({[i for i, _ in names]}) AS shape) UNION ALL SELECT row, col, c, shape, {n + 1} + {rank}, v FROM cl)
+SELECT row, col, CAST((c * {len(shapes)} + shape) * {each} + i AS INTEGER) AS k, {rounded("v")} AS value FROM every"""
 
 
 def lbp() -> str:

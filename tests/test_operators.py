@@ -5,11 +5,13 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prismloom.functions.filters import filter_bank, names
 from prismloom.functions.wavelets import MODES, most_levels, step_matrices, transform_matrix
 from prismloom.operators.moment import GeometricMomentExtractor, LegendreMomentExtractor, ZernikeMomentExtractor, geometric_kernels, orders, zernike_kernels, zernike_orders
-from prismloom.operators.morphology import MPExtractor, dilated, eroded, footprint, reconstructed
+from prismloom.operators.morphology import MPExtractor, dilated, eroded, footprint
+from prismloom.operators.reconstruction import geodesic, reconstructed
 from prismloom.operators.reduction import EDGE, ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, divergence
 from prismloom.operators.spectral import NDVIExtractor, NDWIExtractor, SAVIExtractor
 from prismloom.operators.texture import HARALICK, GaborExtractor, GLCMExtractor, LBPExtractor, haralick
@@ -345,7 +347,7 @@ def test_reconstruction_crosses_tiles(spark):
     np.testing.assert_allclose(got[:, :, 0], want)
     marker = np.zeros((3, 3))
     marker[0, 0] = 1
-    np.testing.assert_allclose(reconstructed(marker, np.eye(3), np.ones((3, 3), dtype=bool)), np.eye(3))
+    np.testing.assert_allclose(reconstructed(marker, np.eye(3)), np.eye(3))
 
 
 def test_glcm(spark):
@@ -444,3 +446,45 @@ def test_glcm_memory_of_a_tile():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200e6
+
+
+def dilated_within(marker, mask):
+    """Reconstruction by single steps."""
+    square = footprint("square", 1)
+    while True:
+        new = np.minimum(dilated(marker, np.ones(marker.shape, dtype=bool), square), mask)
+        if np.array_equal(new, marker):
+            return new
+        marker = new
+
+
+def spiral(h, w):
+    """A mask on which a level has to wind through all tiles."""
+    mask = np.zeros((h, w))
+    for r in range(0, h, 4):
+        mask[r] = 1 - r / 1000
+        mask[r : r + 5, w - 1 if r % 8 == 0 else 0] = 1 - r / 1000
+    return mask
+
+
+@pytest.mark.parametrize("h, w, tile", [(1, 1, 4), (9, 7, 4), (33, 18, 4), (64, 64, 8), (40, 3, 8), (5, 41, 2)])
+def test_geodesic_against_single_steps(spark, h, w, tile):
+    """Winding paths, plateaus and noise, two images at once, one of them smaller than a tile."""
+    rng = np.random.RandomState(h + w)
+    images, want = {}, {}
+    for name, (a, b) in {"a": (h, w), "b": (min(h, 3), min(w, 2))}.items():
+        masks = np.stack([rng.rand(a, b), spiral(a, b), np.round(rng.rand(a, b) * 3)], axis=2)
+        marks = np.stack([np.minimum(masks[..., m], np.where(rng.rand(a, b) < 0.05, masks[..., m], -1)) for m in (0, 1, 1, 2)], axis=2)
+        marks[0, 0, 1] = masks[0, 0, 1]
+        images[name] = np.concatenate([marks, masks], axis=2)
+        want[name] = np.stack([dilated_within(marks[..., i], masks[..., m]) for i, m in enumerate((0, 1, 1, 2))], axis=2)
+    rows = [(name, r, c, x[r, c].tolist()) for name, x in images.items() for r in range(x.shape[0]) for c in range(x.shape[1])]
+    cells = spark.createDataFrame(rows, "image_id string, row int, col int, values array<double>").repartition(5)
+    sizes = cells.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    got = {name: np.full(x.shape, np.nan) for name, x in want.items()}
+    found = geodesic(cells, sizes, (0, 1, 1, 2), tile).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        got[r["image_id"]][r["row"], r["col"]] = r["values"]
+    for name in want:
+        np.testing.assert_array_equal(got[name], want[name])
