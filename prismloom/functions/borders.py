@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismloom.sources.storage import beside
+
 #: Rows and columns of a tile.
 TILE = 64
 RULES = ("reflect", "repeat", "wrap", "none")
@@ -86,7 +88,7 @@ def tiled_with_offsets(cells: DataFrame, images: DataFrame, rule: str, halo: int
     The kernel gets a list of (row, column, channel) values of the tile and its halo: of the places themselves, then of what lies at
     each (row, column) offset from the pixel that a place shows, where the image wraps around. A pixel goes once to every tile that asks for it.
     """
-    rows = cells.join(images, "image_id")
+    rows = beside(cells, images, 64)
     for name, n, moves in (("row", F.col("height"), {0, *(d[0] for d in offsets)}), ("col", F.col("width"), {0, *(d[1] for d in offsets)})):
         last = F.floor((n - 1) / tile)
         asked = []
@@ -122,7 +124,7 @@ def tiled(cells: DataFrame, images: DataFrame, rule: str, halo: int, kernel: Cal
     (image_id, height, width). Images are first padded by reflection to a multiple if one is given.
     """
     size = {"row": F.col("height"), "col": F.col("width")}
-    rows = cells.join(images, "image_id")
+    rows = beside(cells, images, 64)
     for name, n in size.items():
         padded = None if multiple is None else (F.ceil(n / multiple) * multiple).cast("int")
         places = _showing(F.col(name), n, rule, halo, padded).cast("array<int>")

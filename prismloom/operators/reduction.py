@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismloom.functions.borders import TILE
 from prismloom.operators.base import FLAG, INDEX, NATURAL, NOTHING, Extractor, Feature, among
 from prismloom.sources.cube import Cube
-from prismloom.sources.storage import written
+from prismloom.sources.storage import beside, written
 
 
 def matrix_of(lists: pa.Array) -> np.ndarray:
@@ -54,11 +55,25 @@ def gram(cells: DataFrame, values: str, n: int) -> DataFrame:
                 sums = own.T @ own
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array(np.arange(n + 1), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["image_id", "i", "part"])
 
-    parts = cells.select("image_id", F.col(values).cast("array<double>")).mapInArrow(run, "image_id string, i int, part array<double>")
+    parts = cells.select("image_id", F.col(values).cast("array<double>")).mapInArrow(run, _PARTS)
+    return _added(parts, n)
+
+
+_PARTS = "image_id string, i int, part array<double>"
+
+
+def _added(parts: DataFrame, n: int) -> DataFrame:
+    """(image_id, gram) from rows of matrices that tasks sent."""
     sums = parts.groupBy("image_id", "i").agg(F.array(*(F.sum(F.col("part")[j]) for j in range(n + 1))).alias("sums"))
     return sums.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sums"))), lambda s: s["sums"]).alias("gram"))
 
 
+def scatter(cube: Cube, finite_only: bool = False) -> DataFrame:
+    """The Gram matrix of the pixels, or of those with finite spectra; all operators on the cube share one."""
+    pixels = cube.pixels.where(finite(F.col("spectrum"))) if finite_only else cube.pixels
+    return cube.once("finite_gram" if finite_only else "gram", lambda: gram(pixels, "spectrum", cube.n_bands))
+
+
 def moments(sums: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Number, mean and sample covariance."""
     n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
@@ -98,6 +113,8 @@ def principal(sums: np.ndarray, k: int | None) -> dict:
     return {"mean": mean, "components": signed(vectors[:, kept].T), "explained_variance": variance[kept], "explained_variance_ratio": ratio, "cumulative_variance_ratio": np.cumsum(ratio)}
 
 
+#: Bytes that a model counts for before it is broadcast: components of some hundred bands.
+MODEL_BYTES = 1 << 18
 PCA_MODEL = "mean array<double>, components array<array<double>>, explained_variance array<double>, explained_variance_ratio array<double>, cumulative_variance_ratio array<double>"
 
 
@@ -105,13 +122,14 @@ def projected(pixels: DataFrame, model: DataFrame, spectrum: str = "spectrum") -
     """(image_id, row, col, features): scores of the pixels on the model's components."""
     centered = F.zip_with(F.col(spectrum).cast("array<double>"), "mean", lambda x, m: x - m)
     scores = F.transform(F.array(centered), lambda c: F.transform("components", lambda w: dot(w, c)))[0]
-    return pixels.join(model.select("image_id", "mean", "components"), "image_id").select("image_id", "row", "col", scores.alias("features"))
+    chosen = model.select("image_id", "mean", "components")
+    return beside(pixels, chosen, MODEL_BYTES).select("image_id", "row", "col", scores.alias("features"))
 
 
 def pca(cube: Cube, k: int | None, whiten: bool = False, valid_only: bool = False) -> Feature:
     """Scores (image_id, row, col, features) and the model."""
     pixels = cube.pixels.where(finite(F.col("spectrum"))) if valid_only else cube.pixels
-    fitted = by_image(gram(pixels, "spectrum", cube.n_bands), PCA_MODEL, lambda gram: principal(gram, k))
+    fitted = by_image(scatter(cube, valid_only), PCA_MODEL, lambda gram: principal(gram, k))
     used = fitted
     if whiten:
         scale = F.zip_with("components", "explained_variance", lambda c, v: F.transform(c, lambda x: F.coalesce(F.try_divide(x, F.sqrt(v)), F.lit(0.0))))
@@ -137,13 +155,38 @@ class PCAExtractor(Extractor):
         return pca(cube, self.n_components, self.whiten)
 
 
-def differences(cube: Cube) -> DataFrame:
-    """(image_id, spectrum): differences of neighbours below and to the right."""
-    parts = []
-    for across, along in (("col", "row"), ("row", "col")):
-        before = F.lag("spectrum").over(Window.partitionBy("image_id", across).orderBy(along))
-        parts.append(cube.pixels.select("image_id", F.col("spectrum").cast("array<double>").alias("s"), before.cast("array<double>").alias("b")).where("b IS NOT NULL"))
-    return parts[0].unionByName(parts[1]).select("image_id", F.zip_with("s", "b", lambda x, y: x - y).alias("spectrum"))
+def noise_scatter(cube: Cube, tile: int = TILE) -> DataFrame:
+    """(image_id, gram): sums of products of (1, differences of neighbours below and to the right) with itself.
+
+    Pixels are dealt to tiles, those at a lower or right edge to the next tile too, in one exchange; tiles send matrices.
+    """
+    n = cube.n_bands
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col = (np.asarray(table.column(c)) for c in ("row", "col"))
+        row, col = row - row.min(), col - col.min()
+        x = np.full((row.max() + 1, col.max() + 1, n), np.nan)
+        there, lent = np.zeros(x.shape[:2], dtype=bool), np.zeros(x.shape[:2], dtype=bool)
+        x[row, col] = matrix_of(table.column("spectrum").combine_chunks())
+        there[row, col], lent[row, col] = True, np.asarray(table.column("lent"))
+        sums = np.zeros((n + 1, n + 1))
+        for down, right in ((1, 0), (0, 1)):
+            h, w = x.shape[0] - down, x.shape[1] - right
+            both = there[:h, :w] & there[down:, right:] & ~lent[down:, right:]
+            d = (x[down:, right:] - x[:h, :w])[both]
+            d = np.hstack([np.ones((len(d), 1)), d])
+            sums += d.T @ d
+        lists = pa.array(list(sums), pa.list_(pa.float64()))
+        return pa.Table.from_arrays([pa.array(table.column("image_id")[:1].to_pylist() * (n + 1), pa.string()), pa.array(np.arange(n + 1), pa.int32()), lists], ["image_id", "i", "part"])
+
+    side = lambda name: F.floor(F.col(name) / tile).cast("int")
+    place = lambda r, c, lent: F.struct(r.alias("tr"), c.alias("tc"), F.lit(lent).alias("lent"))
+    at_edge = lambda name: F.col(name) % tile == tile - 1
+    own = place(side("row"), side("col"), False)
+    below, beside_ = F.when(at_edge("row"), place(side("row") + 1, side("col"), True)), F.when(at_edge("col"), place(side("row"), side("col") + 1, True))
+    dealt = cube.pixels.select("image_id", "row", "col", F.col("spectrum").cast("array<double>").alias("spectrum"), F.explode(F.array_compact(F.array(own, below, beside_))).alias("t"))
+    parts = dealt.select("image_id", "t.tr", "t.tc", "row", "col", "spectrum", "t.lent").groupBy("image_id", "tr", "tc").applyInArrow(run, _PARTS)
+    return cube.once("noise_gram", lambda: _added(parts, n))
 
 
 def noise_ordered(gram: np.ndarray, noise: np.ndarray, k: int) -> dict:
@@ -151,6 +194,8 @@ def noise_ordered(gram: np.ndarray, noise: np.ndarray, k: int) -> dict:
     _, mean, cov = moments(gram)
     own = moments(noise)[2] / 2 + 1e-8 * np.eye(len(mean))
     values, vectors = np.linalg.eigh(own)
+    if (values < 0).any():
+        warnings.warn(f"{int((values < 0).sum())} eigenvalues of the noise are below 0 and count as 1e-12", stacklevel=2)
     values = np.maximum(values, 1e-12)
     whitening = vectors @ np.diag(values**-0.5) @ vectors.T
     snr, turned = np.linalg.eigh(whitening.T @ cov @ whitening)
@@ -171,8 +216,12 @@ class MNFExtractor(Extractor):
     n_components: int = 5
     limits = {"n_components": NATURAL}
 
+    def _check(self, cube: Cube) -> None:
+        if not cube.images().where("height < 2 OR width < 2").isEmpty():
+            raise ValueError("differences of neighbours ask for images of 2 x 2 pixels at least")
+
     def _extract(self, cube: Cube) -> Feature:
-        both = gram(cube.pixels, "spectrum", cube.n_bands).join(gram(differences(cube), "spectrum", cube.n_bands).withColumnRenamed("gram", "noise"), "image_id")
+        both = scatter(cube).join(noise_scatter(cube).withColumnRenamed("gram", "noise"), "image_id")
         k = self.n_components
         schema = "mean array<double>, components array<array<double>>, noise_eigenvalues array<double>, whitening_matrix array<array<double>>, snr_eigenvalues array<double>, snr_estimates array<double>, snr_ratio array<double>, cumulative_snr_ratio array<double>"
         model = by_image(both, schema, lambda gram, noise: noise_ordered(gram, noise, k))
@@ -220,7 +269,7 @@ class ICAExtractor(Extractor):
 
         pixels = cube.pixels.where(finite(F.col("spectrum")))
         schema = "n double, mean array<double>, components array<array<double>>, w array<array<double>>, rounds int, done boolean"
-        state = written(by_image(gram(pixels, "spectrum", cube.n_bands), schema, start), "ica")
+        state = written(by_image(scatter(cube, finite_only=True), schema, start), "ica")
         white = written(projected(pixels, state), "white")
 
         def step(**row: np.ndarray) -> dict:
@@ -235,7 +284,7 @@ class ICAExtractor(Extractor):
                 break
             z = F.col("features")
             g = F.transform("w", lambda w: F.tanh(dot(w, z)))
-            scored = white.join(todo.select("image_id", "w"), "image_id").select("image_id", z.alias("z"), g.alias("g"))
+            scored = beside(white, todo.select("image_id", "w"), MODEL_BYTES).select("image_id", z.alias("z"), g.alias("g"))
             means = scored.groupBy("image_id").agg(F.array(*(F.avg(F.col("g")[i] * F.col("z")[j]) for i in range(k) for j in range(k))).alias("g"), F.array(*(F.avg(1 - F.col("g")[i] * F.col("g")[i]) for i in range(k))).alias("slope"))
             state = written(by_image(todo.drop("done").join(means, "image_id"), schema, step).unionByName(state.where("done")), "ica")
 
@@ -243,9 +292,15 @@ class ICAExtractor(Extractor):
             # Whitened scores have unit variance, so rows of w of unit length give components of unit variance.
             norm = np.linalg.norm(row["w"], axis=1, keepdims=True) if whiten == "unit-variance" else 1.0
             unmix = (row["w"] / norm) @ row["components"] if whiten else row["w"]
-            return {"mean": row["mean"], "components": unmix, "mixing_matrix": np.linalg.pinv(unmix), "n_iter": int(row["rounds"])}
-
-        model = by_image(state.drop("n", "done"), "mean array<double>, components array<array<double>>, mixing_matrix array<array<double>>, n_iter int", finish)
+            mixing = np.linalg.pinv(unmix)
+            n, _, cov = moments(row["gram"])
+            # Mean square of what the components leave of centred spectra, from their covariance: no second look at the pixels.
+            left = np.eye(len(cov)) - mixing @ unmix
+            error = float(np.trace(left @ cov @ left.T)) * (n - 1) / (n * len(cov))
+            return {"mean": row["mean"], "components": unmix, "mixing_matrix": mixing, "n_iter": int(row["rounds"]), "reconstruction_error": error}
+
+        schema = "mean array<double>, components array<array<double>>, mixing_matrix array<array<double>>, n_iter int, reconstruction_error double"
+        model = by_image(state.drop("n", "done").join(scatter(cube, finite_only=True), "image_id"), schema, finish)
         found = projected(pixels, model)
         every = cube.pixels.select("image_id", "row", "col").join(found, ["image_id", "row", "col"], "left")
         zeros = F.array_repeat(F.lit(0.0), k)
@@ -287,6 +342,10 @@ class PPExtractor(Extractor):
     block: int = 4096
     limits = {"n_projections": NATURAL, "n_bins": NATURAL, "pca_components": NATURAL | NOTHING, "sample_size": NATURAL, "random_state": INDEX | NOTHING}
 
+    def _check(self, cube: Cube) -> None:
+        if not cube.images().join(scatter(cube, finite_only=True), "image_id", "left_anti").isEmpty():
+            raise ValueError("an image has no pixel whose components are all finite")
+
     def _sphered(self, cube: Cube) -> tuple[DataFrame, DataFrame]:
         k = self.pca_components
 
@@ -297,13 +356,14 @@ class PPExtractor(Extractor):
             return {"mean": found["mean"], "components": found["components"][:size] / scale[:, None]}
 
         pixels = cube.pixels.where(finite(F.col("spectrum")))
-        model = written(by_image(gram(pixels, "spectrum", cube.n_bands), "mean array<double>, components array<array<double>>", fit), "sphere")
+        model = written(by_image(scatter(cube, finite_only=True), "mean array<double>, components array<array<double>>", fit), "sphere")
         return written(projected(pixels, model), "sphered"), model
 
     def _scored(self, blocks: DataFrame, candidates: DataFrame) -> DataFrame:
         """(image_id, candidate, vector, score) of every candidate."""
         bins = self.n_bins
-        pair = blocks.join(candidates.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("candidate", "vector"))).alias("c")), "image_id")
+        gathered = candidates.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("candidate", "vector"))).alias("c"))
+        pair = beside(blocks, gathered, self.sample_size << 10, deal=("part",))
 
         def scores(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, dict]]:
             for row in batch.to_pylist():
@@ -332,7 +392,7 @@ class PPExtractor(Extractor):
                     own = np.bincount(code.ravel(), minlength=s.shape[1] * bins).reshape(-1, bins)
                     yield pa.RecordBatch.from_pydict({"image_id": [name] * len(own), "candidate": pa.array([c["candidate"] for c in row["c"]], pa.int64()), "counts": pa.array(list(own), pa.list_(pa.int64()))})
 
-        parts = pair.join(table, "image_id").select("image_id", "x", "c", "m").mapInArrow(counts, "image_id string, candidate bigint, counts array<bigint>")
+        parts = beside(pair, written(table, "spread"), self.sample_size << 6, deal=("part",)).select("image_id", "x", "c", "m").mapInArrow(counts, "image_id string, candidate bigint, counts array<bigint>")
         histogram = parts.groupBy("image_id", "candidate").agg(F.array(*(F.sum(F.col("counts")[i]) for i in range(bins))).alias("counts")).join(spread, ["image_id", "candidate"])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,17 +421,17 @@ class PPExtractor(Extractor):
             vectors = best if vectors is None else vectors.unionByName(best)
             if p + 1 < self.n_projections:
                 along = F.zip_with("features", "vector", lambda x, v: x - F.col("d") * v)
-                deflated = left.join(best.select("image_id", "vector"), "image_id").withColumn("d", dot(F.col("features"), F.col("vector")))
+                deflated = beside(left, best.select("image_id", "vector"), MODEL_BYTES).withColumn("d", dot(F.col("features"), F.col("vector")))
                 left = written(deflated.select("image_id", "candidate", "row", "col", along.alias("features"), "is_candidate"), "pursuit")
         found = vectors.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("p", "candidate", "vector", "score"))).alias("v"))
         found = found.select("image_id", F.transform("v", lambda v: v["vector"]).alias("projection_vectors"), F.transform("v", lambda v: v["score"]).alias("divergence_scores"), F.transform("v", lambda v: v["candidate"]).alias("selected_pixels")).join(model, "image_id")
         scores = F.transform("projection_vectors", lambda v: dot(v, F.col("features")))
-        own = white.join(found.select("image_id", "projection_vectors"), "image_id").select("image_id", "row", "col", scores.alias("features"))
+        own = beside(white, found.select("image_id", "projection_vectors"), MODEL_BYTES).select("image_id", "row", "col", scores.alias("features"))
         every = cube.pixels.select("image_id", "row", "col").join(own, ["image_id", "row", "col"], "left")
         zeros = F.array_repeat(F.lit(0.0), self.n_projections)
         return Feature(every.select("image_id", "row", "col", F.coalesce("features", zeros).alias("features")), {"n_features": self.n_projections}, found)
 
     def _blocks(self, pixels: DataFrame) -> DataFrame:
         """(image_id, x): blocks of about ``block`` pixels of an image."""
-        counts = pixels.groupBy("image_id").agg(F.ceil(F.count("*") / self.block).cast("int").alias("parts"))
-        return pixels.join(counts, "image_id").groupBy("image_id", F.pmod(F.xxhash64("candidate"), F.col("parts")).alias("part")).agg(F.collect_list("features").alias("x")).drop("part")
+        counts = written(pixels.groupBy("image_id").agg(F.ceil(F.count("*") / self.block).cast("int").alias("parts")), "counts")
+        return beside(pixels, counts, 64).groupBy("image_id", F.pmod(F.xxhash64("candidate"), F.col("parts")).alias("part")).agg(F.collect_list("features").alias("x"))

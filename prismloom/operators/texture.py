@@ -15,6 +15,7 @@ from prismloom.functions.borders import Tile, tiled, tiled_with_offsets, weighte
 from prismloom.operators.base import ANY, INDEX, NATURAL, NOTHING, WINDOW, Extractor, Feature, Input, Limit, among
 from prismloom.operators.reduction import PCAExtractor, pca
 from prismloom.sources.cube import Cube
+from prismloom.sources.storage import beside, written
 
 #: Statistics of co-occurrence, in the order of the features.
 HARALICK = ("asm", "contrast", "correlation", "variance", "idm", "sum_avg", "sum_var", "sum_entropy", "entropy", "diff_var", "diff_entropy", "imc1", "imc2")
@@ -42,7 +43,7 @@ def with_extremes(cells: DataFrame) -> DataFrame:
     """Adds lo and hi, arrays of each image's least and greatest value of each channel."""
     flat = cells.select("image_id", F.posexplode("values").alias("k", "v")).groupBy("image_id", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     ends = flat.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("ends"))
-    return cells.join(ends, "image_id")
+    return beside(cells, written(ends, "extremes"), 1 << 14)
 
 
 def quantised(cells: DataFrame, levels: int, equalize: bool) -> DataFrame:
@@ -68,7 +69,7 @@ def quantised(cells: DataFrame, levels: int, equalize: bool) -> DataFrame:
         return F.floor((cdf[low] + share * (cdf[high] - cdf[low])) * (levels - 1))
 
     zipped = F.transform(F.arrays_zip("values", "ends", "cdf"), lambda z: equal(z["values"], z["ends"], z["cdf"]))
-    return ranged.join(curves, "image_id").select("image_id", "row", "col", zipped.cast("array<double>").alias("values"))
+    return beside(ranged, written(curves, "curves"), 1 << 18).select("image_id", "row", "col", zipped.cast("array<double>").alias("values"))
 
 
 class Runs:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismloom.operators.base import Extractor
 from prismloom.operators.moment import GeometricMomentExtractor, LegendreMomentExtractor, ZernikeMomentExtractor
 from prismloom.operators.morphology import MPExtractor
-from prismloom.operators.reduction import ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, by_image, differences, gram, moments
+from prismloom.operators.reduction import ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, by_image, gram, moments, noise_scatter, scatter
 from prismloom.operators.spectral import NDVIExtractor, NDWIExtractor, SAVIExtractor
 from prismloom.operators.texture import GaborExtractor, GLCMExtractor, LBPExtractor
 from prismloom.operators.wavelet import DWT1DExtractor, DWT2DExtractor, DWT3DExtractor
@@ -65,13 +66,41 @@ def _masked(cube: Cube) -> DataFrame:
     return _spectra(marked).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def _matrix(matrices: DataFrame, scale: float) -> DataFrame:
-    """(i, j, value) of the covariance of each image."""
-    found = by_image(matrices, "cov array<array<double>>", lambda gram: {"cov": moments(gram)[2] * scale})
+def _matrix(matrices: DataFrame, scale: float, less: int = 1) -> DataFrame:
+    """(i, j, value) of the covariance of each image, by the number of pixels less 1 or 0."""
+
+    def scaled(gram: np.ndarray) -> dict:
+        n, _, cov = moments(gram)
+        return {"cov": cov * scale * (n - 1) / (n - less)}
+
+    found = by_image(matrices, "cov array<array<double>>", scaled)
     rows = found.select(F.posexplode("cov").alias("i", "line"))
     return rows.select("i", F.posexplode("line").alias("j", "value")).select("i", "j", rounded(F.col("value"), 8).alias("value"))
 
 
+def _covariance(extractor: Extractor, n: int, noise: bool = False, less: int = 1) -> Query:
+    """(i, j, value) of the features' covariance, or of half that of their neighbours' differences."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = extractor.extract(embeddings_cube(spark, sf_dir)).data
+        if not noise:
+            rows = _matrix(gram(found, "features", n), 1.0, less)
+        else:
+            pixels = found.select("image_id", "row", "col", F.col("features").alias("spectrum"), F.lit(True).alias("valid"))
+            rows = _matrix(noise_scatter(Cube(pixels, tuple(range(1, n + 1)))), 0.5)
+        return rows.withColumn("value", rounded(F.col("value"), 4))
+
+    return query
+
+
+def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the first three powers of the variances of all principal components' scores."""
+    found = PCAExtractor(n_components=BANDS).extract(embeddings_cube(spark, sf_dir)).data
+    variances = found.select(F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.var_samp("v").alias("v"))
+    sums = variances.agg(*(F.sum(F.pow("v", F.lit(p))).alias(f"p{p}") for p in (1, 2, 3)))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(p).alias("power"), rounded(F.col(f"p{p}"), d).alias("value")) for p, d in ((1, 6), (2, 8), (3, 9))))).alias("s")).select("s.*")
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan in which two extractors share principal components."""
     cube = embeddings_cube(spark, sf_dir)
@@ -98,13 +127,18 @@ def queries() -> dict[str, Query]:
         "hsi_masked": _cube(_masked),
         "hsi_band": _cube(lambda c: c.band(10).select("row", "col", rounded(F.col("value")).alias("value"))),
         "hsi_pixel": _cube(lambda c: c.pixel(3, 4).select(F.posexplode("spectrum").alias("k", "v")).select("k", rounded(F.col("v").cast("double")).alias("value"))),
-        "band_cov": _cube(lambda c: _matrix(gram(c.pixels, "spectrum", c.n_bands), 1.0)),
-        "noise_cov": _cube(lambda c: _matrix(gram(differences(c), "spectrum", c.n_bands), 0.5)),
+        "band_cov": _cube(lambda c: _matrix(scatter(c), 1.0)),
+        "noise_cov": _cube(lambda c: _matrix(noise_scatter(c), 0.5)),
         "pca": _of(PCAExtractor()),
         "pca_whitened": _of(PCAExtractor(whiten=True)),
         "mnf": _of(MNFExtractor()),
         "ica": _of(ICAExtractor(n_components=3), digits=3),
         "pp": _of(PPExtractor(n_projections=3), digits=3),
+        "pca_spectrum": _spectrum,
+        "pca_whitened_cov": _covariance(PCAExtractor(whiten=True), 5),
+        "mnf_noise_cov": _covariance(MNFExtractor(), 5, noise=True),
+        "ica_cov": _covariance(ICAExtractor(n_components=3), 3, less=0),
+        "pp_cov": _covariance(PPExtractor(n_projections=3), 3),
         "dwt1d": _of(DWT1DExtractor()),
         "dwt1d_sym5_smooth": _of(DWT1DExtractor("sym5", "smooth", 2)),
         "dwt1d_coif2_antireflect": _of(DWT1DExtractor("coif2", "antireflect", 2)),
@@ -159,6 +193,11 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "hsi_pixel": f"WITH {oracle.PIXELS}, p AS (SELECT unnest(range(0, {BANDS})) AS k, unnest(s) AS v FROM px WHERE row = 3 AND col = 4) SELECT CAST(k AS INTEGER) AS k, {oracle.rounded('CAST(v AS DOUBLE)')} AS value FROM p",
         "band_cov": oracle.covariance(),
         "noise_cov": oracle.noise_covariance(),
+        "pca_spectrum": oracle.spectrum(),
+        "pca_whitened_cov": oracle.identity(5),
+        "mnf_noise_cov": oracle.identity(5),
+        "ica_cov": oracle.identity(3),
+        "pp_cov": oracle.identity(3),
         "dwt1d": oracle.dwt1d(),
         "dwt1d_sym5_smooth": oracle.dwt1d_by_extension("sym5", "smooth", 2),
         "dwt1d_coif2_antireflect": oracle.dwt1d_by_extension("coif2", "antireflect", 2),
@@ -172,6 +211,7 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "lbp_rgb": oracle.lbp(),
         "gabor": oracle.gabor(range(BANDS)),
         "gabor_rgb": oracle.gabor(),
+        "gabor_opponent_rgb": oracle.gabor(opponent=True),
         "mp_rgb": oracle.morphology(RADII),
         "mp_rgb_shapes": oracle.morphology((1, 3), ("disk", "diamond", "line")),
         "mp_rgb_reconstruction": oracle.morphology(RADII, ("square", "disk"), reconstruct=True),

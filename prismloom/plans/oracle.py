@@ -57,9 +57,11 @@ def index(value: str) -> str:
     return f"WITH {PIXELS}\nSELECT row, col, {rounded(value)} AS value FROM px"
 
 
-def stencil(kernels: list[np.ndarray], rule: str, magnitudes: bool = False, bands: Sequence[int] = RGB) -> str:
+def stencil(kernels: list[np.ndarray], rule: str, magnitudes: bool = False, bands: Sequence[int] = RGB, differences: bool = False) -> str:
     """Sums of neighbourhoods of the bands (the false-colour image) times kernels, in the order of the list.
 
+    After them come, if asked for, the ``differences`` of each two bands' sums.
+
     With ``magnitudes`` two kernels at a time are the parts of a complex number.
     """
     rows, k = [], 0
@@ -77,11 +79,17 @@ sums AS (SELECT n.row, n.col, z.c, k.k, sum(k.x * z.v) AS v FROM near n JOIN cel
 """
     if magnitudes:
         return sums + f"SELECT row, col, CAST(c * {each} + k // 2 AS INTEGER) AS k, {rounded('sqrt(sum(v * v))')} AS value FROM sums GROUP BY row, col, c, k // 2"
-    return sums + f"SELECT row, col, CAST(c * {each} + k AS INTEGER) AS k, {rounded('v')} AS value FROM sums"
+    plain = f"SELECT row, col, CAST(c * {each} + k AS INTEGER) AS k, {rounded('v')} AS value FROM sums"
+    if differences:
+        n = len(bands)
+        # Pairs of bands in order: those of the first band come first.
+        pair = f"a.c * {n} - a.c * (a.c + 1) // 2 + b.c - a.c - 1"
+        plain += f" UNION ALL SELECT a.row, a.col, CAST(({n} + {pair}) * {each} + a.k AS INTEGER), {rounded('a.v - b.v')} FROM sums a JOIN sums b ON a.row = b.row AND a.col = b.col AND a.k = b.k AND a.c < b.c"
+    return sums + plain
 
 
-def gabor(bands: Sequence[int] = RGB) -> str:
-    return stencil([GaborExtractor.kernel(*f)[None] for f in GaborExtractor().filters()], "repeat", bands=bands)
+def gabor(bands: Sequence[int] = RGB, opponent: bool = False) -> str:
+    return stencil([GaborExtractor.kernel(*f)[None] for f in GaborExtractor().filters()], "repeat", bands=bands, differences=opponent)
 
 
 def geometric(order: int, sizes: tuple[int, ...]) -> str:
@@ -259,3 +267,17 @@ def covariance() -> str:
     return f"""WITH {PIXELS}, b AS (SELECT row, col, unnest(range(0, {BANDS})) AS band, CAST(unnest(s) AS DOUBLE) AS v FROM px)
 SELECT CAST(x.band AS INTEGER) AS i, CAST(y.band AS INTEGER) AS j, {rounded("covar_samp(x.v, y.v)", 8)} AS value
 FROM b x JOIN b y ON x.row = y.row AND x.col = y.col GROUP BY x.band, y.band"""
+
+
+def identity(n: int) -> str:
+    """(i, j, value) of what covariances of whitened features are."""
+    return f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(range(0, {n})) AS i), (SELECT unnest(range(0, {n})) AS j)"
+
+
+def spectrum() -> str:
+    """Traces of the first three powers of the covariance, which are the sums of powers of its eigenvalues."""
+    return f"""WITH {PIXELS}, b AS (SELECT row, col, unnest(range(0, {BANDS})) AS band, CAST(unnest(s) AS DOUBLE) AS v FROM px),
+c AS MATERIALIZED (SELECT x.band AS i, y.band AS j, covar_samp(x.v, y.v) AS v FROM b x JOIN b y ON x.row = y.row AND x.col = y.col GROUP BY x.band, y.band)
+SELECT 1 AS power, {rounded("sum(v)")} AS value FROM c WHERE i = j
+UNION ALL SELECT 2, {rounded("sum(v * v)", 8)} FROM c
+UNION ALL SELECT 3, {rounded("sum(x.v * y.v * z.v)", 9)} FROM c x JOIN c y ON x.j = y.i JOIN c z ON y.j = z.i AND z.j = x.i"""

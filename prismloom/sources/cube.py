@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismloom.sources.storage import MOST_BROADCAST, beside, written
+
 PIXELS = "image_id string, row int, col int, spectrum array<float>, valid boolean"
 #: Nanometres by which the nearest band may be off before a warning.
 FAR_BAND = 50.0
@@ -23,6 +25,8 @@ class Cube:
     pixels: DataFrame
     wavelengths: tuple[float, ...]
     metadata: Mapping[str, object] = field(default_factory=dict)
+    #: What several operators ask of the same pixels, worked out once; a changed cube begins anew.
+    known: dict[str, DataFrame] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def __post_init__(self):
         missing = {"image_id", "row", "col", "spectrum", "valid"} - set(self.pixels.columns)
@@ -35,9 +39,15 @@ class Cube:
     def n_bands(self) -> int:
         return len(self.wavelengths)
 
+    def once(self, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+        """A small table about the pixels, written the first time that it is asked for."""
+        if name not in self.known:
+            self.known[name] = written(work(), name)
+        return self.known[name]
+
     def images(self) -> DataFrame:
         """(image_id, height, width)."""
-        return self.pixels.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+        return self.once("images", lambda: self.pixels.groupBy("image_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width")))
 
     def nearest_band(self, wavelength: float) -> int:
         """The band whose wavelength is nearest, of several the first; warns if it is far off."""
@@ -94,14 +104,14 @@ class Cube:
         """Reflectance clipped to two percentiles of each image and scaled to 0 to 1, as for display."""
         ends = percentiles(self.pixels.select("image_id", F.explode(F.col("spectrum").cast("array<double>")).alias("v")), (low, high))
         scaled = lambda x: (F.least(F.greatest(x.cast("double"), F.col("p")[0]), F.col("p")[1]) - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0] + 1e-9)
-        pixels = self.pixels.join(ends, "image_id").withColumn("spectrum", F.transform("spectrum", lambda x: scaled(x).cast("float")))
+        pixels = beside(self.pixels, ends, 64).withColumn("spectrum", F.transform("spectrum", lambda x: scaled(x).cast("float")))
         return replace(self, pixels=pixels.drop("p"))
 
     def crop(self, rows: slice | None = None, cols: slice | None = None) -> Cube:
         """Rows and columns by Python slices (negative ends and steps too), renumbered from 0; no slice changes nothing."""
         if rows is None and cols is None:
             return self
-        pixels = self.pixels.join(self.images(), "image_id")
+        pixels = beside(self.pixels, self.images(), 64)
         for name, size, part in (("row", "height", rows), ("col", "width", cols)):
             if part is not None:
                 inside, place = _sliced(F.col(name), F.col(size), part)
@@ -112,7 +122,7 @@ class Cube:
         """The square of the size in the middle of each image; an image no larger than it stays whole."""
         if size is None:
             return self
-        pixels = self.pixels.join(self.images(), "image_id")
+        pixels = beside(self.pixels, self.images(), 64)
         whole = (F.lit(size) >= F.col("height")) & (F.lit(size) >= F.col("width"))
         low = {n: F.floor((F.col(s) - size) / 2) for n, s in (("row", "height"), ("col", "width"))}
         # A side shorter than the size has a negative start, which counts from its end, as slices do.
@@ -125,36 +135,46 @@ class Cube:
         return replace(self, pixels=pixels.withColumns(moved).drop("height", "width"))
 
 
-#: Bins of a first look at the values of an image.
-BINS = 4096
+#: Bins of a look at the values in which a rank lies; values that are put in order instead of being looked at again.
+BINS, FEW = 4096, 4096
 
 
-def percentiles(values: DataFrame, shares: Sequence[float]) -> DataFrame:
+def percentiles(values: DataFrame, shares: Sequence[float], few: int = FEW) -> DataFrame:
     """(image_id, p): exact percentiles of the values v of each image, interpolated; nulls don't count, NaN is greatest.
 
-    Counts by bins find the few bins in which the sought ranks lie, and only their values are put in order, so no
-    task holds the values of a whole image.
+    Every round counts, for each sought rank, the values between the bounds it is known to lie within, by bins; the bin that
+    holds the rank gives the next bounds, its own least and greatest value, so a far outlier costs a round and no more.
+    A rank is found when its bounds meet, or when so few values lie between that they are put in order.
     """
     values = values.where("v IS NOT NULL")
-    finite = F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))
-    spread = values.groupBy("image_id").agg(F.count("*").alias("n"), F.min(finite).alias("least"), F.max(finite).alias("most"))
-    inner = F.least(F.floor((F.col("v") / BINS - F.col("least") / BINS) * F.try_divide(F.lit(float(BINS)), F.col("most") / BINS - F.col("least") / BINS)), F.lit(BINS - 1))
-    place = F.when(F.isnan("v"), BINS + 1).when(F.col("v") == float("inf"), BINS).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
-    binned = values.join(spread, "image_id").select("image_id", "n", "v", place.cast("int").alias("bin"))
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    spread = values.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.col("v") == float("-inf")).alias("low"), F.count(finite(F.col("v"))).alias("k"), F.count_if(F.isnan("v")).alias("nan"), F.min(finite(F.col("v"))).alias("lo"), F.max(finite(F.col("v"))).alias("hi"))
+    spread = written(spread, "spread")
     rank = lambda p, up: (F.ceil if up else F.floor)(F.lit(float(p)) * (F.col("n") - 1))
-    sought = F.array_distinct(F.array(*(rank(p, up) for p in shares for up in (False, True))))
-    upto = lambda *keys, by: F.sum("count").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
-    inside = lambda before: F.filter("ranks", lambda r: (r >= before) & (r < before + F.col("count")))
-    counts = binned.groupBy("image_id", "bin").agg(F.count("*").alias("count"), F.any_value("n").alias("n"))
-    counts = counts.select("image_id", "bin", "count", sought.alias("ranks"), F.coalesce(upto("image_id", by="bin"), F.lit(0)).alias("before"))
-    wanted = counts.withColumn("ranks", inside(F.col("before"))).where(F.size("ranks") > 0).drop("count")
-    near = binned.join(wanted, ["image_id", "bin"]).groupBy("image_id", "bin", "v").agg(F.count("*").alias("count"), F.any_value("n").alias("n"), F.any_value("ranks").alias("ranks"), F.any_value("before").alias("before"))
-    near = near.withColumn("before", F.col("before") + F.coalesce(upto("image_id", "bin", by="v"), F.lit(0)))
-    at = near.select("image_id", "n", "v", F.explode(inside(F.col("before"))).alias("rank")).groupBy("image_id").agg(F.any_value("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    sought = spread.select("*", F.explode(F.array_distinct(F.array(*(rank(p, up) for p in shares for up in (False, True))))).alias("rank"))
+    inner = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("k"))
+    beyond = F.when(F.col("rank") < F.col("low"), F.lit(float("-inf"))).when(F.col("rank") >= F.col("n") - F.col("nan"), F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    # (image_id, rank, before, lo, hi, k): k values between lo and hi come after as many as before.
+    open_ = written(sought.where(inner & (F.col("lo") < F.col("hi"))).select("image_id", "rank", F.col("low").alias("before"), "lo", "hi", "k"), "ranks")
+    found = sought.where(~(inner & (F.col("lo") < F.col("hi")))).select("image_id", "rank", F.when(inner, F.col("lo")).otherwise(beyond).alias("v"))
+    upto = lambda keys, by: F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count"))
+    while not open_.isEmpty():
+        # A few rows an image: each rank travels with its bounds to all values.
+        bounds = open_.groupBy("image_id").agg(F.collect_list(F.struct("rank", "before", "lo", "hi", "k")).alias("b"))
+        near = values.join(F.broadcast(bounds) if bounds.count() * 1024 <= MOST_BROADCAST else bounds, "image_id").select("image_id", "v", F.explode(F.filter("b", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))).alias("b")).select("image_id", "v", "b.*")
+        bin_ = F.when(F.col("k") > few, F.coalesce(F.least(F.floor(F.try_divide(F.col("v") / BINS - F.col("lo") / BINS, F.col("hi") / BINS - F.col("lo") / BINS) * BINS), F.lit(BINS - 1)), F.lit(0)))
+        # Where few values are left, each is a bin of its own.
+        counts = near.withColumn("bin", bin_).withColumn("own", F.when(F.col("bin").isNull(), F.col("v"))).groupBy("image_id", "rank", "bin", "own").agg(F.count("*").alias("count"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.any_value("before").alias("start"))
+        placed = counts.withColumn("before", F.col("start") + upto(["image_id", "rank"], "lo"))
+        now = written(placed.where(held).select("image_id", "rank", "before", "lo", "hi", F.col("count").alias("k")), "ranks")
+        found = found.unionByName(now.where("lo = hi").select("image_id", "rank", F.col("lo").alias("v")))
+        open_ = now.where("lo < hi")
+    at = found.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")).join(spread.select("image_id", "n"), "image_id")
     part = lambda p: F.lit(float(p)) * (F.col("n") - 1) - rank(p, False)
     low, high = (lambda p: F.col("at")[rank(p, False)]), (lambda p: F.col("at")[rank(p, True)])
     ends = F.array(*(F.when(part(p) == 0, low(p)).otherwise(low(p) * (1 - part(p)) + high(p) * part(p)) for p in shares))
-    return at.select("image_id", ends.alias("p"))
+    return written(at.select("image_id", ends.alias("p")), "percentiles")
 
 
 def _sliced(at: Column, size: Column, part: slice) -> tuple[Column, Column]:
@@ -218,5 +238,7 @@ def embeddings_cube(spark: SparkSession, sf_dir: str) -> Cube:
     """The embeddings table as one image: 25 pixels a row, reflectance 0.5 + 0.5 * component, 400 to 1000 nm."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     place = {"row": F.floor(F.col("vec_id") / WIDTH).cast("int"), "col": (F.col("vec_id") % WIDTH).cast("int")}
-    pixels = vectors.select(F.lit("embeddings").alias("image_id"), place["row"].alias("row"), place["col"].alias("col"), F.transform("embedding", lambda x: F.lit(0.5).cast("float") + F.lit(0.5).cast("float") * x).alias("spectrum"), F.lit(True).alias("valid"))
+    # Told from the row, not a constant, so joins by image stay joins by a key.
+    name = F.when(F.col("vec_id").isNotNull(), F.lit("embeddings"))
+    pixels = vectors.select(name.alias("image_id"), place["row"].alias("row"), place["col"].alias("col"), F.transform("embedding", lambda x: F.lit(0.5).cast("float") + F.lit(0.5).cast("float") * x).alias("spectrum"), F.lit(True).alias("valid"))
     return Cube(pixels, tuple(400 + 600 * b / (BANDS - 1) for b in range(BANDS)), {"source": "embeddings"})

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,20 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/prismloom/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of models that are broadcast at most; beyond, rows of an image are dealt to so many slots, each with the image's model.
+MOST_BROADCAST, SLOTS = 64 << 20, 64
+
+
+def beside(rows: DataFrame, models: DataFrame, bytes_each: int, most: int = MOST_BROADCAST, deal: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """Rows (image_id, ...) joined to models, a row an image, that are written or as quick to count.
+
+    Models are counted, and broadcast if all take no more than ``most`` bytes; otherwise each is repeated for SLOTS parts of its
+    image, to which rows are dealt by some of their columns, so that no task gets a whole image.
+    """
+    if models.count() * bytes_each <= most:
+        return rows.join(F.broadcast(models), "image_id")
+    slot = F.pmod(F.xxhash64(*deal), F.lit(SLOTS)).cast("int")
+    spread = models.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    return rows.withColumn("_slot", slot).join(spread, ["image_id", "_slot"]).drop("_slot")

@@ -87,3 +87,22 @@ def test_percentiles_of_values_without_end(spark):
     rows = [("i", v) for v in (float("inf"), float("-inf"), 1.0, float("nan"), 2.0)]
     found = percentiles(spark.createDataFrame(rows, "image_id string, v double"), (0.0, 0.25, 0.5, 0.75, 1.0)).collect()
     np.testing.assert_equal(found[0]["p"], [float("-inf"), 1.0, 2.0, float("inf"), float("nan")])
+
+
+def test_percentiles_beside_an_outlier(spark):
+    """An outlier by hundreds of orders of magnitude leaves a million values in one bin, which is looked into again, not put in order."""
+    rows = spark.range(1_000_000).selectExpr("'i' AS image_id", "IF(id = 7, 1e300D, (id * 7919 % 1000003) / 1000003D) AS v").repartition(6)
+    values = np.array([1e300 if i == 7 else (i * 7919 % 1000003) / 1000003 for i in range(1_000_000)])
+    shares = (0.02, 0.5, 0.98)
+    for few in (4096, 8):
+        found = percentiles(rows, shares, few).first()["p"]
+        np.testing.assert_allclose(found, np.quantile(values, shares), rtol=1e-12)
+
+
+def test_percentiles_of_all_magnitudes(spark):
+    """Rounds go on until few values are left, at whatever scale they lie."""
+    rng = np.random.RandomState(2)
+    values = np.r_[10.0 ** rng.uniform(-300, 300, 4000), -(10.0 ** rng.uniform(-300, 300, 4000)), 0.0, np.full(50, 1e-5)]
+    rows = spark.createDataFrame([("i", float(x)) for x in values], "image_id string, v double")
+    shares = (0.0, 0.1, 0.3, 0.5, 0.77, 1.0)
+    np.testing.assert_allclose(percentiles(rows, shares, 16).first()["p"], np.quantile(values, shares), rtol=1e-12)

@@ -12,11 +12,13 @@ from prismloom.functions.wavelets import MODES, most_levels, step_matrices, tran
 from prismloom.operators.moment import GeometricMomentExtractor, LegendreMomentExtractor, ZernikeMomentExtractor, geometric_kernels, orders, zernike_kernels, zernike_orders
 from prismloom.operators.morphology import MPExtractor, dilated, eroded, footprint
 from prismloom.operators.reconstruction import geodesic, reconstructed
+from prismloom.operators import reduction
 from prismloom.operators.reduction import EDGE, ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, divergence
 from prismloom.operators.spectral import NDVIExtractor, NDWIExtractor, SAVIExtractor
 from prismloom.operators.texture import HARALICK, GaborExtractor, GLCMExtractor, LBPExtractor, haralick
 from prismloom.operators.wavelet import DWT1DExtractor, DWT2DExtractor, DWT3DExtractor
-from prismloom.sources.cube import from_arrays
+from prismloom.sources.cube import embeddings_cube, from_arrays
+from prismloom.sources.storage import beside
 
 
 def draw(h, w, b, seed=42):
@@ -488,3 +490,74 @@ def test_geodesic_against_single_steps(spark, h, w, tile):
         got[r["image_id"]][r["row"], r["col"]] = r["values"]
     for name in want:
         np.testing.assert_array_equal(got[name], want[name])
+
+
+def test_noise_of_tiles_and_holes(spark):
+    """Differences across tiles count once; a missing pixel has none."""
+    a = draw(9, 7, 3).astype(float)
+    cube = cube_of(spark, a)
+    x = a.astype(np.float32).astype(float)
+    for tile in (64, 4, 2, 1):
+        found = np.array(reduction.noise_scatter(replace(cube), tile).first()["gram"])
+        d = np.concatenate([np.diff(x, axis=0).reshape(-1, 3), np.diff(x, axis=1).reshape(-1, 3)])
+        d = np.hstack([np.ones((len(d), 1)), d])
+        np.testing.assert_allclose(found, d.T @ d, atol=1e-9)
+    holed = replace(cube, pixels=cube.pixels.where("NOT (row = 3 AND col = 3)"))
+    assert reduction.noise_scatter(holed, 4).first()["gram"][0][0] == 8 * 7 + 9 * 6 - 4
+
+
+def test_mnf_asks_for_neighbours(spark):
+    for shape in ((1, 5), (5, 1)):
+        with pytest.raises(ValueError, match="2 x 2"):
+            MNFExtractor().extract(cube_of(spark, draw(*shape, 4)))
+    gram = np.diag([5.0, 1.0, 1.0, 1.0])
+    with pytest.warns(UserWarning, match="below 0"):
+        reduction.noise_ordered(gram, np.diag([5.0, -1.0, 1.0, 1.0]), 2)
+
+
+def test_pp_asks_for_finite_pixels(spark):
+    a = draw(3, 3, 4)
+    a[:, :, 1] = np.nan
+    with pytest.raises(ValueError, match="finite"):
+        PPExtractor().extract(cube_of(spark, a))
+
+
+@pytest.mark.parametrize("whiten", ["unit-variance", "arbitrary-variance"])
+def test_ica_reconstruction_error(spark, whiten):
+    a = draw(9, 8, 6)
+    a[2, 3, 1] = np.inf
+    found = ICAExtractor(n_components=3, whiten=whiten, most_rounds=20).extract(cube_of(spark, a))
+    model = found.model.first()
+    x = a.reshape(-1, 6).astype(float)
+    x = x[np.isfinite(x).all(axis=1)]
+    centred = x - x.mean(axis=0)
+    back = centred @ np.array(model["components"]).T @ np.array(model["mixing_matrix"]).T
+    np.testing.assert_allclose(model["reconstruction_error"], np.mean((centred - back) ** 2), rtol=1e-9)
+    assert 0 < model["reconstruction_error"] < centred.var()
+
+
+def test_one_gram_for_all(spark, monkeypatch):
+    """Five extractors with components of their own sum one Gram matrix, and using their features sums none again."""
+    asked = []
+    monkeypatch.setattr(reduction, "gram", lambda *a, real=reduction.gram: asked.append(a) or real(*a))
+    cube = cube_of(spark, draw(6, 6, 5))
+    found = [e.extract(cube) for e in (PCAExtractor(2), PCAExtractor(3, whiten=True), MPExtractor(n_components=1, radii=(1,)), GLCMExtractor(window_sizes=(3,)), GeometricMomentExtractor(window_sizes=(3,)), MNFExtractor())]
+    assert len(asked) == 1
+    for f in found:
+        assert f.data.count() == 36
+        plan = f.data._jdf.queryExecution().executedPlan().toString()
+        assert "gram" not in plan or "MapInArrow" in plan
+    assert len(asked) == 1
+    PCAExtractor(2).extract(replace(cube, pixels=cube.pixels.where("row < 5")))
+    assert len(asked) == 2
+
+
+def test_models_beside_pixels(spark):
+    """Broadcast or dealt to slots, with the same rows, and by a hash of the key in either case."""
+    rows = spark.range(500).selectExpr("concat('i', id % 3) AS image_id", "int(id) AS row", "int(id % 7) AS col")
+    models = spark.createDataFrame([("i0", 1.0), ("i1", 2.0)], "image_id string, m double")
+    near, dealt = beside(rows, models, 100), beside(rows, models, 100, most=0)
+    assert sorted(near.collect()) == sorted(dealt.collect()) and near.count() == 334
+    cube = embeddings_cube(spark, "/root/testdata/sf0.001")
+    for data in (PCAExtractor().extract(cube).data, MNFExtractor().extract(cube).data, cube.pseudo_rgb().stretched().pixels, DWT2DExtractor().extract(cube).data):
+        assert "NestedLoop" not in data._jdf.queryExecution().executedPlan().toString()
