@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismloom.llm.storage import table, written
+from prismloom.llm.storage import table, tidied, written
 from prismloom.llm.words import mix, slices
 
 #: Bytes of text in a block, at least; a document is in one block.
@@ -248,7 +248,8 @@ def trained(blocks: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     for round in range(rounds if n else 0):
         shared = blocks.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights a class
         sent = _gradients(blocks, shared, round)
-        total = sent.groupBy("bucket").agg(F.array(*(F.sum(F.col("part")[j]) for j in range(2 * model.size))).alias("part")).collect()  # a row a bucket
+        with tidied(blocks.sparkSession):
+            total = sent.groupBy("bucket").agg(F.array(*(F.sum(F.col("part")[j]) for j in range(2 * model.size))).alias("part")).collect()  # a row a bucket
         both = np.zeros((BUCKETS, 2 * model.size))
         for r in total:
             both[r["bucket"]] = r["part"]

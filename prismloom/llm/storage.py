@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected inside leaves no shuffle files behind, instead of keeping them until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with a lineage that starts at a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -55,7 +69,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, kind)
     small_batches(df.sparkSession)
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismloom.llm import codebooks, whitening
+from prismloom.llm.storage import tidied, written
 from prismloom.llm.vectors import with_total
 
 NAN, INF = float("nan"), float("inf")
@@ -151,3 +152,14 @@ def test_whitening_of_odd_tables(spark):
     assert [(r["component"], r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in one] == [(1, 1, 0, None, 0.0, None), (2, 1, 0, None, 0.0, None)] * 2
     flat = whitening.whitened(table(spark, [(i, [i / 4, 1.0, i / 2], 1, "", "") for i in range(9)])).collect()
     assert {r["component"]: r["whitened"] is None for r in flat} == {1: False, 2: True, 3: True} and flat[0]["identity_error"] < 1e-9
+
+
+def test_tidied_restores_the_setting(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), tidied(spark):
+        assert spark.conf.get(key) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == was
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert table.count() == 7 and table.join(table, "k").count() == 7 and spark.conf.get(key) == was
