@@ -23,9 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, so their lineage ends there."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/prismloom/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark).rstrip('/')}/prismloom/{kind}-{uuid.uuid4().hex}"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")  # shuffle files go once the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of models that are broadcast at most; beyond, rows of an image are dealt to so many slots, each with the image's model.
