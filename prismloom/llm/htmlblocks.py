@@ -46,14 +46,31 @@ _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*+)"
 _PART = re.compile(r"[a-z]+", re.I)
 
 
+#: Block elements that stand beside their like in a text; where one stands is told by what is around it.
+_WITHIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd blockquote pre hr center caption table tbody thead tfoot tr figure figcaption".split())
+
+
+@dataclass(eq=False)
+class Home:
+    """An element that holds blocks: its number in page order, the element around it, the last number within it."""
+
+    number: int
+    around: Home | None
+    last: int
+
+    def within(self, other: Home) -> bool:
+        return other.number <= self.number <= other.last
+
+
 @dataclass
 class Block:
-    """White-space-trimmed text, how many of its characters are in links, its element and the marks of all above."""
+    """White-space-trimmed text, how many of its characters are in links, its element, the marks of all above, and its home."""
 
     text: str
     linked: int
     tag: str
     marks: frozenset[str]
+    home: Home
 
 
 def _names(tag: str, attributes: str) -> list[str]:
@@ -71,6 +88,8 @@ class _Open:
         self.tags: list[str] = []
         self.inner: list[str] = ["body"]
         self.marks: list[frozenset[str]] = [frozenset()]
+        self.homes: list[Home] = [Home(0, None, 0)]
+        self.last = 0
         self.count: dict[str, int] = {}
 
     def push(self, tag: str, names: list[str]) -> None:
@@ -79,12 +98,20 @@ class _Open:
         self.tags.append(tag)
         self.inner.append(tag if tag in BLOCK else self.inner[-1])
         self.marks.append(above.union(new) if new else above)
+        if tag in BLOCK and tag not in _WITHIN:
+            self.last += 1
+            self.homes.append(Home(self.last, self.homes[-1], self.last))
+        else:
+            self.homes.append(self.homes[-1])
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop_to(self, at: int) -> None:
         for tag in self.tags[at:]:
             self.count[tag] -= 1
-        del self.tags[at:], self.marks[at + 1 :], self.inner[at + 1 :]
+        for home in self.homes[at + 1 :]:
+            if home is not self.homes[at]:
+                home.last = self.last
+        del self.tags[at:], self.marks[at + 1 :], self.inner[at + 1 :], self.homes[at + 1 :]
 
     def find(self, wanted: tuple[str, ...], scope: frozenset[str]) -> int:
         """Where the innermost wanted element stands that no element of the scope hides, or -1."""
@@ -118,14 +145,15 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """The leaf blocks of a page in order, those without text left out; of marks only the known ones, if given."""
     out: list[Block] = []
     above, parts, linked = _Open(known), [], 0
-    where: tuple[str, frozenset[str]] = ("", frozenset())
+    nowhere = ("", frozenset(), above.homes[0])
+    where: tuple[str, frozenset[str], Home] = nowhere
 
     def text(raw: str) -> None:
         nonlocal linked, where
         if not raw:
             return
         if not parts or not where[0]:
-            where = (above.inner[-1], above.marks[-1]) if raw.strip() else ("", frozenset())
+            where = (above.inner[-1], above.marks[-1], above.homes[-1]) if raw.strip() else nowhere
         parts.append(html.unescape(raw) if "&" in raw else raw)
         if above.count.get("a"):
             linked += len(parts[-1].strip())
@@ -135,7 +163,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
         if parts:
             whole = " ".join("".join(parts).split())
             if whole:
-                out.append(Block(whole, linked, where[0] or "body", where[1]))
+                out.append(Block(whole, linked, where[0] or "body", where[1], where[2]))
             parts.clear()
             linked = 0
 
@@ -168,4 +196,6 @@ def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             if name not in VOID:
                 above.push(name, _names(name, m["more"]) if "=" in m["more"] else [])
     close()
+    above.homes[0].last = above.last
+    above.pop_to(0)
     return out

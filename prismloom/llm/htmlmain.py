@@ -1,8 +1,9 @@
 """Main text of web pages, by a linear-chain conditional random field over their leaf blocks.
 
 Every leaf block is main text or not. Its score comes from the elements above it (names of tags, words of
-their classes and ids) and from its text (length, share of links, punctuation, cue words); the chain adds what
-neighbours say of each other. Weights are trained by gradient descent on the exact likelihood (forwards and
+their classes and ids), from its text (length, share of links, punctuation, cue words) and from its place (how it
+compares with the page's longest block, whether it stands in the element that holds most text); the chain adds what
+neighbours say of each other, apart for those of one element and others. Weights are trained by gradient descent on the exact likelihood (forwards and
 backwards over the chain) of labelled pages, and the best sequence of labels is found by Viterbi.
 
 ``labelled_pages`` makes the labelled pages: layouts drawn at random, whose blocks are known to be main
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,49 +35,88 @@ MARK = "\ue000"
 CUES = re.compile(
     r"cookies?\b|consent\b|privacy\b|copyright\b|all rights reserved\b|subscribe\b|newsletter\b|sign ?(?:up|in)\b|log ?in\b|advert(?:isement)?s?\b|sponsored\b|promoted\b|repl(?:y|ies)\b|comments?\b|share\b|tweet\b|related\b|read more\b|terms\b|search\b|follow us\b|javascript\b|accept\b|menu\b|home\b|skip to\b|©|&copy;"
 )
+#: What ends a sentence before another.
+STOPS = (". ", "! ", "? ", "… ", "。", "！", "？", "। ", "۔ ", "؟ ")
 _STOP = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
 def features(block: Block) -> list[str]:
-    """Names of what holds of a block's text and element."""
+    """Names of what holds of a block's text and element. Sizes are bytes of UTF-8, so that scripts of many letters compare."""
     text, n = block.text, len(block.text)
     link = block.linked / n
     low = text.lower()
     cues = sum(1 for m in CUES.finditer(low) if not m.start() or not low[m.start() - 1].isalnum())
     words = text.count(" ") + 1
     return [
-        f"tag:{block.tag}", f"size:{min(9, n.bit_length())}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}",
+        f"tag:{block.tag}", f"tag:{block.tag},told:{not TELLING.isdisjoint(block.marks)}", f"links:{0 if link == 0 else 1 if link < 0.5 else 2}", f"stop:{bool(_STOP.search(text))}",
         f"cues:{0 if not cues else 1 if cues * 12 < words else 2}", f"digits:{sum(map(text.count, '0123456789')) * 4 > n}",
+        *(f"size>{k}" for k in range(0, len(text.encode("utf-8", "replace")).bit_length(), 2)),
     ]
 
 
+def places(page: list[Block]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Of each block: names of what its place says, four numbers, and whether the block before shares its element.
+
+    The numbers are logarithms (base 2) without an end: of the block's size, of the longest block over it, of the text
+    of the element that holds most over that of the block's own, and of the ends of sentences. Text in links doesn't count.
+    """
+    size = np.array([len(b.text.encode("utf-8", "replace")) for b in page], dtype=float)
+    own = size * [1 - min(1, b.linked / len(b.text)) for b in page] + 1
+    held: dict[int, float] = {}
+    blocks_in: dict[int, int] = {}
+    for b, s in zip(page, own.tolist(), strict=True):
+        held[b.home.number] = held.get(b.home.number, 0) + s
+        blocks_in[b.home.number] = blocks_in.get(b.home.number, 0) + 1
+    most = max(held, key=held.get)
+    top = next(b.home for b in page if b.home.number == most)
+    longest = int(own.argmax())
+    names, near = [], {}
+    for i, b in enumerate(page):
+        h = b.home
+        if h.number not in near:
+            kin = "same" if h is top else "inside" if h.within(top) else "kin" if h.around is top.around else "around" if top.within(h) else "apart"
+            near[h.number] = [f"home:{kin}", f"alone:{blocks_in[h.number] == 1}", f"home:{kin},alone:{blocks_in[h.number] == 1}"]
+        names.append([*near[h.number], f"side:{'at' if i == longest else 'before' if i < longest else 'after'}"])
+    ends = np.array([sum(map(b.text.count, STOPS)) for b in page])
+    numbers = np.log2(np.stack([size + 1, own[longest] / own, held[most] / np.array([held[b.home.number] for b in page]), ends + 1], axis=1)) / 4
+    together = np.array([0, *(int(a.home is b.home) for a, b in zip(page, page[1:]))])
+    return names, numbers, together
+
+
+#: Names of the numbers of a place among the weights.
+NUMBERS = ("n:size", "n:longest", "n:held", "n:ends")
+
+
 @dataclass
 class Model:
-    """Score of main text over other text by feature, and by (label before, label); then of the first label."""
+    """Score of main text over other text by feature, and by (same element or not, label before, label); then of the first label."""
 
     weights: dict[str, float]
     steps: np.ndarray
     first: np.ndarray
 
-    def scores(self, page: list[Block]) -> list[float]:
+    def scores(self, page: list[Block]) -> tuple[list[float], list[int]]:
+        """The score of each block, and whether it shares its element with the block before."""
         get, above = self.weights.get, {}  # marks are few: the model knows some hundreds
-        out = []
-        for b in page:
+        names, numbers, together = places(page)
+        out = (numbers @ [get(k, 0.0) for k in NUMBERS] + get("bias", 0.0)).tolist()
+        for i, b in enumerate(page):
             if b.marks not in above:
                 above[b.marks] = sum(get(m, 0.0) for m in b.marks)
-            out.append(get("bias", 0.0) + above[b.marks] + sum(get(f, 0.0) for f in features(b)))
-        return out
+            out[i] += above[b.marks] + sum(get(f, 0.0) for f in features(b)) + sum(get(f, 0.0) for f in names[i])
+        return out, together.tolist()
 
     def labels(self, page: list[Block]) -> list[bool]:
         """The best sequence of labels, by Viterbi. A tie is not main text."""
         if not page:
             return []
-        (a, b), (c, d) = self.steps.tolist()
+        steps = self.steps.tolist()
         no, yes = self.first.tolist()
-        scores = self.scores(page)
+        scores, together = self.scores(page)
         yes += scores[0]
         back = []
-        for s in scores[1:]:
+        for s, kind in zip(scores[1:], together[1:], strict=True):
+            (a, b), (c, d) = steps[kind]
             to_no, to_yes = yes + c > no + a, yes + d > no + b
             back.append((to_no, to_yes))
             no, yes = max(no + a, yes + c), max(no + b, yes + d) + s
@@ -94,48 +134,56 @@ def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
 def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE) -> Model:
     """The model of greatest penalised likelihood, by Adam over all pages. Pages without blocks teach nothing."""
     pages = [p for p in pages if p[0]]
-    names = sorted({f for page, _ in pages for b in page for f in (*b.marks, *features(b))} | {"bias"})
+    told = [places(page) for page, _ in pages]
+    held = [[["bias", *b.marks, *features(b), *more] for b, more in zip(page, place[0], strict=True)] for (page, _), place in zip(pages, told, strict=True)]
+    names = [*NUMBERS, *sorted({f for page in held for own in page for f in own})]
     number = {f: i for i, f in enumerate(names)}
     longest = max(len(page) for page, _ in pages)
     n, length = len(pages), longest
     real, y = np.zeros((n, length), dtype=bool), np.zeros((n, length), dtype=np.int64)
+    kinds, value = np.zeros((n, length), dtype=np.int64), np.zeros((n, length, len(NUMBERS)))
     rows, ids = [], []
     for p, (page, labels) in enumerate(pages):
         real[p, : len(page)], y[p, : len(labels)] = True, labels
-        for i, b in enumerate(page):
-            own = [number["bias"], *(number[f] for f in (*b.marks, *features(b)))]
+        value[p, : len(page)], kinds[p, : len(page)] = told[p][1:]
+        for i, own in enumerate(held[p]):
             rows += [p * length + i] * len(own)
-            ids += own
+            ids += [number[f] for f in own]
     rows, ids = np.array(rows), np.array(ids)  # what holds, as (block, feature)
-    both = real[:, 1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    value = value.reshape(n * length, -1)
+    both, kinds = real[:, 1:], kinds[:, 1:]
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (kinds[both], y[:, :-1][both], y[:, 1:][both]), 1)
     seen_first = np.bincount(y[:, 0], minlength=2)
     total = real.sum()
-    params = np.zeros(len(names) + 6)
+    params = np.zeros(len(names) + 10)
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
-        w, steps, first = params[:-6], params[-6:-2].reshape(2, 2), params[-2:]
+        w, steps, first = params[:-10], params[-10:-2].reshape(2, 2, 2)[kinds], params[-2:]
         emit = np.zeros((n, length, 2))
-        emit[:, :, 1] = np.bincount(rows, w[ids], n * length).reshape(n, length)
+        emit[:, :, 1] = (np.bincount(rows, w[ids], n * length) + value @ w[: len(NUMBERS)]).reshape(n, length)
         ahead = np.zeros((n, length, 2))
         ahead[:, 0] = first + emit[:, 0]
         for i in range(1, length):
-            new = _log_add(ahead[:, i - 1, :, None] + steps, 1) + emit[:, i]
+            new = _log_add(ahead[:, i - 1, :, None] + steps[:, i - 1], 1) + emit[:, i]
             ahead[:, i] = np.where(real[:, i, None], new, ahead[:, i - 1])
         after = np.zeros((n, length, 2))
         for i in range(length - 2, -1, -1):
-            new = _log_add(steps + (emit[:, i + 1] + after[:, i + 1])[:, None, :], 2)
+            new = _log_add(steps[:, i] + (emit[:, i + 1] + after[:, i + 1])[:, None, :], 2)
             after[:, i] = np.where(real[:, i + 1, None], new, 0)
         z = _log_add(ahead[:, -1], 1)
         p = np.exp(ahead + after - z[:, None, None])[:, :, 1] * real
         pair = np.exp(ahead[:, :-1, :, None] + steps + (emit[:, 1:] + after[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        slope = np.concatenate([np.bincount(ids, (p - y * real).ravel()[rows], len(names)), (pair.sum(axis=(0, 1)) - seen).ravel(), np.exp(ahead[:, 0] + after[:, 0] - z[:, None]).sum(axis=0) - seen_first])
+        off = (p - y * real).ravel()
+        by_name = np.bincount(ids, off[rows], len(names))
+        by_name[: len(NUMBERS)] = off @ value
+        by_step = np.stack([pair[kinds == k].sum(axis=0) for k in (0, 1)]) - seen
+        slope = np.concatenate([by_name, by_step.ravel(), np.exp(ahead[:, 0] + after[:, 0] - z[:, None]).sum(axis=0) - seen_first])
         slope = slope / total + ridge * params
         mean += 0.1 * (slope - mean)
         square += 0.01 * (slope * slope - square)
         params -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return Model({f: float(v) for f, v in zip(names, params[:-6], strict=True)}, params[-6:-2].reshape(2, 2).copy(), params[-2:].copy())
+    return Model({f: float(v) for f, v in zip(names, params[:-10], strict=True)}, params[-10:-2].reshape(2, 2, 2).copy(), params[-2:].copy())
 
 
 #: Words of class and id by what an element holds.
@@ -151,6 +199,8 @@ NAMES = {
     "share": "share sharing social buttons toolbar tools actions follow".split(),
     "main": "content main article post entry story body text page prose primary articlebody".split(),
 }
+#: Marks that tell of other text than an article's.
+TELLING = frozenset(f".{name}" for kind, names in NAMES.items() if kind != "main" for name in names) | {f"<{tag}" for tag in ("nav", "header", "footer", "aside", "form", "dialog", "ins")}
 #: Elements that hold each kind besides a div.
 TAGS = {"menu": ("nav", "ul", "div"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "advert": ("div", "aside", "ins"), "notice": ("div", "section", "dialog"), "comments": ("section", "div", "aside"), "form": ("form", "div"), "share": ("div", "ul"), "main": ("article", "main", "div", "section")}
 #: Phrases that notices and the like use; most of their text is drawn at random.
@@ -173,12 +223,17 @@ NEUTRAL = "wrapper wrap container row col md lg inner outer region block module
 FAMILIES = ("semantic", "named", "bare", "table", "flat")
 
 
+#: Scripts beside the Latin one: whether words are parted by spaces, and the code points that letters are drawn from.
+SCRIPTS = ((True, 0x430, 0x450), (True, 0x3B1, 0x3CA), (True, 0x627, 0x64B), (True, 0x905, 0x93A), (False, 0x4E00, 0x9000), (False, 0x3042, 0x3094))
+
+
 class _Drawn:
     """A page of a family, drawn at random."""
 
     def __init__(self, rng: np.random.Generator, families: tuple[str, ...] = FAMILIES):
         self.rng = rng
         self.family = self.pick(families)
+        self.letters = self.pick(SCRIPTS) if rng.random() < 0.2 else None
 
     def pick(self, options):
         return options[int(self.rng.integers(len(options)))]
@@ -190,12 +245,18 @@ class _Drawn:
         return f"<{tag}{f' class={chr(34)}{names}{chr(34)}' if names else ''}>{inner}</{tag}>"
 
     def words(self, lo: int, hi: int) -> str:
-        out = ["".join(self.pick(_SYLLABLES) for _ in range(int(self.rng.integers(1, 4)))) for _ in range(int(self.rng.integers(lo, hi + 1)))]
+        n = int(self.rng.integers(lo, hi + 1))
+        if self.letters:
+            spaced, *span = self.letters
+            drawn = ["".join(map(chr, self.rng.integers(*span, int(self.rng.integers(1, 7 if spaced else 4))))) for _ in range(n)]
+            return (" " if spaced else "").join(drawn)
+        out = ["".join(self.pick(_SYLLABLES) for _ in range(int(self.rng.integers(1, 4)))) for _ in range(n)]
         junk = self.pick(("", "", "", "", "%%%", "###"))
         return " ".join(w + (junk if self.rng.random() < 0.5 else "") for w in out)
 
     def sentences(self, most: int) -> str:
-        return " ".join(self.words(1, 18).capitalize() + self.pick(".....?!") for _ in range(int(self.rng.integers(1, most + 1))))
+        ends, between = ("。。。？！", "") if self.letters and not self.letters[0] else (".....?!", " ")
+        return between.join(self.words(1, 18).capitalize() + self.pick(ends) for _ in range(int(self.rng.integers(1, most + 1))))
 
     def attributes(self, kind: str) -> str:
         if self.rng.random() < 0.25:
@@ -214,7 +275,8 @@ class _Drawn:
         if self.family == "bare" and (kind == "main" or kind in ("menu", "share", "footer", "header", "advert") and self.rng.random() < 0.3):
             return f"<ul>{inner}</ul>" if tag == "ul" else self.neutral(inner)
         if self.family == "table" and kind == "main":
-            return f"<table><tr><td{self.attributes(kind) if self.rng.random() < 0.3 else ''}>{inner}</td></tr></table>"
+            beside = f"<td>{self.pick(('<br>', ' | ', ' ')).join(f'<a href={chr(34)}/x{chr(34)}>{self.words(1, 3)}</a>' for _ in range(int(self.rng.integers(1, 6))))}</td>" if self.rng.random() < 0.4 else ""
+            return f"<table><tr>{beside}<td{self.attributes(kind) if self.rng.random() < 0.3 else ''}>{inner}</td></tr></table>"
         if self.family == "flat" and kind == "main":
             return inner
         named = self.attributes(kind) if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else f' class="{self.pick(NAMES[kind])}"'
@@ -240,16 +302,31 @@ class _Drawn:
         wrap = self.pick(("{}", "<p>{}</p>", "<span>{}</span>", "<div>{}</div>", '<a href="/y">{}</a>', "<h3>{}</h3>"))
         return self.within(kind, "\n".join(wrap.format(x) for x in inner) if wrap != "{}" else " ".join(inner))
 
+    def short(self) -> list[str]:
+        """Main text of few blocks, or of text that stands in its element without one of its own."""
+        mark = lambda s: MARK + s
+        out = [f"<h{self.pick((1, 1, 2))}>{mark(self.words(2, 12))}</h1>"] if self.rng.random() < 0.4 else []
+        kind, n = self.rng.random(), int(self.rng.integers(1, 7))
+        if kind < 0.3:
+            return [*out, mark(self.sentences(9 * self.pick((1, 1, 2, 4))))]
+        if kind < 0.6:
+            return [*out, mark(self.pick(("<br>", "<br><br>", "<br/>\n<br/>")).join(self.sentences(3) for _ in range(n + 1)))]
+        wrap = self.pick(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<div><p>{}</p></div>", "<section><p>{}</p></section>"))
+        return [*out, *(wrap.format(mark(" ".join(self.sentences(6) for _ in range(1 + n // 3)))) for _ in range(int(self.rng.integers(1, 4))))]
+
     def body(self) -> list[str]:
         """Blocks of main text."""
+        if self.rng.random() < 0.5:
+            return self.short()
         mark = lambda s: MARK + s
         out = [f"<h{self.pick((1, 1, 2))}>{mark(self.words(2, 12))}{self.pick(('', '.'))}</h1>"] if self.rng.random() < 0.8 else []
+        paragraph = self.pick(("<p>{}</p>",) * 6 + ("<div>{}</div>", "<div><p>{}</p></div>"))
         for _ in range(int(self.rng.integers(1, 13))):
             kind = self.rng.random()
             if kind < 0.1:  # articles use such words too; what stands above them must tell
                 out.append(f"<p>{mark(self.pick(PHRASES[self.pick(sorted(PHRASES))]))}{self.pick(('', ' ' + self.sentences(2)))}</p>")
             elif kind < 0.68:
-                out.append(f"<p>{mark(self.sentences(9))}</p>")
+                out.append(paragraph.format(mark(self.sentences(9))))
             elif kind < 0.76:
                 out.append(f"<p><b>{mark(self.sentences(4))}<br>")
             elif kind < 0.82:
@@ -269,7 +346,7 @@ class _Drawn:
     def page(self) -> str:
         body = self.body()
         for kind in ("advert", "share", "notice", "form", "sidebar"):
-            if self.rng.random() < 0.12:
+            if self.rng.random() < 0.15:
                 body.insert(int(self.rng.integers(len(body) + 1)), self.other(kind))
         if self.rng.random() < 0.1:
             body.append(self.other("comments"))
@@ -289,7 +366,7 @@ def labelled(page: str) -> tuple[list[Block], list[bool]]:
     """The blocks of a page whose main text has marks, without the marks, and the labels."""
     found = blocks(page)
     labels = [MARK in b.text for b in found]
-    return [Block(b.text.replace(MARK, ""), b.linked, b.tag, b.marks) for b in found], labels
+    return [replace(b, text=b.text.replace(MARK, "")) for b in found], labels
 
 
 def labelled_pages(n: int, seed: int = 19, families: tuple[str, ...] = FAMILIES) -> list[tuple[list[Block], list[bool]]]:
