@@ -7,6 +7,8 @@ where SQL can follow; those without take principal components or all bands, with
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +25,8 @@ from prismloom.operators.wavelet import DWT1DExtractor, DWT2DExtractor, DWT3DExt
 from prismloom.plans import oracle
 from prismloom.plans.space import FeatureSpace
 from prismloom.sources.cube import BANDS, Cube, embeddings_cube
+from prismloom.sources.cubefiles import read_array_cube, write_cube
+from prismloom.sources.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +70,13 @@ def _masked(cube: Cube) -> DataFrame:
     return _spectra(marked).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def _array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube written as blocks of arrays and read back through the data source."""
+    path = f"{shared_dir(spark).rstrip('/')}/prismloom/cube-{uuid.uuid4().hex}"
+    write_cube(embeddings_cube(spark, sf_dir), path)
+    return _spectra(read_array_cube(spark, path))
+
+
 def _matrix(matrices: DataFrame, scale: float, less: int = 1) -> DataFrame:
     """(i, j, value) of the covariance of each image, by the number of pixels less 1 or 0."""
 
@@ -126,6 +137,7 @@ def queries() -> dict[str, Query]:
         "hsi_stretched": _cube(lambda c: _spectra(c.pseudo_rgb().stretched())),
         "hsi_masked": _cube(_masked),
         "hsi_band": _cube(lambda c: c.band(10).select("row", "col", rounded(F.col("value")).alias("value"))),
+        "hsi_array_files": _array_files,
         "hsi_pixel": _cube(lambda c: c.pixel(3, 4).select(F.posexplode("spectrum").alias("k", "v")).select("k", rounded(F.col("v").cast("double")).alias("value"))),
         "band_cov": _cube(lambda c: _matrix(scatter(c), 1.0)),
         "noise_cov": _cube(lambda c: _matrix(noise_scatter(c), 0.5)),
@@ -184,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "savi": oracle.index(f"({nir} - {red}) * 1.5 / ({nir} + {red} + 0.5)"),
         "hsi_describe": f"WITH {oracle.PIXELS} SELECT h AS height, w AS width, {BANDS} AS bands, 400.0::DOUBLE AS wavelength_min, 1000.0::DOUBLE AS wavelength_max, count(*) AS valid_pixels, count(*) AS total_pixels FROM px, dims GROUP BY h, w",
         "hsi_crop": _hsi("row >= 2 AND row < h - 3 AND col % 2 = 0", "row - 2", "col // 2"),
+        "hsi_array_files": _hsi(),
         "hsi_crop_center": _hsi(f"row >= {middle[0]} AND row < {middle[0]} + 10 AND col >= {middle[1]} AND col < {middle[1]} + 10", f"row - {middle[0]}", f"col - {middle[1]}"),
         "hsi_pseudo_rgb": _hsi(bands=str(list(oracle.RGB))),
         "hsi_stretched": f"""WITH {oracle.CELLS}, e AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM cells)
