@@ -35,15 +35,19 @@ STRICT = {
 #: Found in every text with a match that could stay; texts without are not searched further.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
-#: Looser forms: spelt-out addresses, IPv6, cards of 13 to 19 digits, numbers without a plus; long words with a digit.
+#: Words that name a telephone number or a password right before it.
+_DIALLED = r"(?i:call|phone|tel|telephone|telefon|t[eé]l[eé]phone|tel[eé]fono|mobile|mobil|handy|fax|whatsapp|ring)"
+_PASSWORD = r"(?i:password|passwd|passphrase|pwd|passwort|contraseña|mot\x20de\x20passe)"
+#: Looser forms: spelt-out addresses, IPv6, cards of 13 to 19 digits, numbers without a plus (national ones only after a word
+#: that names them; four digits before 00 are an account's); long words with a digit, and shorter ones said to be passwords.
 LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9][\x20().0-9-]{6,20}[0-9]|00[1-9][\x20().0-9-]{6,18}[0-9]|\(0?[0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,4}|0?[0-9]{2,3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+(?![.@])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9][\x20().0-9-]{6,20}[0-9]|(?<![0-9]{4}\x20)00[1-9][\x20().0-9-]{6,18}[0-9]|0[1-9](?<=(?<![A-Za-z0-9])" + _DIALLED + r"[.:]{0,2}\x20{0,2}0[1-9])[\x20/0-9-]{5,14}[0-9]|\(0?[0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,4}|0?[0-9]{2,3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+(?![.@])|(?<=(?<![A-Za-z0-9])" + _PASSWORD + r"\x20?[:=]\x20?)(?=[^\s\"'<>,;]{0,40}[0-9])[^\s\"'<>,;]{6,}+",
 }
-LOOSE_HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9)][\x20.-][0-9]", "secret": r"[A-Za-z0-9_/+=-]{16}"}
+LOOSE_HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9)][\x20./-][0-9]|0[1-9][0-9]{6}", "secret": r"[A-Za-z0-9_/+=-]{16}|" + _PASSWORD + r"\x20?[:=]"}
 
 #: Gazetteers. Top-level domains of two letters are countries' or shaped like theirs; calling codes by zone.
 DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "coop", "museum", "aero", "jobs", "mobi", "travel", "tel", "asia", "cat", "app", "dev", "page", "cloud", "online", "site", "store", "shop", "tech", "blog", "news", "email", "mail", "live", "life", "world", "xyz", "top", "club", "agency", "group", "solutions", "systems", "services", "media", "digital", "design", "studio", "bank", "law", "health", "academy", "school", "university", "berlin", "london", "paris", "tokyo", "swiss", "eus", "bzh", "example", "test", "local")
@@ -162,6 +166,8 @@ def votes(kind: str, text: Column, span: Column, strict: Column) -> dict[str, Co
         hexadecimal = hit.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
         mixed = hit.rlike("[A-Z]") & hit.rlike("[a-z]") & (F.length(number) >= 3)
         structure = _vote(hexadecimal | mixed, ~hit.rlike(PREFIXES) & ((F.length(number) < 3) | (F.length(number) > F.length(hit) - 3) | hit.rlike("^[A-Za-z_-]+[0-9]+$")))
+        told = before.rlike(_PASSWORD + r"\x20?[:=]\x20?$")
+        structure = F.when(told, 1).otherwise(structure)
         spelt = hit.rlike("[_/+=-]")
     else:
         code = F.regexp_replace(hit, "[^0-9+]", "")
