@@ -45,7 +45,7 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9][\x20().0-9-]{6,20}[0-9]|(?<![0-9]{4}\x20)00[1-9][\x20().0-9-]{6,18}[0-9]|0[1-9](?<=(?<![A-Za-z0-9])" + _DIALLED + r"[.:]{0,2}\x20{0,2}0[1-9])[\x20/0-9-]{5,14}[0-9]|\(0?[0-9]{2,4}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,4}|0?[0-9]{2,3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+(?![.@])|(?<=(?<![A-Za-z0-9])" + _PASSWORD + r"\x20?[:=]\x20?)(?=[^\s\"'<>,;]{0,40}[0-9])[^\s\"'<>,;]{6,}+",
+    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+(?![.@])|(?<=[:=]|[:=]\x20)(?<=(?<![A-Za-z0-9])" + _PASSWORD + r"\x20?[:=]\x20?)(?=[^\s\"'<>,;]{0,40}[0-9])[^\s\"'<>,;]{6,}+",
 }
 LOOSE_HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9)][\x20./-][0-9]|0[1-9][0-9]{6}", "secret": r"[A-Za-z0-9_/+=-]{16}|" + _PASSWORD + r"\x20?[:=]"}
 
