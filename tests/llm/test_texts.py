@@ -84,6 +84,19 @@ def test_repeated_benchmark_rows(spark, max_index):
         assert (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) == (n, hit, found, bad), i
 
 
+@pytest.mark.parametrize(("max_index", "most"), [(2_000_000, 64 << 20), (2_000_000, 0), (60, 0)])
+def test_passage_of_many_items_and_repeated_documents(spark, max_index, most):
+    rng = np.random.default_rng(8)
+    shared, long = phrase(rng, 40, "s"), phrase(rng, 90, "l")
+    items = [(i, f"own{i} {shared}" if i % 3 else shared) for i in range(40)] + [(99, long), (98, " ".join(long.split()[20:60]))]
+    texts = [shared, f"{phrase(rng, 50)} {shared} x {shared}", long, phrase(rng, 2000) + " " + long, shared, None, None, "", "+", phrase(rng, 30), long]
+    ids = [0, 1, 2, 3, 0, 5, 5, 6, 7, 8, 9]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.decontaminate(documents(spark, texts, ids).repartition(3), bench, keys=["doc_id", "lang"], max_index=max_index, most_broadcast=most)
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found.collect())
+    assert got == sorted((i, n, hit, tuple(of), bad) for i, (n, hit, of, bad) in zip(ids, brute_contamination(texts, items), strict=True))
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     texts = [*some_texts(), "<|endoftext|>x<|endoftext|>", "it's we'll\r\n\r\n  9 99", "a" * 3000, "\x00\x7f", "🙂 emoji 🙂🙂", "a\x1c\x1cb \x85\x85c", "x\t\ty\x0b z\x0c", "\u3000\u2028a", "²½ Ⅷ"]
