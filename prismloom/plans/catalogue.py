@@ -164,6 +164,7 @@ def queries() -> dict[str, Query]:
         "glcm_rgb_equalized": _of(GLCMExtractor(spectral_reduction=None), rgb=True, digits=5),
         "lbp": _of(LBPExtractor()),
         "lbp_rgb": _of(LBPExtractor(radius=1, n_points=4, method="default", spectral_mode="bands", band_indices=(0, 1, 2)), rgb=True),
+        "lbp_rgb_ror": _of(LBPExtractor(spectral_mode="bands", band_indices=(0, 1, 2)), rgb=True),
         "gabor": _of(GaborExtractor()),
         "gabor_rgb": _of(GaborExtractor(), rgb=True),
         "gabor_opponent_rgb": _of(GaborExtractor(use_opponent=True), rgb=True),
@@ -222,6 +223,7 @@ SELECT row, col, CAST(c AS INTEGER) AS k, {oracle.rounded("CAST(CAST((least(grea
         "glcm_rgb": oracle.glcm(),
         "glcm_rgb_equalized": oracle.glcm(equalize=True),
         "lbp_rgb": oracle.lbp(),
+        "lbp_rgb_ror": oracle.lbp_turned(),
         "gabor": oracle.gabor(range(BANDS)),
         "gabor_rgb": oracle.gabor(),
         "gabor_opponent_rgb": oracle.gabor(opponent=True),

@@ -5,6 +5,7 @@ Kernels and transform matrices are written out as values; borders, neighbourhood
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -216,6 +217,23 @@ def lbp() -> str:
 SELECT row, col, CAST(c AS INTEGER) AS k, CAST({bits} AS DOUBLE) AS value FROM g p"""
 
 
+def lbp_turned(radius: int = 3, points: int = 24) -> str:
+    """Method ror: points on the circle between four pixels each, the least of all turned codes; beyond the image 0."""
+    places = []
+    for p in range(points):
+        r, q = round(-radius * math.sin(2 * math.pi * p / points), 5), round(radius * math.cos(2 * math.pi * p / points), 5)
+        r0, q0 = math.floor(r), math.floor(q)
+        places.append(f"({p}, {r0}, {q0}, {', '.join(f'{x!r}::DOUBLE' for x in (1 - r + r0, r - r0, 1 - q + q0, q - q0))})")
+    corners = [("a", 0, 0), ("b", 0, 1), ("d", 1, 0), ("e", 1, 1)]
+    joins = " ".join(f"LEFT JOIN g {n} ON {n}.c = g.c AND {n}.row = g.row + r0 + {i} AND {n}.col = g.col + q0 + {j}" for n, i, j in corners)
+    a, b, d, e = (f"coalesce({n}.v, 0)" for n, _, _ in corners)
+    return f"""WITH {CELLS}, g AS (SELECT row, col, c, floor(255 * (v - min(v) OVER (PARTITION BY c)) / (max(v) OVER (PARTITION BY c) - min(v) OVER (PARTITION BY c) + 1e-8)) AS v FROM cells),
+t AS (SELECT * FROM (VALUES {", ".join(places)}) t(p, r0, q0, up, down, near, far)),
+bits AS (SELECT g.row, g.col, g.c, p, up * (near * {a} + far * {b}) + down * (near * {d} + far * {e}) >= g.v AS bit FROM g CROSS JOIN t {joins}),
+codes AS (SELECT row, col, c, CAST(sum(CASE WHEN bit THEN 1::BIGINT << p ELSE 0 END) AS BIGINT) AS code FROM bits GROUP BY row, col, c)
+SELECT row, col, CAST(c AS INTEGER) AS k, CAST(list_min(list_transform(range(0, {points}), lambda s: (code >> s) + ((code & ((1::BIGINT << s) - 1)) << ({points} - s)))) AS DOUBLE) AS value FROM codes"""
+
+
 def _levels(levels: int, equalize: bool) -> str:
     """q: grey levels by each channel's range, or by its cumulated histogram of 256 bins between their centres."""
     ends = "ends AS (SELECT c, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 256 AS width, count(*) AS n FROM cells GROUP BY c)"
