@@ -163,6 +163,25 @@ def test_sharding(spark):
         assert sorted(r["slot"] for r in cells if r["shard"] == s) == list(range(sum(r["shard"] == s for r in cells)))
 
 
+def test_shards_are_cuts_of_one_order(spark):
+    rng = np.random.default_rng(2)
+    texts = [f"copy {int(g)} " * 5 for g in rng.integers(0, 40, 600)] + ["y" * int(n) for n in rng.integers(0, 200, 400)] + ["z" * 200_000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    rows = sharding.shard(docs, shards=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
+    # Equal texts stand together in the order of shards and slots.
+    runs = [k for k, r in enumerate(order) if not k or (texts[r["doc_id"]] or "") != (texts[order[k - 1]["doc_id"]] or "")]
+    assert len(runs) == len({t or "" for t in texts})
+    # Brute force: where that order would be cut into equal bytes. No boundary is off by more than the slack and the row it would cut.
+    below = np.concatenate([[0], np.cumsum([r["size"] for r in order])])
+    share = below[-1] / 4
+    for j in range(1, 4):
+        at = sum(r["shard"] < j for r in rows)
+        nearest = np.abs(below - share * j).min()
+        assert abs(below[at] - share * j) <= max(nearest, sharding.TOLERANCE * share)
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc_round_trip(spark, tmp_path, compression):
     warc.register(spark)
