@@ -83,7 +83,7 @@ class DWT2DExtractor(Extractor):
             whole = np.stack(out, axis=-2)  # row, column, band, level, part
             return whole.reshape(*whole.shape[:2], -1)
 
-        data = tiled(_cells(cube), cube.images(), "wrap", halo, kernel, multiple=1 << levels)
+        data = tiled(_cells(cube), cube.images(), "wrap", halo, kernel, multiple=1 << levels, gaps=True)
         return Feature(data, {"wavelet": wavelet, "levels": levels, "n_features": 4 * levels * cube.n_bands})
 
 
@@ -118,5 +118,5 @@ class DWT3DExtractor(Extractor):
                 values = by_key["a", "a", "a"]
             return np.concatenate(out, axis=2)
 
-        data = tiled(_cells(cube), cube.images(), "wrap", halo, kernel, multiple=1 << levels)
+        data = tiled(_cells(cube), cube.images(), "wrap", halo, kernel, multiple=1 << levels, gaps=True)
         return Feature(data, {"wavelet": wavelet, "levels": levels, "n_features": 8 * levels * bands})

@@ -15,7 +15,7 @@ from prismloom.operators.reconstruction import geodesic, reconstructed
 from prismloom.operators import reduction
 from prismloom.operators.reduction import EDGE, ICAExtractor, MNFExtractor, PCAExtractor, PPExtractor, divergence
 from prismloom.operators.spectral import NDVIExtractor, NDWIExtractor, SAVIExtractor
-from prismloom.operators.texture import HARALICK, GaborExtractor, GLCMExtractor, LBPExtractor, haralick
+from prismloom.operators.texture import HARALICK, GaborExtractor, GLCMExtractor, LBPExtractor, haralick, quantised, raw_bands
 from prismloom.operators.wavelet import DWT1DExtractor, DWT2DExtractor, DWT3DExtractor
 from prismloom.sources.cube import embeddings_cube, from_arrays
 from prismloom.sources.storage import beside
@@ -561,3 +561,56 @@ def test_models_beside_pixels(spark):
     cube = embeddings_cube(spark, "/root/testdata/sf0.001")
     for data in (PCAExtractor().extract(cube).data, MNFExtractor().extract(cube).data, cube.pseudo_rgb().stretched().pixels, DWT2DExtractor().extract(cube).data):
         assert "NestedLoop" not in data._jdf.queryExecution().executedPlan().toString()
+
+
+H, W, LAST = 67, 6, 4
+
+
+def short_cube(spark, bands=1):
+    """An image of 67 x 6 whose last row has four pixels, as a table has whose number of rows 6 doesn't divide; more than a tile high."""
+    a = draw(H, W, bands)
+    cube = cube_of(spark, a)
+    there = np.ones((H, W), dtype=bool)
+    there[-1, LAST:] = False
+    return replace(cube, pixels=cube.pixels.where((F.col("row") < H - 1) | (F.col("col") < LAST))), a.astype(float), there
+
+
+def short_image(feature, there):
+    """Features by place, NaN elsewhere; there must be a row for each pixel and none besides."""
+    rows = feature.data.collect()
+    assert sorted((r["row"], r["col"]) for r in rows) == sorted(zip(*(x.tolist() for x in np.nonzero(there)), strict=True))
+    out = np.full((*there.shape, len(rows[0]["features"])), np.nan)
+    for r in rows:
+        out[r["row"], r["col"]] = r["features"]
+    return out
+
+
+def windowed_pairs(q, there, r, c, dr, dc):
+    """Pairs of levels in the 3 x 3 window, the edge repeated and neighbours wrapped around, where both are there."""
+    found = {}
+    for y in range(r - 1, r + 2):
+        for x in range(c - 1, c + 2):
+            a = (min(max(y, 0), H - 1), min(max(x, 0), W - 1))
+            b = ((a[0] + dr) % H, (a[1] + dc) % W)
+            if there[a] and there[b]:
+                found[q[a], q[b]] = found.get((q[a], q[b]), 0) + 1 / 9
+    return found
+
+
+def check_short_glcm(spark, equalize):
+    cube, _, there = short_cube(spark)
+    q = np.full(there.shape, -1)
+    for row in quantised(raw_bands(cube), 4, equalize).collect():
+        q[row["row"], row["col"]] = row["values"][0]
+    got = short_image(GLCMExtractor(angles=(0, math.pi / 2), levels=4, window_sizes=(3,), equalize=equalize, spectral_reduction=None, features=("asm", "contrast")).extract(cube), there)
+    for r, c in zip(*np.nonzero(there), strict=True):
+        pairs = [windowed_pairs(q, there, r, c, *d) for d in ((0, 1), (1, 0))]
+        np.testing.assert_allclose(got[r, c], [np.mean([sum(v * v for v in p.values()) for p in pairs]), np.mean([sum((i - j) ** 2 * v for (i, j), v in p.items()) for p in pairs])], rtol=1e-9)
+
+
+def test_glcm_of_a_last_row_that_is_not_full(spark):
+    check_short_glcm(spark, False)
+    # A window's pairs with places that hold nothing don't count; without any pair it has no statistics.
+    i, j = np.array([[1, -1, 2], [-1, 1, -1]]), np.array([[0, 2, 2], [3, -1, -1]])
+    got = haralick(i, j, 256, ("asm", "contrast"))
+    np.testing.assert_allclose(got, [[2 / 9, 1 / 3], [np.nan, np.nan]])
