@@ -614,3 +614,7 @@ def test_glcm_of_a_last_row_that_is_not_full(spark):
     i, j = np.array([[1, -1, 2], [-1, 1, -1]]), np.array([[0, 2, 2], [3, -1, -1]])
     got = haralick(i, j, 256, ("asm", "contrast"))
     np.testing.assert_allclose(got, [[2 / 9, 1 / 3], [np.nan, np.nan]])
+
+
+def test_equalised_glcm_of_a_last_row_that_is_not_full(spark):
+    check_short_glcm(spark, True)
