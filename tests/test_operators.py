@@ -618,3 +618,15 @@ def test_glcm_of_a_last_row_that_is_not_full(spark):
 
 def test_equalised_glcm_of_a_last_row_that_is_not_full(spark):
     check_short_glcm(spark, True)
+
+
+def test_lbp_and_gabor_of_a_last_row_that_is_not_full(spark):
+    """Places without a pixel hold 0 and have no row."""
+    cube, a, there = short_cube(spark)
+    got = short_image(LBPExtractor(radius=1, n_points=4, method="default", spectral_mode="bands", band_indices=(0,)).extract(cube), there)
+    x, lo, hi = a[:, :, 0], a[there].min(), a[there].max()
+    q = np.pad(np.where(there, np.floor(255 * (x - lo) / (hi - lo + 1e-8)), 0), 1)
+    c = q[1:-1, 1:-1]
+    want = 1 * (q[1:-1, 2:] >= c) + 2 * (q[:-2, 1:-1] >= c) + 4 * (q[1:-1, :-2] >= c) + 8 * (q[2:, 1:-1] >= c)
+    np.testing.assert_array_equal(got[there][:, 0], want[there])
+    short_image(GaborExtractor().extract(cube), there)
