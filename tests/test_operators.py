@@ -630,3 +630,13 @@ def test_lbp_and_gabor_of_a_last_row_that_is_not_full(spark):
     want = 1 * (q[1:-1, 2:] >= c) + 2 * (q[:-2, 1:-1] >= c) + 4 * (q[1:-1, :-2] >= c) + 8 * (q[2:, 1:-1] >= c)
     np.testing.assert_array_equal(got[there][:, 0], want[there])
     short_image(GaborExtractor().extract(cube), there)
+
+
+@pytest.mark.parametrize("shapes", [("square",)])
+def test_profiles_of_a_last_row_that_is_not_full(spark, shapes):
+    cube, a, there = short_cube(spark)
+    got = short_image(MPExtractor(bands=(0,), radii=(2,), shapes=shapes).extract(cube), there)
+    for s, shape in enumerate(shapes):
+        at = footprint(shape, 2)
+        opened, closed = dilated(eroded(a[:, :, 0], there, at), there, at), eroded(dilated(a[:, :, 0], there, at), there, at)
+        np.testing.assert_allclose(got[there][:, 3 * s : 3 * s + 3], np.stack([opened, a[:, :, 0], closed], axis=2)[there])
