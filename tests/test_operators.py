@@ -632,7 +632,7 @@ def test_lbp_and_gabor_of_a_last_row_that_is_not_full(spark):
     short_image(GaborExtractor().extract(cube), there)
 
 
-@pytest.mark.parametrize("shapes", [("square",)])
+@pytest.mark.parametrize("shapes", [("square",), ("disk", "diamond", "line")])
 def test_profiles_of_a_last_row_that_is_not_full(spark, shapes):
     cube, a, there = short_cube(spark)
     got = short_image(MPExtractor(bands=(0,), radii=(2,), shapes=shapes).extract(cube), there)
