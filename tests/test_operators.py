@@ -640,3 +640,18 @@ def test_profiles_of_a_last_row_that_is_not_full(spark, shapes):
         at = footprint(shape, 2)
         opened, closed = dilated(eroded(a[:, :, 0], there, at), there, at), eroded(dilated(a[:, :, 0], there, at), there, at)
         np.testing.assert_allclose(got[there][:, 3 * s : 3 * s + 3], np.stack([opened, a[:, :, 0], closed], axis=2)[there])
+
+
+def test_reconstruction_of_a_last_row_that_is_not_full(spark):
+    """Nothing goes through places without a pixel: the dark end of the last row doesn't reach the dark pixel past them."""
+    cube, a, there = short_cube(spark)
+    a[:] = 1
+    a[-1], a[-2, -1] = 0, 0.25
+    flat = spark.createDataFrame([(r, c, float(a[r, c, 0])) for r, c in zip(*(x.tolist() for x in np.nonzero(there)), strict=True)], "row int, col int, v double")
+    cube = replace(cube, pixels=cube.pixels.drop("spectrum").join(flat, ["row", "col"]).withColumn("spectrum", F.array(F.col("v").cast("float"))))
+    got = short_image(MPExtractor(bands=(0,), radii=(1,), shapes=("line",), use_reconstruction=True).extract(cube), there)
+    x, at = a[:, :, 0], footprint("line", 1)
+    opened = dilated_within(np.where(there, eroded(x, there, at), -np.inf), np.where(there, x, -np.inf))
+    closed = -dilated_within(np.where(there, -dilated(x, there, at), -np.inf), np.where(there, -x, -np.inf))
+    assert closed[-2, -1] == 1 and closed[-1, 0] == 0
+    np.testing.assert_allclose(got[there], np.stack([opened, x, closed], axis=2)[there])
