@@ -1,9 +1,11 @@
 """Operators against plain numpy and against what must hold of their results."""
 
 import math
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -655,3 +657,25 @@ def test_reconstruction_of_a_last_row_that_is_not_full(spark):
     closed = -dilated_within(np.where(there, -dilated(x, there, at), -np.inf), np.where(there, -x, -np.inf))
     assert closed[-2, -1] == 1 and closed[-1, 0] == 0
     np.testing.assert_allclose(got[there], np.stack([opened, x, closed], axis=2)[there])
+
+
+def test_pursuit_s_tasks_hold_few_blocks(spark):
+    """Batches of blocks stay small, and so does what a task takes of one, however many pixels an image has."""
+    rng, k = np.random.RandomState(3), 40
+    x, c = rng.rand(4 * 4096, k), rng.rand(1000, k)
+    lists = lambda a: pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * k, pa.array(a.ravel()))
+    blocks = pa.ListArray.from_arrays(np.arange(5, dtype=np.int32) * 4096, lists(x))
+    one = pa.StructArray.from_arrays([pa.array(np.arange(1000)), lists(c)], ["candidate", "vector"])
+    every = pa.ListArray.from_arrays(np.arange(5, dtype=np.int32) * 1000, pa.concat_arrays([one] * 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 4), blocks, every], ["image_id", "x", "c"])
+    tracemalloc.start()
+    for i, names, scores in reduction.block_scores(batch):
+        np.testing.assert_allclose(np.concatenate([s[:, :3].copy() for s in scores]), x[4096 * i : 4096 * (i + 1)] @ c[:3].T)
+        assert names.to_pylist() == list(range(1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    PPExtractor(n_projections=1, pca_components=2).extract(cube_of(spark, draw(4, 4, 4)))
+    sizes = spark.range(0, 64, 1, 1).select(F.array_repeat(F.col("id").cast("double"), 1 << 16).alias("x")).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n bigint")
+    assert sizes.agg(F.max("n")).first()[0] <= 17
