@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,8 +179,30 @@ def _packed(lo: np.ndarray, hi: np.ndarray) -> bytes:
     return np.stack([lo, hi], axis=1).astype(np.int32).tobytes()
 
 
-def _unpacked(spans: bytes) -> np.ndarray:
-    return np.frombuffer(spans, dtype=np.int32).reshape(-1, 2)
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where each list's elements begin among those of all, and their number; a null has none."""
+    return np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))])
+
+
+def _spans_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The spans (first line, line after the last) of all of ``_packed``'s values, and where each one's begin."""
+    sizes = np.asarray(pa.compute.binary_length(packed), dtype=np.int64) // 8
+    return np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int32).reshape(-1, 2), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _gone(actions: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The spans that go, of lists of (first, spans) for each document, and where each document's begin.
+
+    Of spans marked first the first one stays, and what others share with it.
+    """
+    every = actions.flatten()
+    spans, of_entry = _spans_of(every.field("spans"))
+    entry = np.repeat(np.arange(len(every)), np.diff(of_entry))
+    kept = every.field("first").to_numpy(zero_copy_only=False).astype(bool)[entry]
+    lo = np.where(kept, np.maximum(spans[:, 0], spans[of_entry[entry], 1]), spans[:, 0])
+    some = lo < spans[:, 1]
+    before = np.concatenate([[0], np.cumsum(some)])
+    return np.stack([lo, spans[:, 1]], axis=1)[some], before[of_entry[_bounds(actions)]]
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int) -> Iterator[pa.RecordBatch]:
@@ -211,12 +234,10 @@ def _line_digests(text: str, spans: np.ndarray) -> bytes:
     edges = np.zeros(len(ends) + 1, dtype=np.int64)
     np.add.at(edges, spans[:, 0], 1)
     np.add.at(edges, spans[:, 1], -1)
-    asked, lines = np.flatnonzero(np.cumsum(edges)[:-1]).tolist(), lines_of(text, ends)
-    digest = {x: hashlib.sha256(x.encode()).digest() for x in {lines[i] for i in asked}}
-    out = bytearray(32 * len(ends))
-    for i in asked:
-        out[32 * i : 32 * i + 32] = digest[lines[i]]
-    return bytes(out)
+    asked, ends = np.cumsum(edges)[:-1].tolist(), [0, *ends]
+    uneven, none = any(x in text for x in _UNEVEN), bytes(32)
+    line = (lambda a, b: " ".join(text[a:b].split())) if uneven else (lambda a, b: text[a:b].strip(" \n"))
+    return b"".join([hashlib.sha256(line(a, b).encode()).digest() if n else none for n, a, b in zip(asked, ends, ends[1:], strict=False)])
 
 
 def _without(text: str, spans: np.ndarray) -> tuple[str, int, int]:
@@ -282,26 +303,28 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
         at_id, at_text = names.index(id), names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                rows, doc = {n: [] for n in ("hash", "digest", "start", "n", "spans")}, []
-                for d, (t, chunks) in enumerate(zip(piece.column(at_text).to_pylist(), piece.column(len(names) + 1).to_pylist(), strict=True)):
-                    if not chunks:
-                        continue
-                    all_of = np.concatenate([_unpacked(c["spans"]) for c in chunks])
-                    lines, bounds = _line_digests(t, all_of), (32 * all_of).tolist()
-                    at = 0
-                    for c in chunks:
-                        n = len(c["spans"]) // 8
+                asked, texts = piece.column(len(names) + 1), piece.column(at_text)
+                chunks, of_doc = asked.flatten(), _bounds(asked)
+                spans, of_chunk = _spans_of(chunks.field("spans"))
+                blob, edges, bounds = spans.tobytes(), of_chunk.tolist(), (32 * spans.astype(np.int64)).tolist()
+                found: list[tuple[int, int, int, bytes, bytes]] = []  # chunk, first place, places, digest, spans
+                docs = np.flatnonzero(np.diff(of_doc))
+                for t, lo, hi in zip(texts.take(pa.array(docs)).to_pylist(), of_doc[docs].tolist(), of_doc[docs + 1].tolist(), strict=True):
+                    lines = _line_digests(t, spans[edges[lo] : edges[hi]])
+                    for c in range(lo, hi):
+                        a, b = edges[c], edges[c + 1]
+                        if b - a == 1:
+                            found.append((c, a, 1, hashlib.sha256(lines[bounds[a][0] : bounds[a][1]]).digest(), blob[8 * a : 8 * b]))
+                            continue
                         by_bytes: dict[bytes, list[int]] = {}
-                        for i in range(at, at + n):
+                        for i in range(a, b):
                             by_bytes.setdefault(lines[bounds[i][0] : bounds[i][1]], []).append(i)
-                        at += n
-                        for data, places in by_bytes.items():
-                            doc.append(d)
-                            for k, v in zip(rows, (c["hash"], hashlib.sha256(data).digest(), bounds[places[0]][0] // 32, len(places), all_of[places].tobytes()), strict=True):
-                                rows[k].append(v)
-                at = pa.array(doc, pa.int32())
-                columns = [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(len(names)).take(at), piece.column(at_id).take(at), *columns], ["key", "id", *rows])
+                        found += ((c, at[0], len(at), hashlib.sha256(data).digest(), b"".join(blob[8 * i : 8 * i + 8] for i in at)) for data, at in by_bytes.items())
+                chunk, first, n, digest, packed = zip(*found, strict=True) if found else ((),) * 5
+                chunk, first = np.array(chunk, dtype=np.int64), np.array(first, dtype=np.int64)
+                at = pa.array(np.searchsorted(of_doc, chunk, side="right") - 1)
+                columns = [chunks.field("hash").take(pa.array(chunk)), pa.array(digest, pa.binary()), pa.array(spans[first, 0]), pa.array(n, pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column(len(names)).take(at), piece.column(at_id).take(at), *columns], ["key", "id", "hash", "digest", "start", "n", "spans"])
 
     # Both visits to the texts use all columns, so Spark makes one exchange for both. Rows of a key give the same; one counts.
     visited = keyed.join(asked, "key", "left").select(*own.values(), "key", "asked").mapInArrow(read, f"key binary, id {kind}, hash bigint, digest binary, start int, n bigint, spans binary")
@@ -313,26 +336,14 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
     spans = visited.join(first, ["hash", "digest"]).select("key", F.struct((F.col("key") == F.col("first_key")).alias("first"), "spans").alias("s"))
     actions = spans.groupBy("key").agg(F.collect_set("s").alias("spans")).withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.array().cast("array<struct<first: boolean, spans: binary>>").alias("spans"), F.lit(True).alias("whole")))
 
-    def left(text: str | None, spans: list | None, whole: bool | None) -> tuple[str | None, int, int]:
-        if text is None:
-            return None, 0, 0
-        if whole:
-            n = len(line_ends(text))
-            return _without(text, np.array([[0, n]]))
-        parts = []
-        for s in spans or ():
-            own = _unpacked(s["spans"])
-            if s["first"]:  # the first one stays, and what others share with it
-                own = np.stack([np.maximum(own[1:, 0], own[0, 1]), own[1:, 1]], axis=1)
-                own = own[own[:, 0] < own[:, 1]]
-            parts.append(own)
-        return _without(text, np.concatenate(parts) if parts else np.zeros((0, 2), np.int32))
-
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                done = [left(*row) for row in zip(*(piece.column(i).to_pylist() for i in (at, len(names) + 1, len(names) + 2)), strict=True)]
+                spans, first = _gone(piece.column(len(names) + 1))
+                bounds, done = first.tolist(), []
+                for d, (t, whole) in enumerate(zip(piece.column(at).to_pylist(), piece.column(len(names) + 2).to_pylist(), strict=True)):
+                    done.append((None, 0, 0) if t is None else _without(t, np.array([[0, len(line_ends(t))]]) if whole else spans[bounds[d] : bounds[d + 1]]))
                 columns = list(piece.columns[: len(names)])
                 columns[at] = pa.array([d[0] for d in done], columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], [*own.values(), "n_lines", "n_removed"])

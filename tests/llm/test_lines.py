@@ -1,6 +1,7 @@
 """Line dedup against its own rules in plain Python: chunks told apart by bytes, the first of each kept."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismloom.llm import linededup
@@ -105,3 +106,11 @@ def test_a_line_in_all_documents_and_a_long_text(spark):
     got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 1 for i in range(1, 201))
     assert got[200]["text"] == texts[200][: -len(common)].rstrip()
+
+
+def test_spans_of_a_batch_that_go():
+    """Of spans marked first the first one stays; nulls and empty lists have none."""
+    packed = lambda *spans: np.array(spans, dtype=np.int32).tobytes()
+    lists = [None, [{"first": True, "spans": packed([2, 5], [4, 7], [9, 12])}, {"first": False, "spans": packed([0, 2])}], [], [{"first": True, "spans": packed([1, 3])}]]
+    spans, first = linededup._gone(pa.array(lists, pa.list_(pa.struct([("first", pa.bool_()), ("spans", pa.binary())]))))
+    assert spans.tolist() == [[5, 7], [9, 12], [0, 2]] and first.tolist() == [0, 0, 3, 3, 3]
