@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,10 @@ LAYERS, LEAST_LINES, LEAST_WORDS = 3, 2, 12
 #: A repeated run of lines with more words than this is always found.
 RUN_WORDS = 50
 _END = re.compile(r"[.!?\u061F\u06D4\u0964\u3002\uFF01\uFF1F\uFF61\n](?:\s+|(?<=[\u3002\uFF01\uFF1F\uFF61\n]))")
-#: White space other than single spaces and line feeds.
-_UNEVEN = ["  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
 #: Scripts that put no spaces between words; two of their characters count as a word.
 _UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+#: Of bytes: white space 1, ends of lines 2 (a line feed is both), first bytes of characters that line ends, white space or unspaced scripts may lie among 4.
+_KIND = bytes((b in b" \t\n\v\f\r\x1c\x1d\x1e\x1f") + 2 * (b in b".!?\n") + 4 * (b == 0xC2 or b >= 0xD8) for b in range(256))
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -47,14 +47,6 @@ def line_ends(text: str) -> list[int]:
     return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
-def lines_of(text: str, ends: list[int]) -> list[str]:
-    """The lines with single spaces for white space, and none at their ends."""
-    cut = (text[a:b] for a, b in zip([0, *ends], ends, strict=False))
-    if any(x in text for x in _UNEVEN):
-        return [" ".join(x.split()) for x in cut]
-    return [x.strip(" \n") for x in cut]
-
-
 def word_counts(text: str, lines: list[str]) -> list[int]:
     """The words of each line: what spaces separate, and in scripts without spaces two characters a word."""
     spaced = [x.count(" ") + 1 if x else 0 for x in lines]
@@ -98,22 +90,90 @@ def run_spans(words: np.ndarray, first: np.ndarray, most: int = RUN_WORDS) -> tu
     return np.concatenate([lines[on], lo[upto]]), np.concatenate([hi[on], lines[upto] + 1])
 
 
-def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Lines:
+    """Lines of the texts of an Arrow array, found in their UTF-8 bytes, all texts at once; a null has none.
+
+    ``ends`` are the places after lines and the white space behind them, the same as ``line_ends`` finds, ``first`` has the first line of each
+    text, and the number of lines. Texts with one of the characters that _KIND marks as wide are left to ``line_ends``.
+    """
+
+    def __init__(self, texts: pa.Array):
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+        _, offsets, values = texts.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64, count=texts.offset + len(texts) + 1)[texts.offset :] if len(texts) else np.zeros(1, np.int64)
+        self.raw = values.slice(bounds[0], bounds[-1] - bounds[0]).to_pybytes() if bounds[-1] > bounds[0] else b""
+        self.bounds = bounds = bounds - bounds[0]
+        data = np.frombuffer(self.raw, dtype=np.uint8)
+        kind = np.frombuffer(self.raw.translate(_KIND), dtype=np.uint8)
+        white = (kind & 1).view(bool)
+        within = np.append(white, False)  # white space that its text doesn't begin with
+        within[bounds] = False
+        at = np.flatnonzero((kind & 2) > 0)
+        more = within[at + 1]
+        held = more | (data[at] == 10)
+        ends = at[held] + 1 + more[held]
+        longer = within[ends]
+        if longer.any():
+            stops = np.flatnonzero(white & ~within[1:]) + 1
+            ends[longer] = stops[np.searchsorted(stops, ends[longer], side="right")]
+        is_end = np.zeros(len(data) + 1, dtype=bool)
+        is_end[ends] = True
+        is_end[bounds[1:][np.diff(bounds) > 0]] = True
+        wide = np.unique(np.searchsorted(bounds, np.flatnonzero(kind > 3), side="right") - 1)
+        for lo, hi in zip(bounds[wide].tolist(), bounds[wide + 1].tolist(), strict=True):
+            text = self.raw[lo:hi].decode()
+            own = line_ends(text)
+            is_end[lo + 1 : hi + 1] = False
+            is_end[lo + np.cumsum([len(text[a:b].encode()) for a, b in zip([0, *own], own, strict=False)])] = True
+        self.ends = np.flatnonzero(is_end)
+        self.first = np.searchsorted(self.ends, bounds, side="right")
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+        # Lines that need no more than the white space behind them taken off; others are put in order one by one.
+        odd = np.flatnonzero(white & ((data != 32) | within[1:]))
+        self.stops = self.ends - white[self.ends - 1]
+        self.even = ~white[self.starts] & (np.searchsorted(odd, self.starts) == np.searchsorted(odd, self.stops))
+        for t in wide.tolist():
+            self.even[self.first[t] : self.first[t + 1]] = False
+
+    def cut(self, which: np.ndarray) -> list[bytes]:
+        """Chosen lines with single spaces for white space, and none at their ends."""
+        raw = self.raw
+        out = [raw[a:b] for a, b in zip(self.starts[which].tolist(), self.stops[which].tolist(), strict=True)]
+        uneven = np.flatnonzero(~self.even[which])
+        for i, a, b in zip(uneven.tolist(), self.starts[which[uneven]].tolist(), self.ends[which[uneven]].tolist(), strict=True):
+            out[i] = " ".join(raw[a:b].decode().split()).encode()
+        return out
+
+    def words(self, lines: list[bytes]) -> np.ndarray:
+        """The numbers of words of all lines, as ``word_counts`` tells them."""
+        words = np.fromiter((x.count(b" ") for x in lines), dtype=np.int64, count=len(lines)) + 1
+        for i in np.flatnonzero(~self.even).tolist():
+            words[i] = word_counts(line := lines[i].decode(), [line])[0]
+        return words
+
+    def text_bytes(self) -> list[bytes]:
+        bounds = self.bounds.tolist()
+        return [self.raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _hashed(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines of all texts: hashes, numbers of words, and the first line of each text and the number of lines.
 
     White space counts as single spaces, and not at all at the ends of a line.
     """
-    hashes, words, first = [], [], [0]
-    for text in texts:
-        lines = lines_of(text, line_ends(text))
-        hashes += map(xxhash.xxh64_intdigest, lines)
-        words += word_counts(text, lines)
-        first.append(len(hashes))
-    return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(first, dtype=np.int64)
+    cut = lines.cut(np.arange(len(lines.ends)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, cut), dtype=np.uint64, count=len(cut)), lines.words(cut), lines.first
+
+
+def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _hashed(Lines(pa.array(texts, pa.large_string())))
 
 
-def line_chunks(own: np.ndarray, words: np.ndarray, first: np.ndarray, layers: int = LAYERS, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line, line after the last and hash of the chunks of all layers and of all runs, each once, in order."""
+def line_chunks(own: np.ndarray, words: np.ndarray, first: np.ndarray, layers: int = LAYERS, least_words: int = LEAST_WORDS, held: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last and hash of the chunks of all layers and of all runs, each once, in order.
+
+    With ``held``, only of those whose first lines and lines after the last it holds true.
+    """
     total = np.concatenate([[0], np.cumsum(words)])
     run = np.concatenate([[np.uint64(0)], np.cumsum(own * _series(_BASE, len(own))[:-1])])
     spans = [chunk_spans(own, first, seed) for seed in range(layers)]
@@ -121,7 +181,11 @@ def line_chunks(own: np.ndarray, words: np.ndarray, first: np.ndarray, layers: i
     # Runs cover whatever chunks of over RUN_WORDS words do.
     enough = (total[hi] - total[lo] >= least_words) & (total[hi] - total[lo] <= RUN_WORDS)
     runs = run_spans(words, first)
-    found = np.unique(np.concatenate([lo[enough], runs[0]]) << 32 | np.concatenate([hi[enough], runs[1]]))
+    lo, hi = np.concatenate([lo[enough], runs[0]]), np.concatenate([hi[enough], runs[1]])
+    if held is not None:
+        some = held(lo, hi)
+        lo, hi = lo[some], hi[some]
+    found = np.unique(lo << 32 | hi)
     lo, hi = found >> 32, found & 0xFFFFFFFF
     return lo, hi, mix((run[hi] - run[lo]) * _series(_BACK, len(own))[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
 
@@ -168,10 +232,10 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = lambda x, f: pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(x))
     for batch in batches:
         for piece in slices(batch, "text"):
-            texts = [t or "" for t in piece.column(2).to_pylist()]
-            own, words, first = line_hashes(texts)
+            found = Lines(piece.column(2))
+            own, words, first = _hashed(found)
             grams, bounds, twice, *_ = line_grams(own, words, first)
-            body = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
+            body = pa.array([hashlib.md5(t).digest() for t in found.text_bytes()], pa.binary())
             yield pa.RecordBatch.from_arrays([*piece.columns[:2], body, lists(own.view(np.int64), first), lists(words.astype(np.int32), first), lists(grams.view(np.int64), bounds), pa.array(twice.astype(np.int32))], ["key", "id", "body", "hashes", "words", "grams", "twice"])
 
 
@@ -215,9 +279,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int
         repeated = np.zeros(len(grams) + 1, dtype=bool)  # the last place stands for none
         repeated[np.repeat(bounds[:-1], np.asarray(batch.column(3).value_lengths())) + flat(batch.column(3))] = True
         pairs = np.concatenate([[0], np.cumsum(repeated[at_pair])])
-        lo, hi, hashes = line_chunks(own, words, first, layers, least_words)
-        held = np.where(hi - lo == 1, repeated[at_long[lo]], pairs[hi - 1] - pairs[lo] == hi - lo - 1)
-        lo, hi, hashes = lo[held], hi[held], hashes[held]
+        held = lambda lo, hi: np.where(hi - lo == 1, repeated[at_long[lo]], pairs[hi - 1] - pairs[lo] == hi - lo - 1)  # noqa: B023, E731
+        lo, hi, hashes = line_chunks(own, words, first, layers, least_words, held)
         doc = np.searchsorted(first, lo, side="right") - 1
         order = np.lexsort((lo, hashes, doc))
         lo, hi, hashes, doc = lo[order], hi[order], hashes[order], doc[order]
@@ -228,27 +291,25 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], layers: int, least_words: int
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts])), pa.array(hashes[starts]), pa.array(ends - starts), pa.array(spans, pa.binary())], ["key", "hash", "n", "spans"])
 
 
-def _line_digests(text: str, spans: np.ndarray) -> bytes:
+def _covered(spans: np.ndarray, n: int) -> np.ndarray:
+    """Which of n lines lie in spans of lines."""
+    return np.cumsum(np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1))[:n] > 0
+
+
+def _line_digests(lines: Lines, spans: np.ndarray) -> bytes:
     """32 bytes a line, one after the other: of the lines in spans the SHA-256 digest, white space as single spaces."""
-    ends = line_ends(text)
-    edges = np.zeros(len(ends) + 1, dtype=np.int64)
-    np.add.at(edges, spans[:, 0], 1)
-    np.add.at(edges, spans[:, 1], -1)
-    asked, ends = np.cumsum(edges)[:-1].tolist(), [0, *ends]
-    uneven, none = any(x in text for x in _UNEVEN), bytes(32)
-    line = (lambda a, b: " ".join(text[a:b].split())) if uneven else (lambda a, b: text[a:b].strip(" \n"))
-    return b"".join([hashlib.sha256(line(a, b).encode()).digest() if n else none for n, a, b in zip(asked, ends, ends[1:], strict=False)])
-
-
-def _without(text: str, spans: np.ndarray) -> tuple[str, int, int]:
-    """The text without spans of lines and the white space after them; lines in all, lines removed."""
-    ends = line_ends(text)
+    asked = np.flatnonzero(_covered(spans, len(lines.ends)))
+    out = np.zeros((len(lines.ends), 32), dtype=np.uint8)
+    out[asked] = np.frombuffer(b"".join([hashlib.sha256(x).digest() for x in lines.cut(asked)]), dtype=np.uint8).reshape(-1, 32)
+    return out.tobytes()
+
+
+def _without(text: str, spans: np.ndarray, ends: list[int] | None = None) -> tuple[str, int, int]:
+    """The text without spans of lines and the white space after them; lines in all, lines removed. ``ends`` are its ``line_ends`` if known."""
+    ends = line_ends(text) if ends is None else ends
     if not len(spans):
         return text, len(ends), 0
-    edges = np.zeros(len(ends) + 1, dtype=np.int64)
-    np.add.at(edges, spans[:, 0], 1)
-    np.add.at(edges, spans[:, 1], -1)
-    drop = np.cumsum(edges)[:-1] > 0
+    drop = _covered(spans, len(ends))
     if drop[0] and not text[: ends[0]].strip():  # white space before the first line isn't a line
         drop[0] = False
     turns = np.flatnonzero(np.diff(drop, prepend=True, append=True))
@@ -305,21 +366,21 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
             for piece in slices(batch, own[text]):
                 asked, texts = piece.column(len(names) + 1), piece.column(at_text)
                 chunks, of_doc = asked.flatten(), _bounds(asked)
+                docs = np.flatnonzero(np.diff(of_doc))
+                lines = Lines(texts.take(pa.array(docs)))
                 spans, of_chunk = _spans_of(chunks.field("spans"))
-                blob, edges, bounds = spans.tobytes(), of_chunk.tolist(), (32 * spans.astype(np.int64)).tolist()
+                blob, edges = spans.tobytes(), of_chunk.tolist()
+                placed = spans + np.repeat(lines.first[:-1], np.diff(of_chunk[of_doc])[docs])[:, None]
+                digests, bounds = _line_digests(lines, placed), (32 * placed).tolist()
                 found: list[tuple[int, int, int, bytes, bytes]] = []  # chunk, first place, places, digest, spans
-                docs = np.flatnonzero(np.diff(of_doc))
-                for t, lo, hi in zip(texts.take(pa.array(docs)).to_pylist(), of_doc[docs].tolist(), of_doc[docs + 1].tolist(), strict=True):
-                    lines = _line_digests(t, spans[edges[lo] : edges[hi]])
-                    for c in range(lo, hi):
-                        a, b = edges[c], edges[c + 1]
-                        if b - a == 1:
-                            found.append((c, a, 1, hashlib.sha256(lines[bounds[a][0] : bounds[a][1]]).digest(), blob[8 * a : 8 * b]))
-                            continue
-                        by_bytes: dict[bytes, list[int]] = {}
-                        for i in range(a, b):
-                            by_bytes.setdefault(lines[bounds[i][0] : bounds[i][1]], []).append(i)
-                        found += ((c, at[0], len(at), hashlib.sha256(data).digest(), b"".join(blob[8 * i : 8 * i + 8] for i in at)) for data, at in by_bytes.items())
+                for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if b - a == 1:
+                        found.append((c, a, 1, hashlib.sha256(digests[bounds[a][0] : bounds[a][1]]).digest(), blob[8 * a : 8 * b]))
+                        continue
+                    by_bytes: dict[bytes, list[int]] = {}
+                    for i in range(a, b):
+                        by_bytes.setdefault(digests[bounds[i][0] : bounds[i][1]], []).append(i)
+                    found += ((c, at[0], len(at), hashlib.sha256(data).digest(), b"".join(blob[8 * i : 8 * i + 8] for i in at)) for data, at in by_bytes.items())
                 chunk, first, n, digest, packed = zip(*found, strict=True) if found else ((),) * 5
                 chunk, first = np.array(chunk, dtype=np.int64), np.array(first, dtype=np.int64)
                 at = pa.array(np.searchsorted(of_doc, chunk, side="right") - 1)
@@ -340,13 +401,20 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", laye
         at = names.index(text)
         for batch in batches:
             for piece in slices(batch, own[text]):
-                spans, first = _gone(piece.column(len(names) + 1))
-                bounds, done = first.tolist(), []
-                for d, (t, whole) in enumerate(zip(piece.column(at).to_pylist(), piece.column(len(names) + 2).to_pylist(), strict=True)):
-                    done.append((None, 0, 0) if t is None else _without(t, np.array([[0, len(line_ends(t))]]) if whole else spans[bounds[d] : bounds[d + 1]]))
+                spans, of_doc = _gone(piece.column(len(names) + 1))
+                texts, lines = piece.column(at), Lines(piece.column(at))
+                n_lines, n_removed = np.diff(lines.first), np.zeros(len(texts), dtype=np.int64)
+                whole = np.asarray(piece.column(len(names) + 2).fill_null(False)).astype(bool)
+                # Only texts that lose lines are taken up; the others stay as they came.
+                changed, left = (whole | (np.diff(of_doc) > 0)) & texts.is_valid().to_numpy(zero_copy_only=False), []
+                docs = np.flatnonzero(changed)
+                for d, t in zip(docs.tolist(), texts.take(pa.array(docs)).to_pylist(), strict=True):
+                    ends = (lines.ends[lines.first[d] : lines.first[d + 1]] - lines.bounds[d]).tolist() if t.isascii() else None
+                    text_left, _, n_removed[d] = _without(t, np.array([[0, n_lines[d]]]) if whole[d] else spans[of_doc[d] : of_doc[d + 1]], ends)
+                    left.append(text_left)
                 columns = list(piece.columns[: len(names)])
-                columns[at] = pa.array([d[0] for d in done], columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], [*own.values(), "n_lines", "n_removed"])
+                columns[at] = pa.compute.replace_with_mask(texts, pa.array(changed), pa.array(left, texts.type))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_removed)], [*own.values(), "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{o}` {k}" for o, k in zip(own.values(), kinds, strict=True)), "n_lines bigint, n_removed bigint"])
     out = keyed.join(actions, "key", "left").select(*own.values(), "key", "spans", "whole").mapInArrow(remove, schema)

@@ -114,3 +114,23 @@ def test_spans_of_a_batch_that_go():
     lists = [None, [{"first": True, "spans": packed([2, 5], [4, 7], [9, 12])}, {"first": False, "spans": packed([0, 2])}], [], [{"first": True, "spans": packed([1, 3])}]]
     spans, first = linededup._gone(pa.array(lists, pa.list_(pa.struct([("first", pa.bool_()), ("spans", pa.binary())]))))
     assert spans.tolist() == [[5, 7], [9, 12], [0, 2]] and first.tolist() == [0, 0, 3, 3, 3]
+
+
+def test_lines_of_bytes_are_those_of_the_texts():
+    """All texts of an array at once give the same lines, ends and numbers of words as one by one, whatever their characters."""
+    rng = np.random.default_rng(6)
+    plain = [*"ab.!? \n\t\r\x0b\x0c\x1c\x1f", " ", ". ", "é", "š"]
+    every = [*plain, *"\xa0\x85« ’。！؟字ไא　\U00020000"]
+    for _ in range(300):
+        letters = plain if rng.random() < 0.5 else every
+        texts = ["".join(rng.choice(letters, int(rng.integers(0, 25)))) for _ in range(int(rng.integers(0, 5)))]
+        found = linededup.Lines(pa.array(["Cut off. ", *texts, None, ""], pa.string()).slice(1))
+        own = found.cut(np.arange(len(found.ends)))
+        words = found.words(own)
+        for i, t in enumerate([*texts, "", ""]):
+            ends = linededup.line_ends(t)
+            lines = [" ".join(t[a:b].split()) for a, b in zip([0, *ends], ends, strict=False)]
+            a, b = found.first[i], found.first[i + 1]
+            assert (found.ends[a:b] - found.bounds[i]).tolist() == [len(t[:e].encode()) for e in ends]
+            assert [x.decode() for x in own[a:b]] == lines
+            assert words[a:b].tolist() == linededup.word_counts(t, lines)
